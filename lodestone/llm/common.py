@@ -12,7 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is broadcast if it is known to hold at most so many bytes; beyond that Spark joins by shuffle.
+BROADCAST_BYTES = 48 << 20
 
 _shipped: "weakref.WeakSet[SparkContext]" = weakref.WeakSet()
 _staged: list[tuple["weakref.ref[SparkSession]", str]] = []
@@ -80,6 +84,12 @@ def drop_staged() -> None:
     _staged.clear()
 
 
+def small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """df, to be broadcast if the bytes of its rows, counted here, are within the bound."""
+    took = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if took <= BROADCAST_BYTES else df
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: str, arrow: pa.Schema) -> DataFrame:
     """Run make()(**columns as Arrow arrays) -> dict of columns over df's batches. Only the named columns reach Python;
     a batch is at most some tens of MB, so memory does not grow with the input."""

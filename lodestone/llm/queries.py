@@ -7,16 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secrets, sharding, sql
+from . import bpe, decontaminate, pii, quality_gam, quality_rules, secrets, sharding, simhash, sql, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -29,5 +45,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_bpe": op2_bpe, "op6_quality_rules": op6_quality_rules, "op7_secrets": op7_secrets, "op8_sharding": op8_sharding}
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": sql.OP6, "op8_sharding": sql.OP8}
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_simhash, op2_bpe, op3_warc, op4_pii, op5_decontamination, op6_quality_rules, op7_secrets, op8_sharding, op9_quality_gam, op10_toxicity)
+}
+ORACLE_SQL: dict[str, str] = {"op3_warc": sql.OP3, "op5_decontamination": sql.OP5, "op6_quality_rules": sql.OP6, "op8_sharding": sql.OP8}

@@ -58,3 +58,31 @@ SELECT doc_id, (b + 1)::BIGINT AS size, crc::BIGINT AS text_crc32, source, 'rows
        (pos - ((pos * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM p
 """
+
+OP3 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+  SELECT k, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS x
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT k, i, n, item_id FROM places JOIN wins USING (n, x)),
+hit AS (SELECT k, count(DISTINCT p) AS c FROM (SELECT k, unnest(range(i, i + n)) AS p FROM found) GROUP BY k),
+items AS (SELECT k, count(DISTINCT item_id) AS c, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS l FROM found GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.c, 0)::BIGINT AS n_hit, coalesce(items.c, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.l, '')) AS items_sha256, coalesce(hit.c, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)
+"""
