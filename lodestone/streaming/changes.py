@@ -21,7 +21,8 @@ def source(spark: SparkSession, path: str, schema: str, per_trigger: int = 16) -
 def debounce(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
     """start, end, n_events, paths: one batch of distinct paths for each quiet period of `gap`. A stream emits a batch when its watermark passes."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
-    b = e.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_set("path")).alias("paths"))
+    # Streams have no session windows over everything; this key is the same for all rows.
+    b = e.groupBy(F.session_window("ts", gap).alias("w"), F.substring("path", 1, 0).alias("everything")).agg(F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_set("path")).alias("paths"))
     return b.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", "paths")
 
 
