@@ -93,8 +93,11 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     last = F.size("s") - 1
     t = t.withColumn("d", F.when(F.col("again"), F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), last), lambda k: ((k > 0) & same(k, k - 1)) | ((k < last) & same(k, k + 1))), lambda k: F.get(F.col("s"), k)["i"]))))
     covered = F.aggregate("d", F.struct(F.lit(-window).alias("p"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("p"), (a["n"] + F.least(F.lit(window), x - a["p"])).alias("n")), lambda a: a["n"])
+    # A filter on the result would move below these projections, and their lambdas would be repeated inside each other; it
+    # cannot pass a projection that is not deterministic.
+    repeats = F.when(F.spark_partition_id() >= 0, F.coalesce(covered, F.lit(0)))
     counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop"]
-    return t.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *(F.col(c).cast("long").alias(c) for c in counts), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return t.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *(F.col(c).cast("long").alias(c) for c in counts), repeats.cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -113,8 +116,5 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df that pass, with their own columns."""
     names = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").alias("text"))
-    # A filter moves below the projections that it reads, whose lambdas would be repeated inside each other; it cannot pass
-    # a projection that is not deterministic.
-    m = measures(packed, keep=("__row",)).withColumn("__task", F.spark_partition_id())
-    m = m.filter((F.col("__task") >= 0) & ~base_failed() & verdict(rules))
+    m = measures(packed, keep=("__row",)).filter(~base_failed() & verdict(rules))
     return m.select(*[F.col("__row")[c].alias(c) for c in names])

@@ -15,7 +15,7 @@ MESSY = [
     (1, "the cat sat on the mat " * 30, "en", "a", 5, "x"),
     (1, "the cat sat on the mat " * 30, "en", "a", 5, "x"),
     (2, "the cat sat on the mat " * 30, None, None, None, None),
-    (None, "A null id. token = 'abcdef123' mail a.b@c.org 4111111111111111 +1 (234) 555-7777 10.0.0.1", "en", "b", 1, "y"),
+    (None, "A null id. token = 'abcdef123' mail a.b@c.org 4111111111111111 +1 (234) 555-7777, 10.0.0.1", "en", "b", 1, "y"),
     (3, None, "en", "b", None, "y"),
     (4, "", "de", "b", 0, "z"),
     (5, " \t\n\x0b\x0c\r ", "de", "c", 7, "z"),

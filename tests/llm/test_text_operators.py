@@ -83,6 +83,8 @@ def test_quality_keeps_clean_documents(spark):
 SECRET_BITS = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", ":", "=", "==", " ", '"', "'", "abc123", "AKIA", "ABCD1234", "0123456789abcdef", "deadbeef", "é", "x", "_", ".", "\n"]
 SECRET_RE = [("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
 
+SCANNER = secrets.scanner()
+
 
 def plain_secrets(t):
     found = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(SECRET_RE) for m in p.finditer(t) if len(m[g]) >= least)
@@ -93,7 +95,7 @@ def plain_secrets(t):
 @given(st.lists(st.sampled_from(SECRET_BITS), max_size=16))
 def test_secret_base(bits):
     t = "".join(bits)
-    s = test_secret_base.__dict__.setdefault("scanner", secrets.scanner())
+    s = SCANNER
     got = [f"{s.rules[k].kind}:{a}:{b}" for a, k, b in secrets.points(t, t.encode(), s.scan(t.encode())) if k < 3]
     assert got == plain_secrets(t)
 
