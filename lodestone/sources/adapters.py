@@ -130,7 +130,8 @@ def python(text: str) -> list[Symbol]:
 
 #: HTML tags that are symbols.
 HTML_TAGS = frozenset("script style template main nav header footer section article form aside dialog details".split())
-XML_TAGS = frozenset("root config configuration project module component service".split())
+#: XML elements that are modules.
+XML_TAGS = frozenset("configuration settings properties beans component module project".split())
 
 
 class _Tags(HTMLParser):
@@ -216,11 +217,40 @@ def lines_of(rules: list[tuple[str, str, str | None]], flags: int = 0, strip: bo
     return parse
 
 
-_OBJECT = r"[`\"']?(\w+)[`\"']?"
-sql = lines_of([(rf"CREATE\s+{what}\s+{_OBJECT}", kind, None) for what, kind in ((r"TABLE(?:\s+IF\s+NOT\s+EXISTS)?", "table"), ("VIEW", "table"), ("INDEX", "property"), (r"(?:UNIQUE\s+)?INDEX", "property"), ("TRIGGER", "function"), (r"(?:OR\s+REPLACE\s+)?FUNCTION", "function"), (r"(?:OR\s+REPLACE\s+)?PROCEDURE", "function"), ("SCHEMA", "namespace"), ("DATABASE", "module"))], re.I, every=True)
-_KINDS = {"import": "FROM", "function": "RUN CMD ENTRYPOINT COPY ADD HEALTHCHECK SHELL", "variable": "ENV EXPOSE VOLUME WORKDIR USER ARG STOPSIGNAL", "property": "LABEL"}
-_WORD = {"ENV": r"(\w+)", "EXPOSE": r"(\d+)", "LABEL": r"(\w+)", "ARG": r"(\w+)"}
-dockerfile = lines_of([(rf"{name}\s+{_WORD.get(name, '(.+)')}", kind, name) for kind, names in _KINDS.items() for name in names.split()], re.I)
+#: What CREATE statements make; a plain INDEX counts twice.
+SQL_OBJECTS = [
+    (r"TABLE(?:\s+IF\s+NOT\s+EXISTS)?", "table"),
+    ("VIEW", "table"),
+    ("INDEX", "property"),
+    (r"(?:UNIQUE\s+)?INDEX", "property"),
+    ("TRIGGER", "function"),
+    (r"(?:OR\s+REPLACE\s+)?FUNCTION", "function"),
+    (r"(?:OR\s+REPLACE\s+)?PROCEDURE", "function"),
+    ("SCHEMA", "namespace"),
+    ("DATABASE", "module"),
+]
+sql = lines_of([(rf"CREATE\s+{what}\s+[`\"']?(\w+)[`\"']?", kind, None) for what, kind in SQL_OBJECTS], re.I, every=True)
+#: Instructions, kinds and the part of the argument that is kept.
+INSTRUCTIONS = [
+    ("FROM", "import", "(.+)"),
+    ("RUN", "function", "(.+)"),
+    ("CMD", "function", "(.+)"),
+    ("ENTRYPOINT", "function", "(.+)"),
+    ("COPY", "function", "(.+)"),
+    ("ADD", "function", "(.+)"),
+    ("ENV", "variable", r"(\w+)"),
+    ("EXPOSE", "variable", r"(\d+)"),
+    ("VOLUME", "variable", "(.+)"),
+    ("WORKDIR", "variable", "(.+)"),
+    ("USER", "variable", "(.+)"),
+    ("LABEL", "property", r"(\w+)"),
+    ("ARG", "variable", r"(\w+)"),
+    ("STOPSIGNAL", "variable", "(.+)"),
+    ("HEALTHCHECK", "function", "(.+)"),
+    ("SHELL", "function", "(.+)"),
+]
+dockerfile = lines_of([(rf"{name}\s+{rest}", kind, name) for name, kind, rest in INSTRUCTIONS], re.I)
+#: Declarations of Apex.
 _SHARING = r"(?:with\s+sharing\s+|without\s+sharing\s+)?"
 _RESULT = r"(?:static\s+)?(?:void|integer|string|boolean|list|map|set)"
 apex = lines_of([(rf"(?:public|private|global)\s+{_SHARING}class\s+(\w+)", "class", None), (r"public\s+interface\s+(\w+)", "interface", None), (r"public\s+enum\s+(\w+)", "enum", None), (rf"(?:public|private)\s+{_RESULT}\s+(\w+)\s*\(", "function", None), (r"(?:public\s+)?trigger\s+(\w+)\s+on\s+\w+", "function", None)], re.I)
@@ -279,6 +309,7 @@ def markdown(text: str) -> list[Symbol]:
     return out
 
 
+#: Underlines of headings, by level.
 _UNDER = "=-~^\"#*+"
 
 

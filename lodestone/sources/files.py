@@ -14,9 +14,9 @@ BLOCKED = (
     "exe dll so dylib bin wasm o a lib pyc class jar war png jpg jpeg gif svg ico webp bmp tiff pdf doc docx xls xlsx ppt pptx "
     "zip tar gz bz2 7z rar mp4 avi mov wmv flv mkv mp3 wav flac ogg"
 ).split()
-#: Folders and files that are ignored by default.
+#: Folders and files that are ignored by default (the last folder is this engine's own).
 IGNORED = (
-    "node_modules .git dist build coverage .next out vendor bin obj target tmp .cache .turbo .edhindex".split()
+    "node_modules .git dist build coverage .next out vendor bin obj target tmp .cache .turbo .lodestone".split()
     + [f"*.{e}" for e in BLOCKED]
     + "*.min.js *.min.css package-lock.json yarn.lock pnpm-lock.yaml".split()
 )
