@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import sigmoid
-from .common import map_rows
+from .common import map_rows, ship, stage
 from .quality_gam import TRAIN_ROWS, fold, sample
 
 GRADES = 4
@@ -72,44 +73,48 @@ def _density(hits: int, words: int) -> float:
     return float(np.log1p(100 * hits / words)) if words else 0.0
 
 
-def leaning(texts: list[list[str]], toxic: np.ndarray) -> tuple[list[str], frozenset[str]]:
-    """Terms that tell the classes apart, the clearest first; and those of them that lean to toxic rows.
-
-    A term is counted once for each word it follows in a class, not for each document: copies of one text add nothing. It is
-    kept if its log odds are at least ODDS and CLEAR standard errors away from none."""
-    after: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
-    for words, y in zip(texts, toxic, strict=True):
-        of = after[int(y > 0)]
-        for before, w in zip(["", *words], words):  # noqa: B905
+def contexts(words: list[str]) -> dict[str, str]:
+    """For each feature of a text the word before its first occurrence."""
+    out: dict[str, str] = {}
+    for before, w in zip(["", *words], words):  # noqa: B905
+        if w not in out:
             for f in (w, *beginnings(w)):
-                of.setdefault(f, set()).add(before)
-    total = [sum(map(len, of.values())) + 1 for of in after]
+                out.setdefault(f, before)
+    return out
+
+
+def leaning(seen: dict[str, tuple[int, int]], total: tuple[int, int]) -> tuple[list[str], frozenset[str]]:
+    """Features that tell the classes apart, the clearest first; and those of them that lean to toxic rows.
+
+    seen: the numbers of different contexts (see contexts) of a feature in texts that are not toxic and in toxic ones, total:
+    their sums over all features. Copies of a text share their contexts and add nothing. A feature is kept if its log odds are
+    at least ODDS and CLEAR standard errors away from none."""
     odds, clear = {}, {}
-    for w in after[0].keys() | after[1].keys():
-        good, bad = len(after[0].get(w, ())), len(after[1].get(w, ()))
+    for f, (good, bad) in seen.items():
         if good + bad >= LEAST:
-            o = float(np.log((bad + 0.5) / total[1]) - np.log((good + 0.5) / total[0]))
+            o = float(np.log((bad + 0.5) / (total[1] + 1)) - np.log((good + 0.5) / (total[0] + 1)))
             z = abs(o) / float(np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))
             if abs(o) >= ODDS and z >= CLEAR:
-                odds[w], clear[w] = o, z
-    return sorted(odds, key=lambda w: (-clear[w], w))[:TERMS], frozenset(w for w, o in odds.items() if o > 0)
+                odds[f], clear[f] = o, z
+    terms = sorted(odds, key=lambda f: (-clear[f], f))[:TERMS]
+    return terms, frozenset(f for f in terms if odds[f] > 0)
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray, epochs: int = 300, penalty: float = 0.003, rate: float = 0.05) -> Model:
+def row(words: list[str], place: dict[str, int], lean: frozenset[str]) -> tuple[list[int], list[int], float]:
+    """Columns, counts and density of a text."""
+    known, hits = counts(words, place, lean)
+    return [place[w] for w in known], list(known.values()), _density(hits, len(words))
+
+
+def fit(rows_: list[tuple[list[int], list[int], float]], toxic: np.ndarray, terms: list[str], lean: frozenset[str], epochs: int = 300, penalty: float = 0.003, rate: float = 0.05) -> Model:
     """Full-batch Adam on the likelihood of the grades. Cuts are a first cut and positive steps, so they stay ordered."""
-    terms, lean = leaning(texts, toxic)
-    place = {w: i for i, w in enumerate(terms)}
-    rows, cols, vals, dens = [], [], [], []
-    for r, words in enumerate(texts):
-        c, hits = counts(words, place, lean)
-        rows += [r] * len(c)
-        cols += [place[w] for w in c]
-        vals += np.log1p(list(c.values())).tolist()
-        dens.append(_density(hits, len(words)))
-    rows, cols, vals, dens = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, float), np.array(dens)
+    rows = np.repeat(np.arange(len(rows_)), [len(r[0]) for r in rows_])
+    cols = np.array([c for r in rows_ for c in r[0]], np.int64)
+    vals = np.log1p(np.array([v for r in rows_ for v in r[1]], float))
+    dens = np.array([r[2] for r in rows_])
     share = np.expm1(dens)
     grade = np.where(toxic > 0, 1 + (share >= STEPS[0]) + (share >= STEPS[1]), 0)
-    n, width = len(texts), len(terms)
+    n, width = len(rows_), len(terms)
     w = np.zeros(width + 1 + GRADES - 1)  # weights, density, first cut, log steps
     w[width + 1] = 2.0
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -132,21 +137,47 @@ def fit(texts: list[list[str]], toxic: np.ndarray, epochs: int = 300, penalty: f
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` labelled documents outside the held-out fold; without rows of both labels, one that finds nothing toxic."""
+    """A model from at most `rows` labelled documents outside the held-out fold; without rows of both labels, one that finds nothing toxic.
+
+    Contexts are counted by Spark; the driver gets the features that lean (TERMS at most) and a row's counts of those."""
+    spark = docs.sparkSession
+    texts = stage(sample(docs, labels, "toxic", rows).select("doc_id", "text", (F.col("y") > 0).alias("y")), "labelled")
+    ship(spark)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                f, before, y = [], [], []
+                for t, label in zip(b.column("text").slice(at, 200).to_pylist(), b.column("y").slice(at, 200).to_pylist(), strict=True):
+                    c = contexts(_WORD.findall((t or "").lower()))
+                    f += c.keys()
+                    before += c.values()
+                    y += [label] * len(c)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(before, pa.string()), pa.array(y, pa.bool_())], ["f", "before", "y"])
+
+    found = texts.select("text", "y").mapInArrow(pairs, "f string, before string, y boolean").select("f", "y", F.xxhash64("before").alias("b")).distinct()
+    seen = stage(found.groupBy("f").agg(F.count_if(~F.col("y")).alias("good"), F.count_if("y").alias("bad")), "contexts")
+    total = seen.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    if not total.good or not total.bad:
+        return Model({}, frozenset(), 0.0, (20.0, 21.0, 22.0))
+    # The driver's own test is repeated here, so that few features reach it.
+    odds = F.log((F.col("bad") + 0.5) / (total.bad + 1)) - F.log((F.col("good") + 0.5) / (total.good + 1))
+    z = F.abs(odds) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    most = seen.filter((F.col("good") + F.col("bad") >= LEAST) & (F.abs(odds) >= ODDS) & (z >= CLEAR)).orderBy(F.desc(z), "f").limit(TERMS)
+    terms, lean = leaning({r.f: (r.good, r.bad) for r in most.collect()}, (total.good, total.bad))
+    place = {f: i for i, f in enumerate(terms)}
 
     def make():
         def work(keys, texts, ys):
-            # A row with the counts of its words: what the driver gets is bounded by the sample.
-            return {"doc_id": keys, "y": ys, "words": [_WORD.findall((t or "").lower()) for t in texts.to_pylist()]}
+            made = [row(_WORD.findall((t or "").lower()), place, lean) for t in texts.to_pylist()]
+            return {"doc_id": keys, "y": ys, "c": [m[0] for m in made], "v": [m[1] for m in made], "d": [m[2] for m in made]}
 
         return work
 
-    got = map_rows(sample(docs, labels, "toxic", rows), ["doc_id", "text", "y"], make, "doc_id long, y int, words array<string>", pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.string()))]))
-    local = sorted(((r["doc_id"], r["y"], r["words"]) for r in got.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2])))
-    y = np.array([r[1] for r in local])
-    if len(set(y.tolist())) < 2:
-        return Model({}, frozenset(), 0.0, (20.0, 21.0, 22.0))
-    return fit([r[2] for r in local], y)
+    kinds = pa.schema([("doc_id", pa.int64()), ("y", pa.bool_()), ("c", pa.list_(pa.int32())), ("v", pa.list_(pa.int32())), ("d", pa.float64())])
+    got = map_rows(texts, ["doc_id", "text", "y"], make, "doc_id long, y boolean, c array<int>, v array<int>, d double", kinds).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["y"], r["d"], r["c"]))  # the same model whatever the order of the rows
+    return fit([(r["c"], r["v"], r["d"]) for r in got], np.array([int(r["y"]) for r in got]), terms, lean)
 
 
 def grade(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

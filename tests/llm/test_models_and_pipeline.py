@@ -52,9 +52,16 @@ def test_models_on_messy_tables(spark):
 
 def test_cumulative_link_is_ordered():
     rng = np.random.default_rng(1)
-    texts = [["good"] * 20 + ["bad", "vile"] * int(k) + [f"w{rng.integers(50)}" for _ in range(30)] for k in rng.integers(0, 4, 400)]
+    texts = [["good"] * 20 + ["bad", "vile"] * int(k) + [f"w{rng.integers(50)}" for _ in range(30)] for k in rng.choice(4, 1500, p=(0.85, 0.05, 0.05, 0.05))]
     toxic = np.array([int("bad" in t) for t in texts])
-    m = toxicity.fit(texts, toxic)
+    seen: dict = {}
+    for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
+        for f in toxicity.contexts(t):
+            seen.setdefault(f, [0, 0])[y] += 1
+    terms, lean = toxicity.leaning({f: tuple(c) for f, c in seen.items()}, tuple(map(sum, zip(*seen.values(), strict=True))))
+    assert {"bad", "vile"} <= lean
+    place = {f: i for i, f in enumerate(terms)}
+    m = toxicity.fit([toxicity.row(t, place, lean) for t in texts], toxic, terms, lean)
     assert list(m.cuts) == sorted(m.cuts)
     p = m.probabilities(np.array([m.margin("good day"), m.margin("bad vile " * 3)]))
     assert np.allclose(p.sum(1), 1) and p[1] @ np.arange(4) > p[0] @ np.arange(4) + 0.5
