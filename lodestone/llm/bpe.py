@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Pre-tokens kept per worker; the memory for them is bounded, a full cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
 #: Longer pre-tokens are never cached.
 CACHE_CHARS = 64
 _loaded: dict[str, "Encoder"] = {}
