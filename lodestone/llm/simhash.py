@@ -19,8 +19,12 @@ from .components import components
 WORDS, RADIUS, SEED = 3, 3, 42
 #: The tree is fitted on so many fingerprints at most (the least by hash); results do not depend on them.
 SAMPLE = 32_768
-#: Fingerprints that a leaf should hold, levels of the shared tree at most, and homes in a task at most.
-LEAF, DEPTH, LEAF_MOST = 4_000, 12, 64_000
+#: Fingerprints that a leaf should hold, levels of the shared tree at most.
+LEAF, DEPTH = 4_000, 12
+#: Homes, and fingerprints to compare them with, that a task gets, about.
+LEAF_MOST, OTHERS_MOST = 64_000, 500_000
+#: Shingles whose bits are spread out at a time (a multiple of 255), so that a very long text takes little memory.
+SLAB = 255 * 256
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -31,9 +35,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(s, SEED) for s in shingles], np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
-    # Eight counters in each 64-bit word: at most 255 rows are added before they are read out.
-    counts = np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).view(np.uint8).astype(np.int64).sum(axis=0)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), SLAB):
+        bits = np.unpackbits(h[at : at + SLAB].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+        # Eight counters in each 64-bit word: at most 255 rows are added before they are read out.
+        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
@@ -45,8 +51,8 @@ def fingerprint_of(texts: pa.Array) -> pa.Array:
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: pairs of distinct fingerprints (column fp) whose components are those of all pairs within radius.
 
-    Fingerprints are routed to their home leaf and, as guests, to leaves over whose border they may have partners. A leaf
-    with too many homes is dealt out in parts, each against the whole leaf."""
+    Fingerprints are routed to their home leaf and, as guests, to leaves over whose border they may have partners. A leaf is
+    dealt out in tiles: a part of its homes against a part of all its fingerprints, so that no task's rows grow with the input."""
     spark = fingerprints.sparkSession
     ship(spark)
     n = fingerprints.count()
@@ -63,18 +69,21 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part[i], pa.int64()), pa.array(home, pa.bool_())], ["leaf", "fp", "home"])
 
     routed = stage(fingerprints.select("fp").mapInArrow(spread, "leaf int, fp long, home boolean"), "routed")
-    parts = routed.filter("home").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF_MOST).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    sizes = routed.groupBy("leaf").agg(F.ceil(F.count_if("home") / LEAF_MOST).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / OTHERS_MOST).cast("int").alias("cols")).filter("rows > 0")
     # At most 2**DEPTH leaves: this table's size is bounded.
-    dealt = routed.join(F.broadcast(parts), "leaf").select("leaf", "fp", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = dealt.select("leaf", "part", "fp", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
+    dealt = routed.join(F.broadcast(sizes), "leaf").withColumn("r", F.pmod(F.xxhash64("fp"), F.col("rows")).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cols")).cast("int"))
+    # A home is in every tile of its row of tiles, as a home; any fingerprint is in every other tile of its column.
+    across = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(F.col("r").alias("r"), c.alias("c"), F.lit(True).alias("home")))
+    along = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("c").alias("c"), F.lit(False).alias("home")))
+    tiles = F.when(F.col("home"), F.concat(across, F.filter(along, lambda x: x["r"] != F.col("r")))).otherwise(along)
+    dealt = dealt.select("leaf", "fp", F.explode(tiles).alias("tile")).select("leaf", "tile.r", "tile.c", "fp", "tile.home")
 
     def join(t: pa.Table) -> pa.Table:
         fp = np.ascontiguousarray(t.column("fp").to_numpy())
         a, b = vptree.leaf_links(fp.view(np.uint64), t.column("home").to_numpy(), radius)
         return pa.table({"a": pa.array(fp[a], pa.int64()), "b": pa.array(fp[b], pa.int64())})
 
-    return dealt.groupBy("leaf", "part").applyInArrow(join, "a long, b long")
+    return dealt.groupBy("leaf", "r", "c").applyInArrow(join, "a long, b long")
 
 
 def _grouped(rows: DataFrame, rank: str) -> DataFrame:

@@ -79,6 +79,8 @@ def test_simhash_tables(spark, sf):
 def test_simhash_shared_tree(spark, sf, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 20)
     monkeypatch.setattr(simhash, "LEAF_MOST", 7)
+    monkeypatch.setattr(simhash, "OTHERS_MOST", 11)
+    monkeypatch.setattr(simhash, "SLAB", 255)
     real = spark.read.parquet(f"{sf}/documents.parquet")
     assert plain.rows(simhash.near_duplicates(real)) == sorted(plain.near([(r.doc_id, r.text) for r in real.collect()]), key=repr)
 
