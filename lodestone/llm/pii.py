@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
 
 # Base patterns. Possessive repeats and look-behinds keep long runs linear; they match what the plain patterns match.
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -108,7 +109,10 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
                 found.append((2, m.start(), m.end()))
             if 8 <= n <= 15:
                 found.append((3, m.start(), m.end()))
-    return [c for c in found if not any(c[1] < e and s < c[2] for _, s, e in taken)]
+    # Of the taken spans that start before a candidate's end, the furthest end tells whether one touches it.
+    begins = sorted((s, e) for _, s, e in taken)
+    ends = [-1, *accumulate((e for _, e in begins), max)]
+    return [c for c in found if ends[bisect_left(begins, (c[2],))] <= c[1]]
 
 
 def features(text: str, c: Span) -> list[float]:
@@ -215,12 +219,14 @@ def find(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     if not proposed:
         return base, []
     p = model.probability(np.array([features(text, c) for c in proposed]))
-    added: list[Span] = []
+    added: list[tuple[int, int, int]] = []  # start, end, kind: in order and apart
     for i in np.argsort(-p, kind="stable"):
-        c = proposed[i]
-        if p[i] >= model.least[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in added):
-            added.append(c)
-    return base, sorted(added)
+        kind, start, end = proposed[i]
+        if p[i] >= model.least[kind]:
+            k = bisect_left(added, (end,))
+            if not k or added[k - 1][1] <= start:
+                insort(added, (start, end, kind))
+    return base, sorted((kind, start, end) for start, end, kind in added)
 
 
 def _listed(spans: list[Span]) -> str:

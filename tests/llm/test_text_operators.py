@@ -149,3 +149,13 @@ def test_pii_added_and_table(spark):
     r = clean.filter("doc_id is null").first()
     assert "[EMAIL]" in r.text and "[CARD]" in r.text and "[PHONE]" in r.text and "[IP]" in r.text and r.n_chars == len(r.text)
     assert clean.filter("doc_id = 3").first().text is None
+
+
+def test_pii_many_spans():
+    """A long text with a span in every line: candidates keep clear of base spans and of each other, in linear time."""
+    text = "\n".join(f"tel (555) 201-{i:04d} card 4111 1111 1111 1111 mail a{i}@b.org order {i:012d}" for i in range(8000))
+    base, added = pii.find(text, pii.train())
+    spans = sorted((s, e) for _, s, e in added)
+    assert len(base) == 16000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    taken = {i for _, s, e in base for i in range(s, e)}
+    assert len(added) >= 8000 and not any(i in taken for s, e in spans for i in range(s, e))
