@@ -88,9 +88,8 @@ def graph_tables(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFram
     """nodes and edges of the index."""
     chunks, state = store.read("chunks"), store.read("file_state")
     known = state.select("rel_path", files.language(F.col("rel_path")).alias("language"))
-    raw = chunks.select("file", F.explode("imports").alias("text")).distinct()
-    resolved = graph.resolve(graph.import_paths(raw), known)
-    return graph.nodes(known, chunks), graph.edges(known, chunks, resolved)
+    imports, exports = (graph.resolve(graph.import_paths(chunks.select("file", F.explode(c).alias("text")).distinct()), known) for c in ("imports", "exports"))
+    return graph.nodes(known, chunks), graph.edges(known, chunks, imports, exports)
 
 
 def get_graph(g: tuple[DataFrame, DataFrame], offset: int = 0, limit: int = 100, type_: str | None = None) -> tuple[DataFrame, DataFrame]:

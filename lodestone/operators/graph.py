@@ -66,17 +66,27 @@ def symbol_id() -> Column:
     return F.concat(F.lit("kg:sym:"), "file", F.lit(":"), "symbol")
 
 
-def edges(files: DataFrame, chunks: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """contains (folder to folder and file), defines (file to symbol), imports (file to file, from resolved imports: file, target)."""
+def edges(files: DataFrame, chunks: DataFrame, imports: DataFrame | None = None, exports: DataFrame | None = None) -> DataFrame:
+    """contains (folder to folder and file), defines (file to symbol), imports and exports (file to file, from what was resolved: file, target)."""
     path = F.col("path")
     out = folders(files.filter(F.col("rel_path").contains("/"))).select(*_edge(folder_id(parent_path(path)), folder_id(path), "contains"))
     out = out.unionByName(files.select(*_edge(folder_id(parent_path(F.col("rel_path"))), F.concat(F.lit("kg:file:"), "rel_path"), "contains")))
     out = out.unionByName(chunks.filter("symbol <> ''").select("file", "symbol").distinct().select(*_edge(F.concat(F.lit("kg:file:"), "file"), symbol_id(), "defines")))
-    if imports is not None:
-        out = out.unionByName(imports.select(*_edge(F.concat(F.lit("kg:file:"), "file"), F.concat(F.lit("kg:file:"), "target"), "imports")).distinct())
+    for found, kind in ((imports, "imports"), (exports, "exports")):
+        if found is not None:
+            out = out.unionByName(found.select(*_edge(F.concat(F.lit("kg:file:"), "file"), F.concat(F.lit("kg:file:"), "target"), kind)).distinct())
     return out
 
 
+def updated(nodes_: DataFrame, edges_: DataFrame, files: DataFrame, chunks: DataFrame, imports: DataFrame | None = None, exports: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph after files were indexed anew: their nodes and what starts at them are replaced, edges of other files to them stay."""
+    n, e = nodes(files, chunks), edges(files, chunks, imports, exports)
+    own = nodes_.filter("type <> 'folder'").join(files.select(F.col("rel_path").alias("file")), "file", "left_semi").select("id")
+    kept = nodes_.join(own.unionByName(n.select("id")), "id", "left_anti")
+    still = edges_.join(own.select(F.col("id").alias("source")), "source", "left_anti").join(e.select("id"), "id", "left_anti")
+    return n.unionByName(kept), e.unionByName(still)
+
+
 def import_paths(texts: DataFrame) -> DataFrame:
     """file, raw: quoted relative paths of import lines (from '..', require('..'), import '..'), the first form of a line that fits."""
     line = texts.select("file", F.explode(F.split("text", "\n")).alias("line"))

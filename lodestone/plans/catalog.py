@@ -312,9 +312,14 @@ def hybrid_enrich(spark, d):
 # Graph -----------------------------------------------------------------------------------------------------------------
 
 
+def _symbols(f: DataFrame, name: str = "doc") -> DataFrame:
+    """One symbol for each file."""
+    return f.select(F.col("rel_path").alias("file"), "language", F.concat(F.lit(name), "doc_id").alias("symbol"), F.lit("struct").alias("kind"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
+
+
 def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
     f = corpus(spark, d)
-    c = f.select(F.col("rel_path").alias("file"), "language", F.concat(F.lit("doc"), "doc_id").alias("symbol"), F.lit("struct").alias("kind"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
+    c = _symbols(f)
     return graph.nodes(f, c), graph.edges(f, c)
 
 
@@ -348,6 +353,16 @@ def graph_edges(spark, d):
     return _graph(spark, d)[1]
 
 
+@query(_g("SELECT id, type FROM nodes UNION ALL SELECT id, type FROM edges"))
+def graph_update(spark, d):
+    """A graph in which some files are missing and some have other symbols, after these files were indexed anew."""
+    f = corpus(spark, d)
+    fresh, known = f.filter("doc_id % 5 = 0"), f.filter("doc_id % 10 <> 0")
+    c = _symbols(known.filter("doc_id % 5 <> 0")).unionByName(_symbols(known.filter("doc_id % 5 = 0"), "old"))
+    n, e = graph.updated(graph.nodes(known, c), graph.edges(known, c), fresh, _symbols(fresh))
+    return n.select("id", "type").unionByName(e.select("id", "type"))
+
+
 @query(_g("SELECT p AS path FROM fold"))
 def graph_folders(spark, d):
     return graph.folders(corpus(spark, d))
@@ -419,6 +434,17 @@ def import_resolve(spark, d):
     return graph.resolve(graph.import_paths(f), f.select(F.col("file").alias("rel_path")))
 
 
+@query("""SELECT 'kg:file:' || s || '|' || type || '|kg:file:' || t AS id, type FROM (VALUES ('src/m.ts', 'src/lib/index.ts', 'imports'), ('src/a/m.ts', 'src/b/n.ts', 'imports'),
+('src/a/m.ts', 'src/a/q.py', 'imports'), ('src/lib/index.ts', 'src/m.ts', 'imports'), ('src/b/n.ts', 'src/a/m.ts', 'exports')) v(s, t, type)""")
+def graph_imports_exports(spark, d):
+    f = spark.createDataFrame(IMPORTS, "file string, text string")
+    out = spark.createDataFrame([("src/b/n.ts", "export { a } from '../a/m'"), ("src/b/n.ts", "export const b = 1")], "file string, text string")
+    files_ = f.select(F.col("file").alias("rel_path"))
+    found = [graph.resolve(graph.import_paths(x), files_) for x in (f, out)]
+    none = f.select("file", F.lit("").alias("symbol"))
+    return graph.edges(files_, none, *found).filter("type <> 'contains'").select("id", "type")
+
+
 @query("SELECT * FROM (VALUES ('src/a/m.ts', 'src/b/n.ts'), ('src/a/m.ts', 'src/a/q.py'), ('src/m.ts', 'src/lib/index.ts'), ('src/lib/index.ts', 'src/m.ts')) v(source, target)")
 def dep_graph(spark, d):
     f = spark.createDataFrame(IMPORTS, "file string, text string").withColumn("rel_path", F.col("file")).withColumn("language", F.lit("ts"))
