@@ -1,12 +1,13 @@
 """Personal data: base patterns, and boosted trees over the spans that high-recall generators propose.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. Generators then propose further spans, which may
-overlap: masked addresses, IPv6, cards with other separators or lengths, national phone numbers. Boosted trees weigh each
-candidate's format and context; a calibration on held-out examples turns margins into probabilities, and a threshold for each
+overlap: masked addresses, IPv6, cards with other separators or lengths, national phone numbers. A run of digit groups, of any
+length, is proposed as every row of successive groups whose digits fit a kind. Boosted trees weigh each candidate's format and
+context; a calibration on held-out examples turns margins into probabilities, and a threshold for each
 kind selects. Of overlapping candidates the likelier stays; none may touch a base span.
 
 The tables hold no labelled personal data, so the trees are trained on sentences made here from fixed seeds: planted values of
-each kind and look-alikes (orders, dates, versions, amounts, serial numbers). Training takes some seconds on the driver.
+each kind and look-alikes (orders, dates, versions, amounts, serial numbers), alone and side by side. Training takes some seconds on the driver.
 """
 
 from __future__ import annotations
@@ -87,14 +88,46 @@ def base_spans(text: str) -> list[Span]:
 _MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({<]\s?at\s?[\])}>]\s?[A-Za-z0-9-]{1,63}(?:(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _MASK_HINT = re.compile(r"[\[({<]\s?at\s?[\])}>]", re.I)
 _V6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z.+])\(?[0-9](?:[0-9]|[\x20().\-/](?=[0-9(\x20])){7,30}+(?![0-9A-Za-z])")
+_V6_SHORT = re.compile(r"(?<![0-9A-Za-z_:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z_]|:[0-9A-Za-z:])")
+_RUN = re.compile(r"[0-9]++(?:(?:[\x20().\-/](?=[0-9(\x20]))++[0-9]++)*+")
+_GROUP = re.compile(r"[0-9]+")
 _GAPS = re.compile(r"[^0-9]+")
+_LEFT = re.compile(r"([0-9]+)([\x20().\-/]+)$")
+_RIGHT = re.compile(r"([\x20().\-/]+)([0-9]+)")
 _PHONE_WORDS = re.compile(r"phone|tel|call|mobile|cell|fax|whatsapp|dial|contact|appel|anruf|ruf|movil|llam", re.I)
 _CARD_WORDS = re.compile(r"card|visa|credit|debit|amex|master|carte|karte|tarjeta|payment|pan\b", re.I)
 _ID_WORDS = re.compile(r"order|invoice|ref|id\b|number|nr\b|no\.|version|build|serial|isbn|date|part|sku|ticket|total|amount|page", re.I)
 _MAIL_WORDS = re.compile(r"mail|write|contact|send|reach|adress|address|correo", re.I)
 
 
+def _numbers(text: str) -> list[Span]:
+    """Of each run of digit groups every row of successive groups with 13 to 19 digits (card) or 8 to 15 (phone), with its opening bracket."""
+    found: list[Span] = []
+    for run in _RUN.finditer(text):
+        at, end = run.span()
+        if end - at < 8:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, at, end)]
+        whole = not text[end : end + 1].isascii() or not text[end : end + 1].isalpha()
+        outer = text[at - 1 : at]
+        for i, (first, _) in enumerate(groups):
+            if not i and outer and (outer in ".+" or outer.isascii() and outer.isalpha()):
+                continue
+            n = 0
+            for j in range(i, len(groups)):
+                last = groups[j][1]
+                n += last - groups[j][0]
+                if n > 19:
+                    break
+                if n >= 8 and (whole or j < len(groups) - 1):
+                    start = first - 1 if text[first - 1 : first] == "(" and ")" in text[first:last] else first
+                    if n >= 13:
+                        found.append((2, start, last))
+                    if n <= 15:
+                        found.append((3, start, last))
+    return found
+
+
 def candidates(text: str, taken: list[Span]) -> list[Span]:
     """Spans that generators propose; they may overlap each other, not the taken ones."""
     found: list[Span] = []
@@ -102,19 +135,21 @@ def candidates(text: str, taken: list[Span]) -> list[Span]:
         found += [(0, m.start(), m.end()) for m in _MASKED.finditer(text)]
     if text.count(":") >= 7:
         found += [(1, m.start(), m.end()) for m in _V6.finditer(text)]
-    if _HINT.search(text) or "/" in text:
-        for m in _NUMBER.finditer(text):
-            n = len(_digits(m[0]))
-            if 13 <= n <= 19:
-                found.append((2, m.start(), m.end()))
-            if 8 <= n <= 15:
-                found.append((3, m.start(), m.end()))
+    if "::" in text:
+        found += [(1, m.start(), m.end()) for m in _V6_SHORT.finditer(text) if 1 <= sum(map(bool, m[0].split(":"))) <= 7]
+    found += _numbers(text)
     # Of the taken spans that start before a candidate's end, the furthest end tells whether one touches it.
     begins = sorted((s, e) for _, s, e in taken)
     ends = [-1, *accumulate((e for _, e in begins), max)]
     return [c for c in found if ends[bisect_left(begins, (c[2],))] <= c[1]]
 
 
+def _assigned(s: str) -> bool:
+    """Whether an IPv6 address begins as assigned ones do: global, unique local, link-local or multicast, or is the loopback."""
+    first = int(s[: s.find(":")] or "0", 16)
+    return 0x2000 <= first <= 0x3FFF or 0xFC00 <= first <= 0xFDFF or 0xFE80 <= first <= 0xFEBF or first >= 0xFF00 or s == "::1"
+
+
 def features(text: str, c: Span) -> list[float]:
     """Format of the span and the words and characters around it."""
     kind, start, end = c
@@ -124,6 +159,8 @@ def features(text: str, c: Span) -> list[float]:
     sizes = [len(g) for g in groups] or [0]
     gaps = {g for g in _GAPS.findall(s) if g}
     last, after = text[start - 1 : start], text[end : end + 1]
+    # The groups beside a row of groups tell whether it is cut from a longer number.
+    left, right = _LEFT.search(before), _RIGHT.match(text, end, end + 30)
     return [
         float(kind == 0), float(kind == 1), float(kind == 2), float(kind == 3),
         len(s), len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1],
@@ -133,6 +170,9 @@ def features(text: str, c: Span) -> list[float]:
         float(len(sizes) > 1 and set(sizes[1:]) == {3} and len(gaps) == 1), float(digits[:1] in "3456" and digits != ""),
         float(bool(_PHONE_WORDS.search(before))), float(bool(_CARD_WORDS.search(before))), float(bool(_ID_WORDS.search(before))), float(bool(_MAIL_WORDS.search(before))),
         float(last in "#$€£=_:"), float(after in "%€$£_=" and after != ""),
+        len(left[1]) if left else 0, len(right[2]) if right else 0, float(bool(left) and left[2] in gaps), float(bool(right) and right[1] in gaps),
+        float(bool(left) and left[2] != " "), float(bool(right) and right[1] != " "), s.count(":"), float("::" in s), float(kind == 1 and _assigned(s)),
+        float(sizes in ([4, 4, 4, 4], [4, 6, 5], [4, 4, 4, 4, 3], [4, 4, 4, 1])), float(sizes in ([3, 3, 4], [2, 2, 2, 2, 2], [4, 3, 3, 3])), float(len(gaps) == len(sizes) - 1),
     ]
 
 
@@ -166,6 +206,53 @@ def _example(rng: random.Random) -> tuple[str, int, str]:
     return f"{left} {lead} {s} {right}", kind, s
 
 
+def _row(rng: random.Random) -> tuple[str, list[Span]]:
+    """Numbers side by side as in lists and table rows, or a compressed IPv6 address or what looks like one, and the planted spans."""
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = ("an", "tier", "leos", "cha", "moru", "bad", "add", "list", "std", "face")
+    text, spans = " ".join(rng.choice(words) for _ in range(3)) + " ", []
+    if rng.random() < 0.2:
+        parts = [f"{rng.randrange(65536):x}" for _ in range(rng.randint(1, 6))]
+        cut = rng.randint(0, len(parts))
+        good = rng.random() < 0.5
+        if good:
+            s = rng.choice((f"{rng.choice(('2001', 'fe80', '2a02', 'fd00'))}:{':'.join(parts[:cut])}::{':'.join(parts[cut:])}".replace(":::", "::"), f"fe80::{':'.join(parts)}", "::1"))
+        else:
+            s = rng.choice((f"{rng.choice(words)}::{rng.choice(words)}", f"{num(2)}::{num(2)}", "a::b", "::", f"::{rng.choice(words)}", f"{rng.choice(words)}::"))
+        lead = rng.choice(("host", "from", "address", "ping", "server")) if good else rng.choice(("call", "use", "type", "from", "at"))
+        text += f"{lead} "
+        if good:
+            spans.append((1, len(text), len(text) + len(s)))
+        return text + s + rng.choice((" ", ", ", ". ", "")) + " ".join(rng.choice(words) for _ in range(3)), spans
+    mode = rng.choice((2, 3, 3, -1, -1))
+    lead = {2: ("card", "visa", "cards:", "payment", "paid with"), 3: ("phone", "tel", "call", "phones:", "mobile", "fax"), -1: ("order", "total", "row", "page", "data", "")}[mode]
+    text += rng.choice((*lead, "")) + " "
+    join = rng.choice((" ", " ", "  ", "    ", " / ", "/", ", "))
+    gap, style = rng.choice((" ", "-", ".")), rng.randrange(6)
+    for k in range(rng.randint(2, 6) if mode == -1 else rng.randint(1, 4)):
+        kind, s = mode, ""
+        if mode == 2 and k % 2 == 0:
+            d = _with_luhn(rng, rng.choice((13, 15, 16, 16, 16, 16, 19)))
+            cuts = [d[:4], d[4:10], d[10:]] if len(d) == 15 else [d[i : i + 4] for i in range(0, len(d), 4)]
+            s = gap.join(cuts)
+        elif mode == 2:
+            kind, s = -1, rng.choice((f"{num(2)}/{num(2)}", f"{num(2)}/20{num(2)}", num(3), f"{num(2)}/{num(2)} {num(3)}", f"{num(1)}.{num(2)}"))
+            if rng.random() < 0.25:
+                kind, s = 2, gap.join(d[i : i + 4] for d in [_with_luhn(rng, 16)] for i in range(0, 16, 4))
+        elif mode == 3 and (k == 0 or rng.random() < 0.7):
+            a = f"{rng.choice('2345678')}{num(2)}"
+            s = (f"{a}-{num(3)}-{num(4)}", f"({a}) {num(3)}-{num(4)}", f"{a}.{num(3)}.{num(4)}", f"0{rng.choice('1234567')} {num(2)} {num(2)} {num(2)} {num(2)}", f"({a}) {num(3)} {num(4)}", f"00{rng.choice('1345')}{num(1)} {num(3)} {num(3)} {num(3)}")[style]
+        elif mode == 3:
+            kind, s = -1, rng.choice((num(2), num(3), f"{num(2)}/{num(2)}/{num(4)}", f"20{num(2)}-{num(2)}-{num(2)}", num(5)))
+        else:
+            s = rng.choice((num(rng.randint(1, 6)), num(rng.randint(1, 6)), num(4), num(style + 1), f"{num(3)}.{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(3)}.{num(3)}", f"{num(2)}-{num(2)}", num(rng.randint(8, 14))))
+        text += join if k else ""
+        if kind >= 0:
+            spans.append((kind, len(text), len(text) + len(s)))
+        text += s
+    return f"{text} {rng.choice(words)} {rng.choice(words)}", spans
+
+
 @dataclass(frozen=True)
 class Model:
     """p = sigmoid(scale * margin + shift); a candidate of a kind is taken from its threshold on."""
@@ -182,7 +269,7 @@ class Model:
 @lru_cache(maxsize=4)
 def train(examples: int = 6000, precision: float = 0.99, seed: int = 11) -> Model:
     """Two thirds of the examples grow the trees, the others calibrate: Platt scaling, then for each kind the least threshold that keeps the precision."""
-    rng = random.Random(seed)
+    rng, beside, rows = random.Random(seed), random.Random(seed + 1), []
     x: list[list[float]] = []
     y: list[bool] = []
     for _ in range(examples):
@@ -191,6 +278,12 @@ def train(examples: int = 6000, precision: float = 0.99, seed: int = 11) -> Mode
         for c in candidates(text, base_spans(text)):
             x.append(features(text, c))
             y.append(c[0] == kind and where <= c[1] + 1 and c[2] <= where + len(planted) + 1 and c[2] - c[1] >= len(planted) - 2)
+        if len(rows) < examples // 2:
+            rows.append(_row(beside))
+            text, spans = rows[-1]
+            for c in candidates(text, base_spans(text)):
+                x.append(features(text, c))
+                y.append(c in spans)
     a, b = np.array(x, float), np.array(y, float)
     own = np.arange(len(a)) % 3 < 2
     trees = fit(a[own], b[own], rounds=50)
