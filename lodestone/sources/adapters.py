@@ -1,7 +1,7 @@
 """Symbols, imports, exports and comments of source files.
 
-Line-based formats and plain text are cut up by Spark itself (text_sections, paragraphs). Languages with a grammar go
-through one Arrow pass: a table of declarations for each language names what starts a symbol, and the end of its block is
+All files go through one Arrow pass; whole tables of plain text can also be cut up by Spark itself (text_sections, paragraphs).
+For languages with a grammar a table of declarations for each language names what starts a symbol, and the end of its block is
 found by braces, by indentation or by `end`. A file that cannot be parsed gives an error and no symbols, and stops nothing.
 """
 
@@ -374,6 +374,35 @@ def log_lines(text: str) -> list[Symbol]:
     return out
 
 
+def generic(text: str) -> list[Symbol]:
+    """The paragraphs of an unknown file, all of them, each where it stands."""
+    out, line, at = [], 1, 0
+    for m in [*re.finditer(r"\n\s*\n", text), None]:
+        p = text[at : m.start() if m else len(text)]
+        if p.strip():
+            first = p.split("\n", 1)[0].strip()[:80]
+            out.append(sym(first or f"paragraph_{len(out)}", "module", line, line + p.count("\n"), size=len(p)))
+        if m:
+            line, at = line + p.count("\n") + m[0].count("\n"), m.end()
+    return out
+
+
+def plain_text(text: str) -> list[Symbol]:
+    """Headed sections (as text_sections), after the paragraphs before the first; without headings paragraphs parted by blank lines."""
+    lines = text.split("\n")
+    bare = [x.strip() for x in lines]
+    heads = [i for i, x in enumerate(bare) if len(x) >= 3 and (x == x.upper() and re.search("[A-Z]", x) or i + 1 < len(bare) and re.fullmatch("[=-]{3,}", bare[i + 1]))]
+    out, part = [], []
+    for i in range(heads[0] + 1 if heads else len(bare) + 1):
+        if i < len(bare) and bare[i] and i not in heads[:1]:
+            part.append(bare[i])
+        elif part:
+            name = " ".join(part)
+            out.append(sym(name[:50], "section", i - len(part) + 1, i, size=len(name)))
+            part = []
+    return out + [sym(bare[i], "section", i + 1, end) for i, end in zip(heads, [*heads[1:], len(lines)], strict=False)]
+
+
 def astro(text: str) -> list[Symbol]:
     out, head = [], None
     for i, line in enumerate(map(str.strip, text.split("\n"))):
@@ -398,14 +427,14 @@ def astro(text: str) -> list[Symbol]:
 PARSERS: dict[str, Callable[[str], list[Symbol]]] = (
     {k: declared(v, _brace_end) for k, v in BRACES.items()}
     | {k: declared(v, _indent_end) for k, v in INDENTED.items()}
-    | {"py": python, "html": html, "xml": xml, "vue": component, "svelte": component, "json": json_keys, "json-variants": json_keys, "sql": sql, "dockerfile": dockerfile, "toml": toml, "yaml": yaml, "markdown": markdown, "csv": csv_columns, "svg": svg, "astro": astro}
+    | {"py": python, "html": html, "xml": xml, "vue": component, "svelte": component, "json": json_keys, "json-variants": json_keys, "sql": sql, "dockerfile": dockerfile, "toml": toml, "yaml": yaml, "markdown": markdown, "csv": csv_columns, "svg": svg, "astro": astro, "generic": generic}
 )
 #: Languages whose parser depends on the file's ending; the first that fits.
 BY_ENDING: dict[str, list[tuple[str, Callable[[str], list[Symbol]]]]] = {
     "config": [(".gitignore", patterns_file), (".ini", lambda t: keyed(t, True)), (".cfg", lambda t: keyed(t, True)), (".editorconfig", lambda t: keyed(t, True)), ("", lambda t: keyed(t, False))],
     "documentation": [(".rst", rst), ("", adoc)],
     "salesforce": [(".cls", apex), (".trigger", apex), (".page", visualforce), (".component", visualforce), (".cmp", aura), (".app", aura), (".evt", aura), (".intf", aura), ("", salesforce_meta)],
-    "text": [(".log", log_lines)],
+    "text": [(".log", log_lines), ("", plain_text)],
 }
 
 

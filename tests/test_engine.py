@@ -142,6 +142,28 @@ def test_text_sections(spark):
     assert [(r.name, r.start_line, r.end_line) for r in adapters.paragraphs(p).collect()] == [("a b", 1, 2), ("d", 5, 5)]
 
 
+def test_plain_text_and_unknown_files_are_indexed(spark, tmp_path):
+    """Long .txt files and files of unknown kind get symbols, chunks and vectors for all their text, and are found."""
+    src = tmp_path / "src"
+    src.mkdir()
+    filler = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(130)]
+    (src / "headed.txt").write_text("intro zebra\n\nFIRST PART\n" + "\n".join(filler) + "\nSecond\n------\n" + "\n".join(filler) + "\nwalrus")
+    (src / "loose.txt").write_text("\n\n".join(filler) + "\n\nocelot here")
+    (src / "unknown.xyz").write_text("\n\n".join(filler) + "\n\n\nsame\n\nsame\n\nmarmot here\n")
+    store = Store(spark, str(tmp_path / "store"))
+    api.index(spark, str(src), store)
+    text = {f: "\n".join(r.content for r in store.read("chunks").filter(F.col("file") == f).collect()) for f in ("headed.txt", "loose.txt", "unknown.xyz")}
+    for f, found in text.items():
+        assert not set((src / f).read_text().split()) - set(found.split()), f
+    assert store.read("vectors").count() == store.read("chunks").count()
+    for word, f in (("zebra", "headed.txt"), ("walrus", "headed.txt"), ("ocelot", "loose.txt"), ("marmot", "unknown.xyz")):
+        assert api.search(spark, store, word).first().file == f
+    of = lambda *a: [(s["name"], s["type"], s["start"], s["end"]) for s in adapters.parse(*a)[0]]
+    assert of("text", "a.txt", "TITLE\nbody\nUnder\n-----\nx") == [("TITLE", "section", 1, 2), ("Under", "section", 3, 5)]
+    assert of("text", "a.txt", "a b\nc\n\n \nd\n") == [("a b c", "section", 1, 2), ("d", "section", 5, 5)]
+    assert of("generic", "a.xyz", "a b\nc\n\n \nd\n\na b\nc") == [("a b", "module", 1, 2), ("d", "module", 5, 5), ("a b", "module", 7, 8)]
+
+
 def test_embedding_and_layout():
     e = vector.HashingProvider(64)
     a, b, c = e.embed(["running fast", "run fast", ""])
