@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ TOKENS = 512
 #: Kinds in order of preference; any other kind comes last.
 PRIORITY = {"function": 0, "method": 1, "class": 2, "interface": 3, "struct": 3, "trait": 3, "enum": 4, "module": 5}
 _LAST = 99
+_FAR = 2**31
 
 
 def priority(kind: Column) -> Column:
@@ -22,9 +25,24 @@ def priority(kind: Column) -> Column:
 
 def choose(symbols: DataFrame) -> DataFrame:
     """file, kept: the symbols (name, type, start_line, end_line, seq) of each file that no preferred symbol overlaps, best first."""
+
+    @F.arrow_udf("array<int>")
+    def free(starts, ends):
+        import pyarrow as pa
+
+        out = []
+        for first, last in zip(starts.to_pylist(), ends.to_pylist(), strict=True):
+            kept: list[tuple[int, int]] = []  # in order and apart, so only the last one that starts before an end can overlap
+            out.append([])
+            for i, (a, b) in enumerate(zip(first, last, strict=True)):
+                k = bisect_right(kept, (b, _FAR))
+                if not k or kept[k - 1][1] < a:
+                    kept.insert(k, (a, b))
+                    out[-1].append(i)
+        return pa.array(out, pa.list_(pa.int32()))
+
     s = symbols.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(priority(F.col("type")).alias("p"), "start_line", "seq", "end_line", "name", "type"))).alias("all"))
-    free = lambda kept, x: ~F.exists(kept, lambda y: (y["start_line"] <= x["end_line"]) & (y["end_line"] >= x["start_line"]))
-    return s.select("file", F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(free(kept, x), F.array_append(kept, x)).otherwise(kept)).alias("kept"))
+    return s.select("file", F.transform(free("all.start_line", "all.end_line"), lambda i: F.get("all", i)).alias("kept"))
 
 
 def pack(lines: Column, base: Column) -> Column:
@@ -49,9 +67,10 @@ def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     files: rel_path, language, text; symbols: file, seq, name, type, start_line, end_line."""
     f = files.select(F.col("rel_path").alias("file"), "language", "text", F.split("text", "\n").alias("lines")).join(choose(symbols), "file", "left")
     f = f.withColumn("kept", F.coalesce("kept", F.array().cast(f.schema["kept"].dataType)))
-    each = f.select("file", "language", "lines", F.explode("kept").alias("k"))
-    part = F.slice("lines", F.col("k")["start_line"], F.greatest(F.lit(0), F.col("k")["end_line"] - F.col("k")["start_line"] + 1))
-    each = each.select("file", "language", F.col("k")["name"].alias("symbol"), F.col("k")["type"].alias("kind"), F.col("k")["start_line"].alias("first"), F.col("k")["end_line"].alias("last"), part.alias("part"))
+    # Each symbol takes its lines before it becomes a row: a row for each symbol with all lines would grow with the square of a file.
+    end = lambda k: F.least(k["end_line"], F.size("lines"))
+    part = lambda k: F.when(end(k) < k["start_line"], F.array().cast("array<string>")).otherwise(F.transform(F.sequence(k["start_line"], end(k)), lambda i: F.get("lines", i - 1)))
+    each = f.select("file", "language", F.explode(F.transform("kept", lambda k: F.struct(k["name"].alias("symbol"), k["type"].alias("kind"), k["start_line"].alias("first"), k["end_line"].alias("last"), part(k).alias("part")))).alias("k")).select("file", "language", "k.*")
     each = each.withColumn("whole", token_estimate(F.array_join("part", "\n")) <= TOKENS)
     ranges = F.when(F.col("whole"), F.array(F.struct(F.col("first").cast("int").alias("s"), F.col("last").cast("int").alias("e")))).otherwise(pack(F.col("part"), F.col("first")))
     cut = each.withColumn("r", F.explode(ranges)).select(

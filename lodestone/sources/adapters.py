@@ -183,11 +183,11 @@ def component(text: str) -> list[Symbol]:
 
 def json_keys(text: str) -> list[Symbol]:
     """Every key, below the key that holds it; comments and trailing commas are let pass."""
-    out, stack, i, line, key = [], [], 0, 1, None
+    out, stack, at, line, key = [], [], 0, 1, None
     for m in re.finditer(r"\n|\"(?:\\.|[^\"\\])*\"(?=(\s*:)?)|//[^\n]*|/\*.*?\*/|[{}\[\]]", text, re.S):
         token = m[0]
-        line = text.count("\n", 0, m.start()) + 1 if i < 20_000 else line
-        i += 1
+        line += text.count("\n", at, m.start())
+        at = m.start()
         if token in "{[":
             stack.append(key)
         elif token in "}]":

@@ -164,6 +164,18 @@ def test_plain_text_and_unknown_files_are_indexed(spark, tmp_path):
     assert of("generic", "a.xyz", "a b\nc\n\n \nd\n\na b\nc") == [("a b", "module", 1, 2), ("d", "module", 5, 5), ("a b", "module", 7, 8)]
 
 
+def test_json_of_many_tokens(spark):
+    """Keys of a large JSON file keep their own lines, and each has its chunk."""
+    n = 9000
+    text = "{\n" + ",\n".join(f'  "k{i}": "v{i}"' for i in range(n - 1)) + ',\n  /* of\n two lines */ "last": {\n    "inner": 1\n  }\n}\n'
+    s, *_, error = adapters.parse("json", "big.json", text)
+    assert error is None and [(x["name"], x["start"]) for x in s] == [(f"k{i}", i + 2) for i in range(n - 1)] + [("last", n + 2), ("inner", n + 3)]
+    assert s[-1]["parent"] == n + 2
+    f = spark.createDataFrame([("big.json", "json", text)], "file string, language string, text string")
+    c = chunking.chunks(f.withColumnRenamed("file", "rel_path"), adapters.symbols(f)).select("symbol", "start_line", "content").collect()
+    assert len(c) == n + 1 and {r.symbol for r in c} == {x["name"] for x in s} and all(f'"{r.symbol}"' in r.content for r in c)
+
+
 def test_embedding_and_layout():
     e = vector.HashingProvider(64)
     a, b, c = e.embed(["running fast", "run fast", ""])
