@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..functions.text import stems
 from .keyword import top
 
 TOP_K = 30
-#: Query vectors scored together; each takes one column of the scan.
-BLOCK = 64
+#: Query vectors scored together, and rows scored with them at once.
+BLOCK, SLAB = 64, 2048
 TIERS = (("light", 384, 46), ("balanced", 768, 109), ("max", 1024, 1100))
 
 
@@ -54,13 +56,39 @@ def knn(vectors: DataFrame, query: list[float], k: int = TOP_K) -> DataFrame:
 
 
 def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = TOP_K) -> DataFrame:
-    """query_id, vec_id, distance, pos for each of a stated set of queries, taken in blocks: each block's vectors are literals of one
-    scan, and a row's distances to them are exploded just before the top-k, so nothing is paired by a join."""
-    out = None
-    for at in range(0, len(queries), BLOCK):
-        part = queries[at : at + BLOCK]
-        asked = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for i, v in part])
-        each = F.transform(asked, lambda q: F.struct(q["query_id"].alias("query_id"), squared_distance(F.col("embedding"), q["v"]).alias("distance")))
-        hits = top(vectors.select("vec_id", F.explode(each).alias("h")).select("h.query_id", "vec_id", "h.distance"), "distance", "vec_id", k)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """query_id, vec_id, distance, pos for each of a stated set of queries: one Arrow pass over the vectors, in which queries are taken
+    in blocks and a task keeps k rows of each query, so nothing is paired by a join.
+
+    Products of matrices bound the distances; those that may be among the k least are then computed as squared_distance does."""
+    names, asked = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
+    kind, block, slab = vectors.schema["vec_id"].dataType.simpleString(), BLOCK, SLAB
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = range(0, len(names), block)
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(starts)  # query's place, vec_id, distance
+        bound, lengths, id_type = np.full(len(names), np.inf), (asked**2).sum(-1), None
+        for b in (x.slice(at, slab) for x in batches for at in range(0, x.num_rows, slab)):
+            id_type = b.column("vec_id").type
+            ids = np.array(b.column("vec_id").to_pylist())
+            rows = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), asked.shape[1])
+            own = (rows**2).sum(1)
+            for n, at in enumerate(starts):
+                q, far = asked[at : at + block], bound[at : at + block]
+                near = own[:, None] + lengths[at : at + block] - 2 * (rows @ q.T)
+                slack = 1e-9 * (own.max() + lengths[at : at + block])
+                least = np.partition(near, k - 1, axis=0)[k - 1] if len(ids) > k else np.inf
+                r, c = np.nonzero(near <= np.minimum(least, far) + slack)
+                d = ((rows[r] - q[c]) ** 2).sum(1)
+                new = (c, ids[r], d)
+                place, name, d = new if best[n] is None else (np.concatenate(x) for x in zip(best[n], new, strict=True))
+                order = np.lexsort((name, d, place))
+                place, name, d = place[order], name[order], d[order]
+                rank = np.arange(len(place)) - np.searchsorted(place, place)
+                far[place[rank == k - 1]] = d[rank == k - 1]
+                best[n] = (place[rank < k], name[rank < k], d[rank < k])
+        for at, found in zip(starts, best, strict=True):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(names[at + found[0]]), pa.array(found[1].tolist(), id_type), pa.array(found[2])], ["query_id", "vec_id", "distance"])
+
+    hits = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(nearest, f"query_id long, vec_id {kind}, distance double")
+    return top(hits, "distance", "vec_id", k)

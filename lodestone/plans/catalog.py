@@ -260,6 +260,14 @@ def vec_knn_batch(spark, d):
     return vector.knn_batch(t(spark, d, "embeddings"), _vector(spark, d, list(range(8)))).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_DIST}, 6) AS distance FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) <= 30")
+def vec_knn_fiftieth(spark, d):
+    """Every fiftieth vector against all: the set of queries grows with the table, so it takes more than one block."""
+    e = t(spark, d, "embeddings")
+    rows = e.filter("vec_id % 50 = 0").select("vec_id", "embedding").collect()  # the stated queries
+    return vector.knn_batch(e, [(r.vec_id, list(r.embedding)) for r in sorted(rows)]).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 def _merged(spark, d) -> DataFrame:
     """Hits of one query over the documents (keyword) and over the vectors of the same numbers."""
     kw = keyword.minmax(_hits(spark, d, {"q": "of that the"}, 60)).select(F.col("doc_id").alias("id"), "score", "pos")

@@ -176,6 +176,33 @@ def test_json_of_many_tokens(spark):
     assert len(c) == n + 1 and {r.symbol for r in c} == {x["name"] for x in s} and all(f'"{r.symbol}"' in r.content for r in c)
 
 
+def test_knn_of_many_queries(spark):
+    """Every fiftieth vector of a table that takes several blocks and slabs, with many equal vectors, against plain NumPy."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(5000, 8)).astype(np.float32)
+    v[1000:4000] = v[0]
+    rows = [(f"v{i:05d}", [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame([*rows, ("none", None)], "vec_id string, embedding array<float>").repartition(3)
+    asked = list(range(0, 5000, 50))
+    assert len(asked) > vector.BLOCK and len(rows) > vector.SLAB
+    got = {}
+    for r in vector.knn_batch(df, [(i, rows[i][1]) for i in asked], 7).collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.vec_id, round(r.distance, 9)))
+    d = ((v[asked].astype(float)[:, None, :] - v.astype(float)) ** 2).sum(-1)
+    for q, i in enumerate(asked):
+        want = np.lexsort((np.arange(5000), d[q]))[:7]
+        assert sorted(got[i]) == [(p + 1, rows[j][0], round(float(d[q, j]), 9)) for p, j in enumerate(want)]
+
+
+def test_fiftieth_asks_every_stated_query(spark, sf):
+    from lodestone.plans import catalog
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    assert n > 8 and catalog.QUERIES["vec_knn_fiftieth"](spark, sf).select("query_id").distinct().count() == n
+
+
 def test_embedding_and_layout():
     e = vector.HashingProvider(64)
     a, b, c = e.embed(["running fast", "run fast", ""])
