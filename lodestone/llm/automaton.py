@@ -1,4 +1,5 @@
-"""Regular expressions over bytes to minimal deterministic automata, by subset construction and partition refinement.
+"""Regular expressions over bytes to minimal deterministic automata, by subset construction and partition refinement;
+automata that find the spans of many rules in one pass.
 
 Syntax: literals, \\xHH and escaped metacharacters, [classes], ( ), |, *, +, ?, {m}, {m,}, {m,n}.
 """
@@ -7,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
 META = "()[]{}|*+?\\"
 
 
@@ -161,6 +164,21 @@ class Automaton:
     accepts: tuple[int, ...]
 
 
+def _letters(tree) -> frozenset:
+    """The byte sets of a tree."""
+    if tree[0] == "set":
+        return frozenset([tree[1]])
+    return frozenset().union(*map(_letters, tree[1] if tree[0] in ("cat", "alt") else [tree[1]]))
+
+
+def _byte_classes(sets) -> tuple[bytes, list[int]]:
+    """The class of each byte, as the sets tell bytes apart, and a byte of each class. sets: byte sets, or sets of them."""
+    flat = sorted({x for s in sets for x in (s if s and isinstance(next(iter(s)), frozenset) else [s])}, key=sorted)
+    keys: dict[tuple[bool, ...], int] = {}
+    classes = bytes(keys.setdefault(tuple(b in s for s in flat), len(keys)) for b in range(256))
+    return classes, [classes.index(c) for c in range(len(keys))]
+
+
 def compile_patterns(trees: list, anchored: bool) -> Automaton:
     """One automaton for all trees. Not anchored: a match may begin at any byte."""
     nfa = _Nfa()
@@ -168,11 +186,7 @@ def compile_patterns(trees: list, anchored: bool) -> Automaton:
     for k, tree in enumerate(trees):
         starts.append(s := nfa.state())
         ends[nfa.build(tree, s)] = k
-    sets = {x[0] for x in nfa.on if x}
-    ordered = sorted(sets, key=sorted)
-    keys: dict[tuple[bool, ...], int] = {}
-    classes = bytes(keys.setdefault(tuple(b in s for s in ordered), len(keys)) for b in range(256))
-    sample = [classes.index(c) for c in range(len(keys))]
+    classes, sample = _byte_classes([x[0] for x in nfa.on if x])
     first = nfa.closed(starts)
     moves = {q: (x[0], nfa.closed([x[1]])) for q, x in enumerate(nfa.on) if x}
     again = first if not anchored else frozenset()
@@ -207,3 +221,89 @@ def _minimal(classes: bytes, table: list[list[int]], accepts: list[int]) -> Auto
         n = len(keys)
     one = {p: q for q, p in reversed(list(enumerate(part)))}  # the first state of each part
     return Automaton(classes, tuple(tuple(part[t] for t in table[one[p]]) for p in range(n)), tuple(accepts[one[p]] for p in range(n)))
+
+
+@dataclass(frozen=True)
+class Search:
+    """One deterministic automaton that finds the leftmost, longest, non-overlapping matches of each of several rules.
+
+    classes: 256 bytes, the class of each byte. table[state, class]: the next state; state 0 starts. done[state, class]: bit k is
+    set if a match of rule k ended before the byte that is read. last[state]: bit k is set if a match of rule k ends here and the
+    text too."""
+
+    classes: bytes
+    table: np.ndarray
+    done: np.ndarray
+    last: np.ndarray
+
+
+def _searcher(tree, sample: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """table, done and last of one rule.
+
+    A state holds the sets of places inside the rule that threads are at, a set for each start of a thread, the oldest first,
+    and whether the oldest has just matched. A match ends the younger threads, which overlap it. That a match is whole is known
+    when its thread does not go on; the threads that are left began after it."""
+    nfa = _Nfa()
+    start = nfa.state()
+    end = nfa.build(tree, start)
+    first = nfa.closed([start])
+    if end in first:
+        raise ValueError("a rule that matches nothing at all has no spans")
+    moves = {q: (x[0], nfa.closed([x[1]])) for q, x in enumerate(nfa.on) if x}
+    number: dict = {((), False): 0}
+    todo, table, done = [((), False)], [], []
+    for threads, matched in todo:
+        row, out = [], []
+        for b in sample:
+            seen: set[int] = set()
+            moved = []
+            for places in (*threads, first):
+                to = frozenset(t for q in places if q in moves and b in moves[q][0] for t in moves[q][1]) - seen
+                seen |= to
+                moved.append(to)
+            over = matched and not moved[0]
+            if matched and not over and end not in moved[0]:
+                raise ValueError("a rule must not go on after a match without matching again")
+            moved = [m for m in moved if m]
+            hit = next((i for i, m in enumerate(moved) if end in m), None)
+            if hit:
+                raise ValueError("a match must not lie inside what an earlier start may still match")
+            state = ((moved[0],), True) if hit == 0 else (tuple(moved), False)
+            if state not in number:
+                number[state] = len(number)
+                todo.append(state)
+            row.append(number[state])
+            out.append(over)
+        table.append(row)
+        done.append(out)
+    return np.array(table), np.array(done), np.array([m for _, m in number])
+
+
+def search(trees: list) -> Search:
+    """The automata of the rules by subset construction, their product (what the subset construction of all rules at once
+    would reach), and its minimisation. Raises ValueError for rules whose matches could not be told in one pass."""
+    classes, sample = _byte_classes([_letters(t) for t in trees])
+    parts = [_searcher(t, sample) for t in trees]
+    sizes = [len(t) for t, _, _ in parts]
+    radix = np.cumprod([1, *sizes[:-1]]).astype(object)
+    if int(radix[-1]) * sizes[-1] >= 1 << 62 or len(trees) > 31:
+        raise ValueError("too many rules for one automaton")  # their codes would not fit in 64 bits
+    radix = radix.astype(np.int64)
+    codes, frontier, rows = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+    while len(frontier):
+        rows.append((frontier, sum(t[frontier // r % len(t)].astype(np.int64) * r for (t, _, _), r in zip(parts, radix, strict=True))))
+        frontier = np.setdiff1d(np.unique(rows[-1][1]), codes)
+        codes = np.concatenate([codes, frontier])
+    own, to = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    order = np.argsort(own)  # the start is code 0 and stays first
+    own, table = own[order], np.searchsorted(own[order], to[order])
+    done = sum(d[own // r % len(d)].astype(np.int64) << k for k, ((_, d, _), r) in enumerate(zip(parts, radix, strict=True)))
+    last = sum(m[own // r % len(m)].astype(np.int64) << k for k, ((_, _, m), r) in enumerate(zip(parts, radix, strict=True)))
+    part, n = np.unique(np.column_stack([done, last]), axis=0, return_inverse=True)[1].reshape(-1), 0
+    while part.max() + 1 > n:  # states that no continuation tells apart become one
+        n = part.max() + 1
+        part = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)[1].reshape(-1)
+    one = np.unique(part, return_index=True)[1]
+    swap = np.arange(n)
+    swap[[0, part[0]]] = part[0], 0  # the start is state 0
+    return Search(classes, swap[part[table[one]]][swap].astype(np.int32), done[one][swap].astype(np.int32), last[one][swap].astype(np.int32))
