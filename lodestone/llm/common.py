@@ -9,6 +9,7 @@ import uuid
 import weakref
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast if it is known to hold at most so many bytes; beyond that Spark joins by shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Keys with more than one in so many rows are joined apart from the others.
+HOT = 1_000
 
 _shipped: "weakref.WeakSet[SparkContext]" = weakref.WeakSet()
 _staged: list[tuple["weakref.ref[SparkSession]", str]] = []
@@ -67,7 +70,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing needs any more."""
+    path = df._staged_at
+    _staged[:] = [x for x in _staged if x[1] != path]
+    _delete(df.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged inside is deleted at the end, but the tables given to the function that this yields, which returns them."""
+    before, kept = {path for _, path in _staged}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    yield keep
+    for ref, path in list(_staged):
+        if ref() is spark and path not in before and path not in kept:
+            _staged.remove((ref, path))
+            _delete(spark, path)
 
 
 @atexit.register
@@ -77,8 +110,7 @@ def drop_staged() -> None:
         spark = ref()
         try:
             if spark is not None and spark.sparkContext._jsc is not None:
-                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit
             pass
     _staged.clear()
@@ -90,6 +122,19 @@ def small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     return F.broadcast(df) if took <= BROADCAST_BYTES else df
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, most_bytes: int) -> DataFrame:
+    """left with the columns of right, whose keys are unique and which holds most_bytes at most. left: staged.
+
+    Within the bound right is broadcast. Beyond it the two meet by shuffle, but for keys with more than one in HOT of left's rows:
+    those are fewer than HOT, their rows of right are broadcast, and so no task gets more than its part of left."""
+    if most_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), key)
+    per = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(stage(per.filter(F.col("n") * HOT > left.count()).select(key), "hot"))
+    few = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return few.unionByName(left.join(hot, key, "left_anti").join(right, key))
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: str, arrow: pa.Schema) -> DataFrame:
     """Run make()(**columns as Arrow arrays) -> dict of columns over df's batches. Only the named columns reach Python;
     a batch is at most some tens of MB, so memory does not grow with the input."""

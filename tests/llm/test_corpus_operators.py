@@ -18,20 +18,38 @@ def test_vptree_links_dense_and_sparse():
     centre = np.uint64(12345678901234)
     dense = np.unique(np.array([int(centre) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(2500)], np.uint64))
     points = np.unique(np.concatenate([sparse, dense]))
-    for depth in (0, 4):
-        tree = vptree.fit(points[::3], depth, 3)
-        leaf, i, home = vptree.route(tree, points, 3)
-        assert sorted(i[home]) == list(range(len(points)))
+    for leaf in (200, 10_000):
         pairs = []
-        for x in np.unique(leaf):
-            m = leaf == x
-            a, b = vptree.leaf_links(points[i[m]], home[m], 3)
-            pairs += zip(i[m][a].tolist(), i[m][b].tolist(), strict=True)
-        for a, b in pairs[:2000]:
-            assert a != b
+        for half in vptree.HALVES:
+            tree = vptree.fit(points[::3], len(points), leaf, 3, half)
+            at, i, home = vptree.route(tree, points, 3, half)
+            assert sorted(i[home]) == list(range(len(points)))
+            for x in np.unique(at):
+                m = at == x
+                a, b, _ = vptree.leaf_links(points[i[m]], home[m], 3, half)
+                assert np.all(points[i[m]][a] != points[i[m]][b])
+                pairs += zip(i[m][a].tolist(), i[m][b].tolist(), strict=True)
         assert _partition(len(points), pairs) == _partition(len(points), _all_pairs(points))
 
 
+def test_vptree_prunes():
+    """Of unrelated fingerprints, where pruning is hardest, few pairs are compared and few guests made; links over any border are found."""
+    rng = np.random.default_rng(4)
+    points = np.unique(rng.integers(0, 2**64 - 1, 60_000, dtype=np.uint64))
+    moved = np.array([int(p) ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for p in points[::100]], np.uint64)
+    points = np.unique(np.concatenate([points, moved]))
+    pairs, rows, compared = set(), 0, 0
+    for half in vptree.HALVES:
+        at, i, home = vptree.route(vptree.fit(points[::7], len(points), 2000, 3, half), points, 3, half)
+        rows += len(at)
+        for x in np.unique(at):
+            m = at == x
+            a, b, c = vptree.leaf_links(points[i[m]], home[m], 3, half)
+            compared += c
+            pairs |= {frozenset(p) for p in zip(points[i[m]][a].tolist(), points[i[m]][b].tolist(), strict=True)}
+    assert len(pairs) >= 600 and rows < 8 * len(points) and compared < len(points) ** 2 / 12
+
+
 def _all_pairs(p):
     out = []
     for s in range(0, len(p), 500):
@@ -77,12 +95,35 @@ def test_simhash_tables(spark, sf):
 
 
 def test_simhash_shared_tree(spark, sf, monkeypatch):
+    from lodestone.llm import common
+
     monkeypatch.setattr(simhash, "LEAF", 20)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT", 50)
     monkeypatch.setattr(simhash, "LEAF_MOST", 7)
     monkeypatch.setattr(simhash, "OTHERS_MOST", 11)
     monkeypatch.setattr(simhash, "SLAB", 255)
     real = spark.read.parquet(f"{sf}/documents.parquet")
-    assert plain.rows(simhash.near_duplicates(real)) == sorted(plain.near([(r.doc_id, r.text) for r in real.collect()]), key=repr)
+    own = [(r.doc_id, r.text) for r in real.collect()]
+    assert plain.rows(simhash.near_duplicates(real)) == sorted(plain.near(own), key=repr)
+    assert plain.rows(simhash.keep_one(real).select("doc_id")) == sorted({(c,) for _, _, c in plain.near(own)}, key=repr)
+
+
+def test_hot_keys_apart(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    left = common.stage(spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, v long"), "left")
+    right = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = plain.rows(common.join_unique(left, right, "k", 1))
+    assert got == sorted(((k, v, 2 * k) for k, v in ((1 if i % 3 else i, i) for i in range(3000)) if k < 2000), key=repr)
+    with common.passing(spark) as keep:
+        a, b = common.stage(right, "a"), keep(common.stage(right, "b"))
+    assert b.count() == 2000
+    import pytest
+
+    with pytest.raises(Exception):
+        a.count()
 
 
 PAGES = [(3, "http://a/1", "x" * 200), (1, "http://a/2", "x" * 200), (2, None, "short"), (5, "u\r\nv", "short"), (4, "http://a", None), (None, "n", "x" * 200), (6, "é", "é" * 60), (7, "é", "é" * 60), (7, "é", "é" * 60)]
