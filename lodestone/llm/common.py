@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast if it is known to hold at most so many bytes; beyond that Spark joins by shuffle.
 BROADCAST_BYTES = 48 << 20
-#: Keys with more than one in so many rows are joined apart from the others.
-HOT = 1_000
+#: join_unique: the bound of its broadcasts; keys with more than one in so many rows are joined apart from the others.
+UNIQUE_BYTES, HOT = 8 << 20, 1_000
 
 _shipped: "weakref.WeakSet[SparkContext]" = weakref.WeakSet()
 _staged: list[tuple["weakref.ref[SparkSession]", str]] = []
@@ -127,7 +127,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, most_bytes: int) ->
 
     Within the bound right is broadcast. Beyond it the two meet by shuffle, but for keys with more than one in HOT of left's rows:
     those are fewer than HOT, their rows of right are broadcast, and so no task gets more than its part of left."""
-    if most_bytes <= BROADCAST_BYTES:
+    if most_bytes <= UNIQUE_BYTES:
         return left.join(F.broadcast(right), key)
     per = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(stage(per.filter(F.col("n") * HOT > left.count()).select(key), "hot"))

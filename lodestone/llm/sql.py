@@ -81,8 +81,20 @@ places AS (
   FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 found AS (SELECT k, i, n, item_id FROM places JOIN wins USING (n, x)),
 hit AS (SELECT k, count(DISTINCT p) AS c FROM (SELECT k, unnest(range(i, i + n)) AS p FROM found) GROUP BY k),
-items AS (SELECT k, count(DISTINCT item_id) AS c, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS l FROM found GROUP BY k)
+items AS (SELECT k, count(DISTINCT item_id) AS c, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS l FROM found GROUP BY k),
+each AS (SELECT k, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+asked AS (SELECT x, unnest(string_split(x, ' ')) AS t, generate_subscripts(string_split(x, ' '), 1) AS j FROM (SELECT DISTINCT x FROM wins)),
+often AS (SELECT t, count(*) AS c FROM each GROUP BY t),
+ranked AS (SELECT x, t, j, coalesce(c, 0) AS c, count(*) OVER (PARTITION BY x) AS n, min(coalesce(c, 0)) OVER (PARTITION BY x) AS least FROM asked LEFT JOIN often USING (t)),
+anchors AS (SELECT x, t, j, n FROM ranked WHERE least > 0 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c, j) = 1),
+begun AS (SELECT x, k, p - j AS s, n FROM anchors JOIN each USING (t)),
+near AS (
+  SELECT DISTINCT x, k FROM (
+    SELECT b.x, b.k, b.s FROM begun b JOIN asked a ON a.x = b.x JOIN each e ON e.k = b.k AND e.t = a.t AND abs(e.p - a.j - b.s) <= 2
+    GROUP BY b.x, b.k, b.s, b.n HAVING count(DISTINCT a.j) = b.n)),
+near_items AS (SELECT k, count(DISTINCT item_id) AS c, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS l FROM near JOIN wins USING (x) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.c, 0)::BIGINT AS n_hit, coalesce(items.c, 0)::BIGINT AS n_items,
-       sha256(coalesce(items.l, '')) AS items_sha256, coalesce(hit.c, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)
+       sha256(coalesce(items.l, '')) AS items_sha256, coalesce(hit.c, 0) > 0 AS contaminated,
+       coalesce(near_items.c, 0)::BIGINT AS n_near_items, sha256(coalesce(near_items.l, '')) AS near_items_sha256
+FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k) LEFT JOIN near_items USING (k)
 """

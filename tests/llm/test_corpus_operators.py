@@ -99,6 +99,7 @@ def test_simhash_shared_tree(spark, sf, monkeypatch):
 
     monkeypatch.setattr(simhash, "LEAF", 20)
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "UNIQUE_BYTES", -1)
     monkeypatch.setattr(common, "HOT", 50)
     monkeypatch.setattr(simhash, "LEAF_MOST", 7)
     monkeypatch.setattr(simhash, "OTHERS_MOST", 11)
@@ -112,7 +113,7 @@ def test_simhash_shared_tree(spark, sf, monkeypatch):
 def test_hot_keys_apart(spark, monkeypatch):
     from lodestone.llm import common
 
-    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "UNIQUE_BYTES", -1)
     left = common.stage(spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, v long"), "left")
     right = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     got = plain.rows(common.join_unique(left, right, "k", 1))
@@ -165,7 +166,8 @@ def test_contamination_tables(spark, sf):
         n, hit, ids = plain.contamination(t, named)
         ids = [i for i in ids if i != "None"]
         want.append((d, n, hit, len(ids), plain.sha(",".join(ids)), hit > 0))
-    assert plain.rows(decontaminate.contamination(messy, items)) == sorted(want, key=repr)
+    required = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert plain.rows(decontaminate.contamination(messy, items).select(required)) == sorted(want, key=repr)
     assert decontaminate.contamination(messy.limit(0), items).count() == 0
     assert decontaminate.contamination(messy, items.limit(0)).filter("contaminated").count() == 0
     kept = decontaminate.drop_contaminated(messy, items)
@@ -181,10 +183,34 @@ def test_contamination_without_broadcast(spark, sf, monkeypatch):
     assert plain.rows(decontaminate.contamination(docs, bench)) == one
 
 
-def test_proximity(spark):
-    docs = [(1, "a b c d e f"), (2, "a x x x x x b c"), (3, "c x a b"), (4, "b a"), (5, "c x x a x x b")]
-    got = decontaminate.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, "a b c")], "item_id long, text string"), 3)
-    assert plain.rows(got) == [(1, 9), (3, 9)]
+NEAR = [(1, "a b c d e f"), (2, "a x x b x c d"), (3, "a x x x b c d"), (4, "b a d c"), (4, "b a d c"), (5, "d c b a"), (None, "z a b c d"), (6, None), (7, ""), (8, "a b c d a b c d"), (9, "a b c")]
+
+
+def test_proximity(spark, monkeypatch):
+    """Every word of an item within two words of where the phrase would have it, seen from its rarest word (the first of equally rare ones)."""
+    docs, item = [(d, t) for d, t in NEAR], "a b c d"
+    phrases = [("p", item), ("none", "a b c q"), (None, "c d"), ("empty", ""), ("null", None), ("p", item)]
+    counts = Counter(w for _, t in docs for w in (t or "").split())
+
+    def near(text, item, slop=2):
+        w, b = (text or "").split(), item.split()
+        if not b or not all(counts[x] for x in b):
+            return False
+        o = min(range(len(b)), key=lambda j: (counts[b[j]], j))
+        return any(x == b[o] and all(any(y == b[j] and abs((q - j) - (p - o)) <= slop for q, y in enumerate(w)) for j in range(len(b))) for p, x in enumerate(w))
+
+    want = sorted(((d, plain.sha("p" if near(t, item) else "")) for d, t in docs), key=repr)
+    df, items = spark.createDataFrame(docs, "doc_id long, text string").withColumn("tid", F.lit(1)), spark.createDataFrame(phrases, "item_id string, text string")
+    assert len({h for _, h in want}) == 2 and sum(h == plain.sha("p") for _, h in want) > sum(item in (t or "") for _, t in docs)
+    from lodestone.llm import common
+
+    for _ in range(2):
+        got = decontaminate.contamination(df, items)
+        assert plain.rows(got.select("doc_id", "near_items_sha256")) == want
+        assert got.filter("n_near_items < n_items").count() == 0
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert decontaminate.contamination(df.limit(0), items).count() == 0
+    assert decontaminate.contamination(df, items.limit(0)).filter("n_near_items > 0").count() == 0
 
 
 def test_sharding(spark, sf):
