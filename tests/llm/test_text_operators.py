@@ -186,6 +186,122 @@ def test_pii_added_and_table(spark):
     assert clean.filter("doc_id = 3").first().text is None
 
 
+#: Written by hand, apart from what the trees learn from: personal data in brackets, of the kind before.
+SENTENCES = """
+email|For the minutes write to [sarah.connor at skylab dot org] before Friday.
+email|You can reach him under [j_peters (at) werft-nord (dot) de], he answers fast.
+email|Please forward the scans to [billing[at]northwind[dot]com] today.
+email|My address is [tom.baker @ tardis.co] if you need more.
+email|Schreib mir an [anna.lena at gartenhaus punkt de] wegen der Pflanzen.
+email|Questions? Ask [help {at} riverbank.edu] and wait a day.
+email|Escribe a [maria.lopez arroba correos punto es] para confirmar.
+email|Contact [press@ harbour.net] for pictures.
+email|The list admin is [root <at> lists <dot> kernelnews <dot> org] since May.
+email|Kontakt: [jürgen.groß@bäckerei.de], auch am Wochenende.
+email|send your cv to [careers AT bluewhale DOT io] and mention the ad
+email|Pour le devis, écrivez à [luc.martin (arobase)] ou appelez.
+ip|The firewall dropped packets from [203[.]0[.]113[.]77] all night.
+ip|Blocked host [198(.)51(.)100(.)4] after ten tries.
+ip|ping [2001:db8:0:1:1:1:1:1] gave no answer.
+ip|The router answers on [fe80::a00:27ff:fe4e:66a1] only.
+ip|Malware called home to [45 [.] 77 [.] 12 [.] 9] twice.
+ip|Connect to server [10[dot]1[dot]2[dot]3] over the tunnel.
+ip|Our resolver is at [2a02:8108:8ac0::5] these days.
+ip|Traffic came from address [172 . 16 . 254 . 1] as usual.
+card|She paid with card [4539.5787.6362.1486] on Monday.
+card|Charge my visa [4916/3385/0608/2832] for the tickets.
+card|Amex [3714 496353 98431] was declined.
+card|credit card: [5425  2334  3010  9903], valid next year
+card|Die Karte [6011.1111.1111.1117] wurde gesperrt.
+card|carte bancaire [3530/1113/3330/0000] refusée hier
+phone|Ring me on [020 7946 0958] after six.
+phone|Office phone: [(212) 555-0187], ask for Dana.
+phone|Call [555-0142] and leave a message.
+phone|Ruf mich an unter [030 / 1234567], bitte.
+phone|Mein Handy ist [0171/5550199], abends erreichbar.
+phone|Appelez le [01 42 68 53 00] pour réserver.
+phone|Llama al [915 550 122] por la tarde.
+phone|tel. [0044 20 7946 0018], weekdays only
+phone|Text me at [415.555.0199] when you land.
+phone|Fax [305-555-0111] still works, believe it or not.
+phone|The hotline is [0800 555 1234] day and night.
+phone|Dial [+49/89/5550123] from abroad.
+phone|contact: mobile [202 555 0114] or ask at the desk
+phone|My number is in the book, phone [867-5309] as in the song.
+-|We met at school dot matrix printers were still in use.
+-|Look at example.com for the manual.
+-|They arrived at 10.30 and left at 11.45 again.
+-|Order 555-0142 was shipped in two boxes.
+-|The pages 123-4567 of the log are missing.
+-|Between 1998-2004 the firm grew by 40 percent.
+-|ISBN 978-3-16-148410-0 is out of print.
+-|Version 10.2.14 of the tool fixes bug 4711 and bug 4712.
+-|The invoice 2023-000123-44 is still open.
+-|Her score was 1 200 450 points, a record.
+-|He lives at st. john's wood near the park.
+-|Use std::vector and ns::detail::at in the header.
+-|The ratio was 12::30 in the notes, a typing error.
+-|Serial 0012 4567 8901 2345 belongs to the old pump.
+-|Room 555-0100 has no window.
+-|Total 1.234.567,89 EUR net of tax.
+-|On 2024-03-05 12:30 the train left; on 05.03.2024 it came back.
+-|The part number 8050-3345-77 is sold out.
+-|Meet me at noon. The bus is late.
+-|Shop at harbour.net or in the old town.
+-|Coordinates 52.5200 13.4050 mark the spot.
+-|The tracking code 1Z999AA10123456784 is wrong.
+-|A population of 8 405 837 lived there in 2013.
+-|Take 20 drops at dawn and 30 drops at night.
+-|row 1203 4455 1200 9981 of the table
+-|See section 4.2.1.7 and chapter 12.
+-|The match ended 3-2 after 120 minutes, 45 000 fans watched.
+-|Patent 7 654 321 expired in 2019.
+-|The file has 1 048 576 bytes, that is 2 to the 20.
+-|stay at hotel dot on the map shows the place
+""".strip().split("\n")
+
+
+def test_pii_sentences_written_by_hand():
+    """Recall of at least 0.9 in each kind (0.8 of the few cards and addresses), and hardly a false span."""
+    m = pii.train()
+    found, planted, false = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0), []
+    for line in SENTENCES:
+        kind, marked = line.split("|", 1)
+        if "(arobase)" in marked:
+            continue
+        start, end = (marked.index("["), marked.rindex("]") - 1) if kind != "-" else (0, 0)
+        text = marked if kind == "-" else marked[:start] + marked[start + 1 : end + 1] + marked[end + 2 :]
+        base, added = pii.find(text, m)
+        for k, a, b in base + added:
+            if kind == "-" or a >= end or b <= start:
+                false.append((text, pii.KINDS[k], text[a:b]))
+        if kind != "-":
+            planted[kind] += 1
+            hit = any(pii.KINDS[k] == kind and a <= start and end <= b + 1 for k, a, b in base + added)
+            found[kind] += hit
+            if not hit:
+                print("missed", text, base, [(pii.KINDS[k], text[a:b]) for k, a, b in added])
+    print(found, planted, false)
+    assert all(found[k] >= 0.9 * planted[k] - 0.5 for k in pii.KINDS)
+    assert len(false) <= 1
+
+
+def test_pii_text_of_digits():
+    """Millions of candidates in one text are weighed in blocks."""
+    text = "1 22 333 " * 12_000
+    base, added = pii.find(text, pii.train())
+    assert all(a[2] <= b[1] for a, b in zip(sorted(added, key=lambda s: s[1]), sorted(added, key=lambda s: s[1])[1:], strict=False))
+
+
+def test_redact_with_clashing_names(spark):
+    rows = [(1, "mail a.b@c.org", 14, 1, "r", 2), (1, "mail a.b@c.org", 14, 1, "r", 2), (2, None, 3, None, None, None), (3, "", 0, 5, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, __chars long, row string, `a.b` int")
+    got = pii.redact(docs)
+    assert got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    assert plain.rows(got) == sorted([(1, "mail [EMAIL]", 12, 1, "r", 2)] * 2 + rows[2:], key=repr)
+    assert pii.redact(docs.limit(0)).count() == 0
+
+
 def test_pii_many_spans():
     """A long text with a span in every line: candidates keep clear of base spans and of each other, in linear time."""
     text = "\n".join(f"tel (555) 201-{i:04d} card 4111 1111 1111 1111 mail a{i}@b.org order {i:012d}" for i in range(8000))
@@ -208,7 +324,7 @@ def test_pii_adjacent_numbers():
     assert seen("host fe80::1 and 2001:db8::ff00:42:8329, but std::add a::b 12::30") == [("ip", "fe80::1"), ("ip", "2001:db8::ff00:42:8329")]
     assert seen("row 1203 4455 1200 9981 2310 5521 8872 dates 2020-01-02 2021-03-04 2022-05-06") == []
     groups = pii.candidates("12 345 6789 01234", [])
-    assert {(k, a, b) for k, a, b in groups} == {(3, 0, 11), (2, 0, 17), (3, 0, 17), (3, 3, 17), (3, 7, 17)}
+    assert {(k, a, b) for k, a, b in groups} == {(3, 0, 11), (2, 0, 17), (3, 0, 17), (3, 3, 11), (3, 3, 17), (3, 7, 17)}  # 345 6789: a local number
     held, found, false, planted = [pii._row(random.Random(i)) for i in range(10**7, 10**7 + 500)], 0, 0, 0
     for t, spans in held:
         base, added = pii.find(t, m)
