@@ -90,12 +90,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators: (kind, pattern, a cheap test that must hold before the pattern is tried).
+# Patterns begin with one set of characters where they can: places that cannot begin a match are then passed over fast.
+_CORE = re.compile(r"[@Aa](?:(?<=@)|(?<=\b[Aa])(?:[Tt]|[Rr][Rr][Oo][Bb][Aa])\b)")
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?|\s+(?:at|arroba)\s+|\s+@\s*|@\s+|@(?=[^\W\d_])", re.I)
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.|punkt|point|punto)\s?[\])}>]\s?|\s+(?:dot|punkt|point|punto)\s+|\s\.\s|\.(?=\w))"
 _LABELS = re.compile(rf"[^\W_][\w-]*+(?:{_DOT}[^\W_][\w-]*+)+", re.I)
 _LOCAL = re.compile(r"[\w.%+-]")
 _SPELLED_DOT = re.compile(r"\bdot\b|\bpunkt\b|\bpoint\b|\bpunto\b", re.I)
-_SPACED_V4 = re.compile(r"(?<![0-9.])[0-9]{1,3}+(?:(?:\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|\s\.\s?|\.\s?)[0-9]{1,3}+){3}(?![0-9]|\.[0-9])", re.I)
+_SPACED_V4 = re.compile(r"[0-9](?<![0-9.][0-9])[0-9]{0,2}+(?:(?:\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|\s\.\s?|\.\s?)[0-9]{1,3}+){3}(?![0-9]|\.[0-9])", re.I)
 #: Common last labels of addresses.
 LAST_LABELS = frozenset("com org net edu gov mil int info biz io co dev app ai me tv de fr es it nl be ch at uk eu us ca mx ar br pt pl se no dk fi ie au nz jp cn in example test".split())
 _V6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
@@ -149,8 +151,19 @@ def _addresses(text: str) -> list[Span]:
     no further than the one before it, so the time is linear."""
     found: list[Span] = []
     done = 0
-    for m in _AT.finditer(text):
-        at = start = m.start()
+    for core in _CORE.finditer(text):
+        at = core.start()
+        before = text[max(0, at - 2) : at]
+        if before.rstrip()[-1:] and before.rstrip()[-1] in "[({<":  # the bracket, and a blank before it
+            at -= len(before) - len(before.rstrip()) + 1
+            at -= text[at - 1 : at].isspace()
+        else:
+            while at > done and text[at - 1].isspace():
+                at -= 1
+        m = _AT.match(text, at)
+        if not m or at < done:
+            continue
+        start = at
         while start > done and _LOCAL.match(text, start - 1):
             start -= 1
         right = _LABELS.match(text, m.end())
