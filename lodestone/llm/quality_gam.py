@@ -143,11 +143,13 @@ def fold(doc_id: int | None) -> int:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, y of at most `rows` labelled documents outside the held-out fold. The bounded label rows are broadcast, so no text is shuffled."""
+    """doc_id, text, y of at most `rows` labelled documents outside the held-out fold, one row for a doc_id: of repeated labels the
+    greatest, of repeated documents the least text counts. The bounded label rows are broadcast, so only texts of the sample are shuffled."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
-    y = y.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")
+    y = y.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
+    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:

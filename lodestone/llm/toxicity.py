@@ -1,12 +1,13 @@
 """Toxicity as ordered severity: cumulative-link regression on sparse text features.
 
-P(grade > k) = sigmoid(x . w - cut_k) with one weight vector for all thresholds and ordered cuts. Features are a text's terms
-(lower-cased runs of letters, and their beginnings of 5 and 7 letters) with weight log(1 + count), and log(1 + words that lean
-to toxic texts, per hundred words). The outputs are the probabilities of the grades and their mean, the expected severity.
-
-The labels only say toxic or not. Grades of toxic training rows are made from them: terms that lean to toxic rows are found
-first, and rows are graded 1 to 3 by how many words in a hundred are such terms; 0 is not toxic. The vocabulary is what the bounded training sample
-shows often enough, so a model stays small; texts are scored whole.
+P(grade > k) = sigmoid(x . w - cut_k) with one weight vector for all thresholds and ordered cuts. The features are a text's terms
+(lower-cased runs of letters, and their beginnings of 5 and 7 letters), weighted by log(1 + count), and log(1 + words that lean to
+toxic texts, per hundred words). The outputs are the probabilities of the grades and their mean, the expected severity.
+
+The labels only say toxic or not, so only the first threshold is learned from labels. The upper grades of toxic training rows are
+a weak ordinal label, which is no feature of the model: the share of a row's sentences that hold a word that leans to toxic rows,
+cut at the thirds of that share among toxic rows. It says how much of a text is toxic, not how bad its words are; nothing in the
+tables says that. The vocabulary is chosen on the bounded training sample; texts are scored whole.
 """
 
 from __future__ import annotations
@@ -26,11 +27,9 @@ from .common import map_rows, ship, stage
 from .quality_gam import TRAIN_ROWS, fold, sample
 
 GRADES = 4
-#: Terms of a model at most; words that a term must follow in the training texts; how much and how clearly it must lean.
-TERMS, LEAST, ODDS, CLEAR = 4_000, 6, 1.0, 4.0
-#: Words in a hundred that lean to toxic rows, at which grade 2 and grade 3 begin.
-STEPS = (2.0, 4.0)
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words that a term must follow in the training texts; how much and how clearly it must lean.
+LEAST, ODDS, CLEAR = 6, 1.0, 4.0
+_WORD, _END = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]")
 
 
 @dataclass(frozen=True)
@@ -83,12 +82,12 @@ def contexts(words: list[str]) -> dict[str, str]:
     return out
 
 
-def leaning(seen: dict[str, tuple[int, int]], total: tuple[int, int]) -> tuple[list[str], frozenset[str]]:
+def leaning(seen: dict[str, tuple[int, int]], total: tuple[int, int], most: int | None = None) -> tuple[list[str], frozenset[str]]:
     """Features that tell the classes apart, the clearest first; and those of them that lean to toxic rows.
 
     seen: the numbers of different contexts (see contexts) of a feature in texts that are not toxic and in toxic ones, total:
     their sums over all features. Copies of a text share their contexts and add nothing. A feature is kept if its log odds are
-    at least ODDS and CLEAR standard errors away from none."""
+    at least ODDS and CLEAR standard errors away from none; of those the `most` clearest, or all."""
     odds, clear = {}, {}
     for f, (good, bad) in seen.items():
         if good + bad >= LEAST:
@@ -96,24 +95,37 @@ def leaning(seen: dict[str, tuple[int, int]], total: tuple[int, int]) -> tuple[l
             z = abs(o) / float(np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))
             if abs(o) >= ODDS and z >= CLEAR:
                 odds[f], clear[f] = o, z
-    terms = sorted(odds, key=lambda f: (-clear[f], f))[:TERMS]
+    terms = sorted(odds, key=lambda f: (-clear[f], f))[:most]
     return terms, frozenset(f for f in terms if odds[f] > 0)
 
 
-def row(words: list[str], place: dict[str, int], lean: frozenset[str]) -> tuple[list[int], list[int], float]:
-    """Columns, counts and density of a text."""
+def breadth(text: str, lean) -> float:
+    """The share of a text's sentences with words that hold one that leans."""
+    parts = [w for w in map(_WORD.findall, _END.split(text.lower())) if w]
+    return sum(counts(w, lean, lean)[1] > 0 for w in parts) / len(parts) if parts else 0.0
+
+
+def row(text: str, place: dict[str, int], lean: frozenset[str]) -> tuple[list[int], list[int], float, float]:
+    """Columns, counts, density and breadth of a text."""
+    words = _WORD.findall(text.lower())
     known, hits = counts(words, place, lean)
-    return [place[w] for w in known], list(known.values()), _density(hits, len(words))
+    return [place[w] for w in known], list(known.values()), _density(hits, len(words)), breadth(text, lean)
+
+
+def grades(share: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for rows that are not toxic; 1 to GRADES - 1 for toxic ones, by the equal parts of their shares."""
+    if not (toxic > 0).any():
+        return np.zeros(len(share), int)
+    steps = np.quantile(share[toxic > 0], np.arange(1, GRADES - 1) / (GRADES - 1))
+    return np.where(toxic > 0, 1 + np.searchsorted(steps, share, side="left"), 0)
 
 
-def fit(rows_: list[tuple[list[int], list[int], float]], toxic: np.ndarray, terms: list[str], lean: frozenset[str], epochs: int = 300, penalty: float = 0.003, rate: float = 0.05) -> Model:
+def fit(rows_: list[tuple[list[int], list[int], float, float]], toxic: np.ndarray, terms: list[str], lean: frozenset[str], epochs: int = 300, penalty: float = 0.003, rate: float = 0.05) -> Model:
     """Full-batch Adam on the likelihood of the grades. Cuts are a first cut and positive steps, so they stay ordered."""
     rows = np.repeat(np.arange(len(rows_)), [len(r[0]) for r in rows_])
     cols = np.array([c for r in rows_ for c in r[0]], np.int64)
     vals = np.log1p(np.array([v for r in rows_ for v in r[1]], float))
-    dens = np.array([r[2] for r in rows_])
-    share = np.expm1(dens)
-    grade = np.where(toxic > 0, 1 + (share >= STEPS[0]) + (share >= STEPS[1]), 0)
+    dens, grade = np.array([r[2] for r in rows_]), grades(np.array([r[3] for r in rows_]), toxic)
     n, width = len(rows_), len(terms)
     w = np.zeros(width + 1 + GRADES - 1)  # weights, density, first cut, log steps
     w[width + 1] = 2.0
@@ -136,10 +148,11 @@ def fit(rows_: list[tuple[list[int], list[int], float]], toxic: np.ndarray, term
     return Model({t: float(x) for t, x in zip(terms, w, strict=False) if abs(x) > 1e-3}, lean, float(w[width]), tuple(map(float, cuts)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` labelled documents outside the held-out fold; without rows of both labels, one that finds nothing toxic.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms_most: int | None = 4_000) -> Model:
+    """A model from at most `rows` labelled documents outside the held-out fold, with the terms_most clearest terms (None: all that
+    lean clearly); without rows of both labels, one that finds nothing toxic.
 
-    Contexts are counted by Spark; the driver gets the features that lean (TERMS at most) and a row's counts of those."""
+    Contexts are counted by Spark; the driver gets the terms that lean and a row's counts of those."""
     spark = docs.sparkSession
     texts = stage(sample(docs, labels, "toxic", rows).select("doc_id", "text", (F.col("y") > 0).alias("y")), "labelled")
     ship(spark)
@@ -163,28 +176,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     # The driver's own test is repeated here, so that few features reach it.
     odds = F.log((F.col("bad") + 0.5) / (total.bad + 1)) - F.log((F.col("good") + 0.5) / (total.good + 1))
     z = F.abs(odds) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    most = seen.filter((F.col("good") + F.col("bad") >= LEAST) & (F.abs(odds) >= ODDS) & (z >= CLEAR)).orderBy(F.desc(z), "f").limit(TERMS)
-    terms, lean = leaning({r.f: (r.good, r.bad) for r in most.collect()}, (total.good, total.bad))
+    most = seen.filter((F.col("good") + F.col("bad") >= LEAST) & (F.abs(odds) >= ODDS) & (z >= CLEAR)).orderBy(F.desc(z), "f")
+    most = most if terms_most is None else most.limit(terms_most)
+    terms, lean = leaning({r.f: (r.good, r.bad) for r in most.collect()}, (total.good, total.bad), terms_most)
     place = {f: i for i, f in enumerate(terms)}
 
     def make():
         def work(keys, texts, ys):
-            made = [row(_WORD.findall((t or "").lower()), place, lean) for t in texts.to_pylist()]
-            return {"doc_id": keys, "y": ys, "c": [m[0] for m in made], "v": [m[1] for m in made], "d": [m[2] for m in made]}
+            made = [row(t or "", place, lean) for t in texts.to_pylist()]
+            return {"doc_id": keys, "y": ys} | {k: [m[i] for m in made] for i, k in enumerate("cvdb")}
 
         return work
 
-    kinds = pa.schema([("doc_id", pa.int64()), ("y", pa.bool_()), ("c", pa.list_(pa.int32())), ("v", pa.list_(pa.int32())), ("d", pa.float64())])
-    got = map_rows(texts, ["doc_id", "text", "y"], make, "doc_id long, y boolean, c array<int>, v array<int>, d double", kinds).toArrow().to_pylist()
+    kinds = pa.schema([("doc_id", pa.int64()), ("y", pa.bool_()), ("c", pa.list_(pa.int32())), ("v", pa.list_(pa.int32())), ("d", pa.float64()), ("b", pa.float64())])
+    got = map_rows(texts, ["doc_id", "text", "y"], make, "doc_id long, y boolean, c array<int>, v array<int>, d double, b double", kinds).toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["y"], r["d"], r["c"]))  # the same model whatever the order of the rows
-    return fit([(r["c"], r["v"], r["d"]) for r in got], np.array([int(r["y"]) for r in got]), terms, lean)
+    return fit([(r["c"], r["v"], r["d"], r["b"]) for r in got], np.array([int(r["y"]) for r in got]), terms, lean)
 
 
-def grade(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms_most: int | None = 4_000) -> DataFrame:
     """doc_id, held_out, score (P(grade > 0)), predicted (1 if score >= 0.5), grade (the likeliest), severity (the expected grade) for every row of docs.
 
-    A null text scores as an empty one. Repeated rows each give a row; other columns are not read."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
+    rows bounds the labelled rows that the model is trained on, terms_most its terms (None: no bound). A null text scores as an empty one. Repeated rows each give a row; other columns are not read."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows, terms_most))
 
     def make():
         def work(keys, texts):
