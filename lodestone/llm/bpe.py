@@ -16,6 +16,8 @@ from heapq import heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows
 
@@ -147,8 +149,23 @@ def _broadcast(df: DataFrame, rank_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _joined(tokens: dict[int, bytes], ids) -> bytes | None:
+    try:
+        return b"".join(map(tokens.__getitem__, ids))
+    except KeyError:
+        return None
+
+
+def _with_key(df: DataFrame, key: str, value: str, make, made: str, kind: pa.DataType) -> DataFrame:
+    """key and what make() makes of value. Keys pass through Python as they are."""
+    rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{value}`").alias(value))
+    arrow = to_arrow_schema(rows.select("k").schema).field("k").type
+    done = map_rows(rows, ["k", value], make, f"k {rows.schema['k'].dataType.simpleString()}, {made}", pa.schema([("k", arrow), (made.split()[0], kind)]))
+    return done.withColumnRenamed("k", key)
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids array<int> of every whole text (null: none)."""
+    """key, ids array<int> of every whole text (null: none). key may be of any type; repeated and null keys each give a row."""
     ranks = _broadcast(df, rank_path)
 
     def make():
@@ -160,28 +177,26 @@ def encode(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", tex
                 a = array("I")
                 a.frombytes(enc.encode(t or ""))
                 ids.append(a.tolist())
-            return {key: keys, "ids": ids}
+            return {"k": keys, "ids": ids}
 
         return work
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_rows(df, [key, text], make, f"{key} {kind}, ids array<int>", pa.schema([(key, _arrow(kind)), ("ids", pa.list_(pa.int32()))]))
+    return _with_key(df, key, text, make, "ids array<int>", pa.list_(pa.int32()))
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """key, data binary: the bytes that ids stand for."""
+    """key, data binary: the bytes that ids stand for; null where an id is unknown or null, no bytes where ids is null."""
     ranks = _broadcast(df, rank_path)
 
     def make():
         enc = encoder(ranks.value, pattern)
 
         def work(keys, ids):
-            return {key: keys, "data": [b"".join(map(enc.tokens.__getitem__, x or ())) for x in ids.to_pylist()]}
+            return {"k": keys, "data": [_joined(enc.tokens, x or ()) for x in ids.to_pylist()]}
 
         return work
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_rows(df, [key, "ids"], make, f"{key} {kind}, data binary", pa.schema([(key, _arrow(kind)), ("data", pa.binary())]))
+    return _with_key(df, key, "ids", make, "data binary", pa.binary())
 
 
 def round_trip(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -206,7 +221,3 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         return work
 
     return map_rows(df, ["doc_id", "text"], make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

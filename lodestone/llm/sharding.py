@@ -35,10 +35,12 @@ def interleave(df: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """doc_id, size, text_crc32, source, law, shard, slot, grown_shard for every row of df.
 
     size is the UTF-8 bytes of the text plus 1 (null: 1), the checksum of a null text is 0. A null source is a source of
-    its own, a null doc_id is hashed as the word null. Rows equal in doc_id and source are told apart by size and checksum; those equal in all may
+    its own, rows with a null doc_id are ranked by size and checksum of the text. Rows equal in doc_id and source are told apart by size and checksum; those equal in all may
     exchange places. An empty table gives no rows. grown_shard is null, as the law is `rows`."""
     d = _digits(df.count())
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # Rows without an id are told apart by text, so that they are spread over the buckets too.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.octet_length("text"), F.lit(" "), F.crc32(F.col("text").cast("binary"))), F.lit("null"))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), name))
     rows = df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"),

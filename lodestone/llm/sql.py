@@ -45,13 +45,14 @@ WITH crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 d AS (
-  SELECT doc_id, source, text, strlen(coalesce(text, '')) AS b, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+  SELECT doc_id, source, text, strlen(coalesce(text, '')) AS b,
          CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s
   FROM documents),
-c AS (
+u AS (
   SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
          lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]))) AS crc
   FROM d, crc),
+c AS (SELECT *, md5('17:' || coalesce(doc_id::VARCHAR, CASE WHEN text IS NULL THEN 'null' ELSE 'null ' || b || ' ' || crc END)) AS h FROM u),
 r AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, doc_id, b, crc) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY s) AS f FROM c),
 p AS (SELECT *, row_number() OVER (ORDER BY f, h, s, doc_id, b, crc) - 1 AS pos, count(*) OVER () AS n FROM r)
 SELECT doc_id, (b + 1)::BIGINT AS size, crc::BIGINT AS text_crc32, source, 'rows' AS law, (pos * 8 // n)::INTEGER AS shard,

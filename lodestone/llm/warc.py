@@ -9,6 +9,7 @@ folder, written with Spark's commit protocol; `export` puts them into files of t
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small, stage, staging_path
+from .common import join_unique, ship, small, stage, staging_path
 
 #: Bytes of records, before compression, at which a frame and a bundle are closed.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
@@ -155,14 +156,17 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def lookup(archives: DataFrame, page_ids: list[int]) -> DataFrame:
-    """page_id, payload of the responses among a few pages; only the frames that hold them are decompressed."""
+    """page_id, payload of the responses among a few pages, one row for each record; only the frames that hold them are decompressed.
+
+    Pages that are not there, and revisits, give no row; an empty list gives none."""
     wanted = {f"{_URN}{p}" for p in page_ids}
     hit = archives.withColumn("records", F.filter("records", lambda r: r["record_id"].isin(*wanted))).filter(F.size("records") > 0)
     return read(hit).filter("record_type = 'response'").select("page_id", "payload")
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
-    """Write each bundle to <folder>/<bundle>.warc.zst, where folder is mounted by all executors; returns bundle, path. Files appear whole, by renaming."""
+    """Write each bundle to <folder>/<bundle>.warc.zst and its record index to <folder>/<bundle>.json beside it, where folder is mounted
+    by all executors; returns bundle, path. Files appear whole, by renaming. A table without bundles writes nothing."""
     ship(archives.sparkSession)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +174,16 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             names = batch.column("bundle").to_pylist()
             paths = [os.path.join(folder, f"{n}.warc.zst") for n in names]
-            for path, data in zip(paths, batch.column("archive"), strict=True):
-                own = f"{path}.{TaskContext.get().taskAttemptId()}"
-                with open(own, "wb") as f:
-                    f.write(data.as_py())
-                os.replace(own, path)
+            for path, data, records in zip(paths, batch.column("archive"), batch.column("records"), strict=True):
+                places = {r["record_id"]: [r["frame"], r["offset"], r["length"]] for r in records.as_py()}
+                for to, content in ((path.removesuffix(".warc.zst") + ".json", json.dumps(places).encode()), (path, data.as_py())):
+                    own = f"{to}.{TaskContext.get().taskAttemptId()}"
+                    with open(own, "wb") as f:
+                        f.write(content)
+                    os.replace(own, to)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(paths)], ["bundle", "path"])
 
-    return archives.select("bundle", "archive").mapInArrow(put, "bundle string, path string")
+    return archives.select("bundle", "archive", "records").mapInArrow(put, "bundle string, path string")
 
 
 def write(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -193,8 +199,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     A null html is an empty payload. A null page_id is never a response that others refer to, unless no row of the payload has an id;
     then all are responses. Rows with equal page_id and payload are each a response. Other columns are not read."""
     records = stage(read(write(pages.sparkSession, pages)).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes")), "records")
-    # A revisit's payload is its response's: by page and digest.
-    asked = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page"), F.col("digest").alias("of")).distinct()
-    full = records.filter("record_type = 'response'").select(F.col("page_id").alias("page"), F.col("digest").alias("of"), F.col("bytes").alias("whole")).join(asked, ["page", "of"], "left_semi").distinct()
-    out = records.join(full, (F.col("refers_to") == F.col("page")) & (F.col("digest") == F.col("of")), "left")
-    return out.select("page_id", F.coalesce("bytes", "whole").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    # A revisit's payload is its response's: by page and digest. However many revisit one payload, they are dealt to many tasks.
+    names = lambda page: F.concat_ws(":", page, "digest").alias("of")
+    again = records.filter("record_type = 'revisit'").select("*", names("refers_to"))
+    asked = again.select("of").distinct()
+    full = stage(records.filter("record_type = 'response'").select(names("page_id"), F.col("bytes").alias("whole")).join(asked, "of", "left_semi").distinct(), "responses")
+    again = join_unique(again, full, "of", 120 * full.count())
+    out = ["page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"]
+    return records.filter("record_type = 'response'").withColumn("payload_bytes", F.col("bytes")).select(*out).unionByName(again.withColumn("payload_bytes", F.col("whole")).select(*out))

@@ -1,6 +1,7 @@
 """SimHash, WARC, decontamination, sharding: against plain versions."""
 
 import glob
+import json
 import random
 from collections import Counter
 
@@ -155,6 +156,37 @@ def test_warc_frames(spark, sf, tmp_path, monkeypatch):
     assert [warc.frame(packed, warc.seek_table(packed), i) for i in (1, 0)] == [b"b" * 20, b"a" * 10]
 
 
+def test_warc_lookup_and_export(spark, tmp_path, monkeypatch):
+    """Nulls, repeats, long payloads and empty tables; an exported file is sought by its record index."""
+    long = "lorem ipsum " * 800_000
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (3, None, None), (None, "u", "n" * 150), (4, "u", long), (5, "u", "twice"), (5, "v", "again")], "page_id long, url string, html string")
+    archives = warc.write(spark, pages)
+    got = sorted((r.page_id, bytes(r.payload).decode()) for r in warc.lookup(archives, [1, 2, 3, 4, 5, 99]).collect())
+    assert got == [(1, "x" * 200), (3, ""), (4, long), (5, "again"), (5, "twice")]
+    assert warc.lookup(archives, []).count() == 0 and warc.lookup(archives.limit(0), [1]).count() == 0
+    warc.export(archives, str(tmp_path / "out")).collect()
+    assert warc.export(archives.limit(0), str(tmp_path / "none")).count() == 0
+    seen = 0
+    for path in glob.glob(f"{tmp_path}/out/*.json"):
+        data = open(path.removesuffix(".json") + ".warc.zst", "rb").read()
+        table = warc.seek_table(data)
+        for name, (i, at, n) in json.load(open(path)).items():
+            r = warc.parse(warc.frame(data, table, i)[at : at + n])
+            assert name.endswith(f":{'' if r['page_id'] is None else r['page_id']}")
+            seen += 1
+    assert seen == 6  # the two records of page 5 share a name
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "UNIQUE_BYTES", -1)
+    assert warc.round_trip(pages).filter("record_type = 'revisit'").select("page_id", "payload_bytes").collect() == [(2, 200)]
+
+
+def test_sharding_without_ids(spark):
+    rows = [(None, f"text {i % 50}", "s") for i in range(400)] + [(i, None, None) for i in range(30)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 430 and sorted(Counter(r.shard for r in got).values()) == [53, 53] + [54] * 6
+
+
 ITEMS = [(1, "the cat sat on the mat the cat sat on the mat"), (2, "line one of it"), (2, "other line here line"), (3, None), (4, "..."), (None, "two words"), (5, "absent terms zzzz"), (6, "Éa é ñ"), (7, "the cat sat on the mat the cat sat on the mat the")]
 
 

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, pii, quality_rules, secrets
 
@@ -19,6 +20,7 @@ from . import plain
 PATH = P.path("byte_bpe_50k.tiktoken")
 
 
+
 @pytest.fixture(scope="module")
 def enc():
     with open(PATH, "rb") as f:
@@ -61,6 +63,16 @@ def test_bpe_table(spark, tik):
     assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_odd_keys_and_ids(spark, tik):
+    docs = spark.createDataFrame([(1.5, "a b"), (None, "c"), (1.5, None), (1.5, "a b")], "k double, text string").withColumnRenamed("k", "my key")
+    coded = bpe.encode(docs, PATH, P.PATTERN, key="my key")
+    assert coded.columns == ["my key", "ids"] and plain.rows(coded) == sorted([(1.5, tik.encode_ordinary("a b"))] * 2 + [(None, tik.encode_ordinary("c")), (1.5, [])], key=repr)
+    ids = spark.createDataFrame([(1, [10, 9_999_999]), (2, [-1]), (3, None), (4, []), (5, [None]), (None, tik.encode_ordinary("héé")), (6, tik.encode_ordinary("x" * 50_000))], "doc_id int, ids array<int>").withColumn("data", F.lit("a column of that name"))
+    got = {r.doc_id: r.data if r.data is None else bytes(r.data) for r in bpe.decode(ids, PATH, P.PATTERN).collect()}
+    assert got == {1: None, 2: None, 3: b"", 4: b"", 5: None, None: "héé".encode(), 6: b"x" * 50_000}
+    assert bpe.decode(ids.limit(0), PATH, P.PATTERN).count() == 0
+
+
 def test_quality_table(spark, sf):
     docs = spark.createDataFrame(plain.MESSY, plain.SCHEMA)
     real = spark.read.parquet(f"{sf}/documents.parquet")
