@@ -21,8 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows
 
-#: Pre-tokens kept per worker; the memory for them is bounded, a full cache starts anew.
-CACHE_PIECES = 1_200_000
+#: Pre-tokens kept per worker: so many young ones and as many old ones. The memory for them is bounded, some 85 MB.
+CACHE_PIECES = 200_000
 #: Longer pre-tokens are never cached.
 CACHE_CHARS = 64
 _loaded: dict[str, "Encoder"] = {}
@@ -46,10 +46,17 @@ class Encoder:
         encode_piece = self.encode_piece
 
         class Pieces(dict):
+            """The young pieces. When they are many they take the place of the old ones, of which those that are met again become young."""
+
+            old: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                packed = array("I", encode_piece(piece.encode())).tobytes()
+                packed = self.old.get(piece)
+                if packed is None:
+                    packed = array("I", encode_piece(piece.encode())).tobytes()
                 if len(piece) <= CACHE_CHARS:
                     if len(self) >= CACHE_PIECES:
+                        self.old = dict(self)
                         self.clear()
                     self[piece] = packed
                 return packed
