@@ -135,6 +135,18 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, most_bytes: int) ->
     return few.unionByName(left.join(hot, key, "left_anti").join(right, key))
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE = 1_000
+
+
+def in_slices(texts: pa.Array, make: Callable[[list], pa.Array]) -> pa.Array:
+    """make() of SLICE values at a time, as one array: an Arrow batch of long texts is never a list of Python strings as a whole."""
+    parts = [make(texts.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(texts)), SLICE)]
+    out = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+    pa.default_memory_pool().release_unused()  # workers are kept for the next stage, whose memory this would be
+    return out
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., dict]], schema: str, arrow: pa.Schema) -> DataFrame:
     """Run make()(**columns as Arrow arrays) -> dict of columns over df's batches. Only the named columns reach Python;
     a batch is at most some tens of MB, so memory does not grow with the input."""
@@ -143,9 +155,10 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
                 made = work(*(part.column(c) for c in columns))
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema)

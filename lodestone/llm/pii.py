@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit, sigmoid
-from .common import map_rows, ship
+from .common import in_slices, map_rows, ship
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -440,16 +440,13 @@ def redact(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train())
 
+    def clean_text(t: str | None) -> str | None:
+        base, added = find(t, model.value) if t else ([], [])
+        return redact_text(t, base + added) if base or added else t
+
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            t = t.as_py()
-            if t:
-                base, added = find(t, model.value)
-                t = redact_text(t, base + added) if base or added else t
-            out.append(t)
-        return pa.array(out, pa.string())
+        return in_slices(texts, lambda part: pa.array(map(clean_text, part), pa.string()))
 
     names = docs.columns
     done = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), clean("text").alias("text"))

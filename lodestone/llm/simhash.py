@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import vptree
-from .common import join_unique, passing, ship, small, stage
+from .common import in_slices, join_unique, passing, ship, small, stage
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
@@ -44,7 +44,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 @F.arrow_udf(LongType())
 def fingerprint_of(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+    return in_slices(texts, lambda part: pa.array(np.array([fingerprint(t) for t in part], np.uint64).view(np.int64)))
 
 
 def trees(fingerprints: DataFrame, n: int, radius: int = RADIUS) -> list:
