@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import logging
+from collections.abc import Callable
+from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking, delta, graph, hybrid, keyword, stats, vector
+from .operators import chunking, delta, graph, hybrid, inverted, keyword, stats, vector
+from .shipping import ship
 from .sources import adapters, files
-from .sources.store import Store
+from .sources.store import Config, Store
+from .streaming import changes
 
 log = logging.getLogger("lodestone")
 _DIMENSION = {t[0]: t[1] for t in vector.TIERS}
@@ -23,6 +28,7 @@ def _chunks(found: DataFrame) -> DataFrame:
 
 
 def _vectors(chunks: DataFrame, model: str) -> DataFrame:
+    ship(chunks.sparkSession)
     provider = vector.HashingProvider(_DIMENSION[model])
 
     @F.pandas_udf("array<float>")
@@ -34,42 +40,96 @@ def _vectors(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.select(F.col("id").alias("vec_id"), embed("content").alias("embedding"))
 
 
-def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None) -> dict:
-    """Index root into the store: whole, if there is no index or its settings differ, else only what changed. Returns the mode and counts."""
+def _posted(chunks: DataFrame) -> DataFrame:
+    return inverted.postings(chunks, "id", [F.col("content"), F.col("symbol")])
+
+
+def _write(store: Store, state: DataFrame, chunks: DataFrame, fresh: DataFrame | None, stale: DataFrame | None) -> None:
+    """New versions of all tables. fresh: the new chunks (None: all), stale: the files (file) whose rows go. They appear together:
+    what is derived from chunks is made from the tables on which this version is based."""
+    new = chunks if fresh is None else fresh
+    posted, vectors = _posted(new), _vectors(new, store.model)
+    if fresh is not None:
+        gone = store.read("chunks").join(stale, "file", "left_semi").select("id")
+        posted = inverted.without(store.read("postings"), gone).unionByName(posted)
+        vectors = store.read("vectors").join(gone.select(F.col("id").alias("vec_id")), "vec_id", "left_anti").unionByName(vectors)
+    store.write(file_state=state, chunks=chunks, vectors=vectors, postings=inverted.clustered(posted))
+    store.write(terms=inverted.terms(store.read("postings")), totals=inverted.totals(store.read("postings")))
+
+
+def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None, config: Config | None = None, stop: Callable[[], bool] = lambda: False) -> dict:
+    """Index root into the store: whole, if there is no index or its settings differ, else only what changed. Returns the mode and counts.
+
+    config: its languages (none: all) and whether generated files are skipped. stop is asked before anything is written; if it
+    says so, the store stays as it is."""
+    config = config or Config(skip_generated=False)
     found = files.scan(spark, root, ignore)
+    if config.languages:
+        found = found.filter(F.col("language").isin(*config.languages))
+    if config.skip_generated:
+        found = found.filter(~files.generated(F.col("rel_path")))
     state = found.select("rel_path", "hash")
-    if not store.has("chunks") or store.needs_rebuild():
-        chunks = _chunks(found)
-        store.write(file_state=state, chunks=chunks)
-        store.write(vectors=_vectors(store.read("chunks"), store.model))
-        return {"mode": "full", "added": store.read("file_state").count(), "modified": 0, "removed": 0}
+    whole = not store.has("totals") or store.needs_rebuild()
+    if whole:
+        if stop():
+            return {"mode": "stopped", "added": 0, "modified": 0, "removed": 0}
+        _write(store, state, _chunks(found), None, None)
+        return {"mode": "full", "added": store.count("file_state"), "modified": 0, "removed": 0}
     old = store.read("file_state")
     status = {r.status: r.n for r in delta.delta(old, state, "rel_path").groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {k: status.get(k, 0) for k in ("added", "modified", "removed")}
     if any(counts.values()):
+        if stop():
+            return {"mode": "stopped", "added": 0, "modified": 0, "removed": 0}
         fresh, gone = delta.changed(found, old)
-        new = _chunks(fresh)
-        stale = gone.select(F.col("rel_path").alias("file"))
-        kept = delta.delete(store.read("chunks"), stale, "file")
-        kept_vectors = store.read("vectors").join(kept.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
-        store.write(chunks=kept.unionByName(new), vectors=kept_vectors.unionByName(_vectors(new, store.model)), file_state=state)
+        new, stale = _chunks(fresh), gone.select(F.col("rel_path").alias("file"))
+        _write(store, state, delta.delete(store.read("chunks"), stale, "file").unionByName(new), new, stale)
     return {"mode": "incremental"} | counts
 
 
+def reindex(spark: SparkSession, root: str, store: Store, paths: list[str], ignore: list[str] | None = None) -> dict:
+    """Index a few files anew, by their paths below root: those that are gone, empty or ignored leave the index. What a watcher calls."""
+    if not all(files.inside(root, p) for p in paths):
+        raise ValueError("a path is outside of the root")
+    found = files.scan(spark, root, ignore).filter(F.col("rel_path").isin(paths))
+    stale = spark.createDataFrame([(p,) for p in paths], "file string")
+    new = _chunks(found)
+    chunks = delta.delete(store.read("chunks"), stale, "file").unionByName(new)
+    state = delta.delete(store.read("file_state"), stale.withColumnRenamed("file", "rel_path"), "rel_path").unionByName(found.select("rel_path", "hash"))
+    _write(store, state, chunks, new, stale)
+    there = {r.rel_path for r in store.read("file_state").filter(F.col("rel_path").isin(paths)).collect()}
+    return {"indexed": len(there), "removed": len(set(paths) - there)}
+
+
+def watch(spark: SparkSession, root: str, store: Store, events: DataFrame, checkpoint: str, ignore: list[str] | None = None):
+    """Apply a stream of change events (path, action, ts) to the index: each batch of paths is indexed anew, an unlinked one is deleted.
+    Ignored paths do not come through. A batch that is repeated after a failure gives the same index."""
+    batches = events.filter(~files.ignored(F.col("path"), ignore))
+
+    def handle(batch: DataFrame, _: int) -> None:
+        paths = sorted(r.path for r in batch.select("path").distinct().collect())  # the paths of one quiet period
+        if paths:
+            reindex(spark, root, store.refresh(), paths, ignore)
+
+    return changes.apply_changes(batches, handle, checkpoint)
+
+
 def search(spark: SparkSession, store: Store, query: str, max_results: int | None = None, file: str | None = None, language: str | None = None, rerank: bool = False) -> DataFrame:
-    """id, file, language, symbol, kind, start_line, end_line, content, score, match_type, the best first. Filters (file is a glob) reach the scans."""
+    """id, file, language, symbol, kind, start_line, end_line, content, score, match_type, the best first.
+
+    Keywords are sought in the stored index; no text is read but that of the results. Filters (file is a glob) hold before the best are taken."""
     n, q = hybrid.clamp(max_results), keyword.normalise(query)
     if not q:
         raise ValueError("the query is empty")
-    chunks, vectors = store.read("chunks"), store.read("vectors")
+    chunks, vectors, ids = store.read("chunks"), store.read("vectors"), None
     if language:
         chunks = chunks.filter(F.col("language") == language)
     if file:
         chunks = chunks.filter(F.col("file").rlike(f"(?i)^{files.glob_regex(file)}$"))
     if language or file:
-        vectors = vectors.join(chunks.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
-    text = F.concat_ws(" ", "content", "symbol")
-    kw = keyword.minmax(keyword.bm25(chunks, "id", text, keyword.query_terms(spark, {"q": q}))).select("id", "score", "pos")
+        ids = chunks.select("id")
+        vectors = vectors.join(ids.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
+    kw = keyword.minmax(inverted.search(spark, store.read("postings"), store.read("totals"), {"q": q}, ids=ids)).select("id", "score", "pos")
     asked = vector.HashingProvider(_DIMENSION[store.model]).embed([q])[0]
     if any(asked):
         near = vector.knn_batch(vectors, [(0, asked)]).select(F.col("vec_id").alias("id"), (1 / (1 + F.col("distance"))).alias("score"), "pos")
@@ -79,11 +139,20 @@ def search(spark: SparkSession, store: Store, query: str, max_results: int | Non
     merged = hybrid.merge(kw, near)
     meta = chunks.select("id", "file", "language", "symbol", "kind", "start_line", "end_line", "content")
     if rerank:
-        best = hybrid.rerank(merged, meta.withColumn("text", F.col("content")), hybrid.overlap(q), n)
+        about = chunks.select(*meta.columns, F.concat_ws(" ", F.array_join("imports", " "), F.array_join("exports", " "), "symbol").alias("text"))
+        best = hybrid.rerank(merged, about, hybrid.overlap(q), n)
         return best.orderBy(F.desc("score"), "order_key").select(*meta.columns, "score", "match_type")
     return hybrid.enrich(hybrid.first(merged, n), meta).orderBy("order_key").select(*meta.columns, "score", "match_type")
 
 
+def get_chunk(store: Store, id_: str) -> DataFrame:
+    return store.read("chunks").filter(F.col("id") == id_)
+
+
+def chunks_for_file(store: Store, file: str) -> DataFrame:
+    return store.read("chunks").filter(F.col("file") == file)
+
+
 def graph_tables(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of the index."""
     chunks, state = store.read("chunks"), store.read("file_state")
@@ -98,6 +167,14 @@ def get_graph(g: tuple[DataFrame, DataFrame], offset: int = 0, limit: int = 100,
     return nodes, graph.attached(nodes, g[1])
 
 
+def get_nodes(g: tuple[DataFrame, DataFrame], ids: list[str]) -> DataFrame:
+    return graph.lookup(g[0], ids)
+
+
+def find_node(g: tuple[DataFrame, DataFrame], file: str, label: str | None = None) -> DataFrame:
+    return graph.find(g[0], file, label)
+
+
 def get_node(g: tuple[DataFrame, DataFrame], id_: str) -> DataFrame:
     """The node's neighbours with the edges to them."""
     return graph.neighbors(*g, id_)
@@ -115,5 +192,46 @@ def svg(g: tuple[DataFrame, DataFrame]) -> str:
     return graph.svg(*g)
 
 
+def dependency_svg(spark: SparkSession, store: Store) -> str:
+    """The files and their imports, by force layout."""
+    chunks, state = store.read("chunks"), store.read("file_state")
+    known = state.select("rel_path", files.language(F.col("rel_path")).alias("language"))
+    raw = graph.import_paths(chunks.select("file", F.explode("imports").alias("text")).distinct())
+    return graph.dependency_svg(*graph.dependencies(known, chunks, graph.resolve(raw, known)))
+
+
+def answer(g: tuple[DataFrame, DataFrame], path: str) -> tuple[int, str]:
+    """Status and JSON of a graph request: /api/graph?offset=&limit= (a page of nodes and the edges among them), /api/stats,
+    /api/search?q=, /api/node/<id>; anything else is not found."""
+    url = urlsplit(path)
+    rows = lambda df: [r.asDict(True) for r in df.collect()]
+    said = lambda x: (200, json.dumps(x))
+    if url.path == "/api/graph":
+        asked = parse_qs(url.query)
+        nodes = graph.page(g[0], int(asked.get("offset", ["0"])[0]), int(asked.get("limit", ["1000"])[0])).cache()
+        try:
+            return said({"nodes": rows(nodes), "edges": rows(graph.attached(nodes, g[1]))})
+        finally:
+            nodes.unpersist()
+    if url.path == "/api/stats":
+        return said({r["type"]: r["n"] for r in rows(get_graph_stats(g))})
+    if url.path == "/api/search":
+        q = parse_qs(url.query).get("q", [""])[0]
+        return said(rows(graph.search(g[0], q).orderBy("id").limit(30)) if q else [])
+    if url.path.startswith("/api/node/"):
+        id_ = unquote(url.path.removeprefix("/api/node/"))
+        node = rows(graph.lookup(g[0], [id_]))
+        if node:
+            return said({"node": node[0], "neighbors": rows(graph.neighbors(*g, id_)), "children": rows(graph.children(*g, id_))})
+    return 404, "Not found"
+
+
 def status(store: Store) -> DataFrame:
-    return stats.status(store.read("chunks"))
+    """n_chunks, n_files, n_languages, n_vectors, n_terms."""
+    count = lambda name: store.read(name).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return stats.status(store.read("chunks")).withColumn("n_vectors", count("vectors")).withColumn("n_terms", count("terms"))
+
+
+def doctor(spark: SparkSession, root: str, store: Store, config_text: str | None = None) -> DataFrame:
+    """name, status (ok, warn or error), message of each check of a workspace and its index."""
+    return stats.doctor(spark, stats.checks(spark, root, store, config_text))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from ..shipping import ship
 
 TOKENS = 512
 #: Kinds in order of preference; any other kind comes last.
@@ -25,6 +26,7 @@ def priority(kind: Column) -> Column:
 
 def choose(symbols: DataFrame) -> DataFrame:
     """file, kept: the symbols (name, type, start_line, end_line, seq) of each file that no preferred symbol overlaps, best first."""
+    ship(symbols.sparkSession)
 
     @F.arrow_udf("array<int>")
     def free(starts, ends):

@@ -131,6 +131,25 @@ def children(nodes_: DataFrame, edges_: DataFrame, id_: str) -> DataFrame:
     return nodes_.join(edges_.filter((F.col("source") == id_) & (F.col("type") == "contains")).select(F.col("target").alias("id")), "id", "left_semi")
 
 
+def lookup(nodes_: DataFrame, ids: list[str]) -> DataFrame:
+    """The nodes with these ids, a few; they reach the scan as a filter."""
+    return nodes_.filter(F.col("id").isin(ids))
+
+
+def find(nodes_: DataFrame, file: str, label: str | None = None) -> DataFrame:
+    """The first node by id of a file with this label; without a label the file's own node."""
+    own = F.col("type") == "file" if label is None else F.col("label") == label
+    return nodes_.filter((F.col("file") == file) & own).orderBy("id").limit(1)
+
+
+def nested(chunks: DataFrame) -> DataFrame:
+    """Edges from a symbol to those of the same file whose parent it is."""
+    c = chunks.filter("symbol <> ''").select("file", "symbol", "parent").distinct()
+    holder = c.select("file", F.col("symbol").alias("parent")).distinct()
+    met = c.filter(F.col("parent") != F.col("symbol")).join(holder, ["file", "parent"])
+    return met.select(*_edge(F.concat(F.lit("kg:sym:"), "file", F.lit(":"), "parent"), symbol_id(), "contains")).distinct()
+
+
 def search(nodes_: DataFrame, q: str, type_: str | None = None, limit: int = 50) -> DataFrame:
     """Nodes whose label, file or id holds q (% and _ are wildcards), the first by id; the type is tested after the limit."""
     like = f"%{q}%"
@@ -145,7 +164,11 @@ def degrees(edges_: DataFrame) -> DataFrame:
 
 
 def search_with_degree(nodes_: DataFrame, edges_: DataFrame, q: str, limit: int = 30) -> DataFrame:
-    return search(nodes_, q).orderBy("id").limit(limit).join(degrees(edges_), "id", "left").fillna(0, ["degree"])
+    hit = search(nodes_, q).orderBy("id").limit(limit)
+    # Only the edges at the few hits are counted; the hits are bounded by the limit.
+    at = lambda end: edges_.select(F.col("source"), F.col("target"), F.col(end).alias("id")).join(F.broadcast(hit.select("id")), "id", "left_semi")
+    ends = at("source").unionByName(at("target").filter("source <> target"))
+    return hit.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").fillna(0, ["degree"])
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -170,17 +193,18 @@ def connected(nodes_: DataFrame, edges_: DataFrame, id_: str) -> DataFrame:
 
 
 def subtree(edges_: DataFrame, root: str) -> DataFrame:
-    """id, depth: what root contains, level by level. The graph of folders is a tree, so the levels end."""
+    """id, depth: what root contains, each node at its least depth, level by level until no new one is found."""
     spark = edges_.sparkSession
     step = edges_.filter("type = 'contains'").select("source", "target")
-    level, out, depth = spark.createDataFrame([(root,)], "id string"), None, 0
+    seen, depth = spark.createDataFrame([(root, 0)], "id string, depth int"), 0
     while True:
-        rows = level.withColumn("depth", F.lit(depth))
-        out = rows if out is None else out.unionByName(rows)
-        level = step.join(level, step["source"] == level["id"], "left_semi").select(F.col("target").alias("id"))
+        level = seen.filter(F.col("depth") == depth).select(F.col("id").alias("source"))
+        found = step.join(level, "source", "left_semi").select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
         depth += 1
-        if depth > 64 or level.isEmpty():
-            return out
+        found = found.select("id", F.lit(depth).alias("depth")).persist()
+        if found.isEmpty():
+            return seen
+        seen = seen.unionByName(found)
 
 
 def circle(nodes_: DataFrame, width: float = 1200, height: float = 800) -> DataFrame:
@@ -230,12 +254,27 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def _drawing(dots: DataFrame, edges_: DataFrame, width: float, height: float) -> str:
+    """dots: id, label, x, y, r of a drawing's few nodes; all edges among them are drawn, once for each pair, below the nodes."""
+    a, b = dots.select(F.col("id").alias("source"), F.col("x").alias("x1"), F.col("y").alias("y1")), dots.select(F.col("id").alias("target"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = edges_.select("source", "target").join(F.broadcast(a), "source").join(F.broadcast(b), "target").distinct()
+    lines = pairs.select(F.lit(0).alias("o"), F.format_string('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/>', "x1", "y1", "x2", "y2").alias("s"))
+    marks = dots.select(F.lit(1).alias("o"), F.format_string('<circle cx="%.1f" cy="%.1f" r="%.1f"/><text x="%.1f" y="%.1f">%s</text>', "x", "y", "r", "x", "y", escaped(short_label(F.col("label")))).alias("s"))
+    rows = [r.s for r in lines.unionByName(marks).orderBy("o", "s").collect()]  # bounded by the pairs of a drawing's nodes
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" stroke="#999">' + "".join(rows) + "</svg>"
+
+
 def svg(nodes_: DataFrame, edges_: DataFrame, width: float = 1200, height: float = 800) -> str:
     """A drawing of the first 200 nodes and the edges among them."""
     few = drawn(nodes_)
-    at = circle(few, width, height)
-    a, b = at.select(F.col("id").alias("source"), F.col("x").alias("x1"), F.col("y").alias("y1")), at.select(F.col("id").alias("target"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    lines = edges_.join(F.broadcast(a), "source").join(F.broadcast(b), "target").select(F.format_string('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/>', "x1", "y1", "x2", "y2").alias("s"))
-    dots = few.select("id", "label").join(at, "id").select(F.format_string('<circle cx="%.1f" cy="%.1f" r="5"/><text x="%.1f" y="%.1f">%s</text>', "x", "y", "x", "y", escaped(short_label(F.col("label")))).alias("s"))
-    rows = [r.s for r in lines.unionByName(dots).limit(20_000).collect()]  # a drawing's bound
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" stroke="#999">' + "".join(rows) + "</svg>"
+    return _drawing(few.select("id", "label").join(circle(few, width, height), "id").withColumn("r", F.lit(5.0)), edges_, width, height)
+
+
+def dependency_svg(nodes_: DataFrame, edges_: DataFrame, width: float = 1200, height: float = 800) -> str:
+    """A drawing of the first 200 files by force layout, their size after their chunks. nodes_ and edges_: as from dependencies()."""
+    few = drawn(nodes_).collect()
+    ids = [r.id for r in few]
+    links = edges_.filter(F.col("source").isin(ids) & F.col("target").isin(ids)).collect()
+    at = force_layout(ids, [(r.source, r.target) for r in links], width, height) if ids else {}
+    dots = nodes_.sparkSession.createDataFrame([(r.id, r.id, *at[r.id], r.chunk_count) for r in few], "id string, label string, x double, y double, n long")
+    return _drawing(dots.withColumn("r", radius(F.col("n"))), edges_, width, height)

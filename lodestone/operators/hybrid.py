@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VECTOR_ONLY = 0.8
@@ -32,7 +33,7 @@ def overlap(query: str) -> Callable:
     """A reranker's stand-in: the share of the query's terms that a text has."""
     from .keyword import words
 
-    asked = sorted(set(query.lower().split()))
+    asked = sorted(set(re.findall("[a-z0-9]+", query.lower())))
     return lambda text: F.size(F.array_intersect(words(text), F.array(*map(F.lit, asked)))) / F.lit(float(max(1, len(asked))))
 
 
@@ -47,3 +48,17 @@ def enrich(results: DataFrame, meta: DataFrame) -> DataFrame:
 
 def clamp(n: int | None) -> int:
     return 10 if n is None else max(1, min(100, int(n)))
+
+
+def relevance(label: Column, score: Column) -> Column:
+    """What a classifier's answer says of relevance: its score if it chose the second label, else the rest to one."""
+    return F.when(label == "LABEL_1", score).otherwise(1 - score)
+
+
+def formatted(results: DataFrame) -> DataFrame:
+    """rank, text: each of a search's few results as lines to read; in order of score and id, numbered from 1."""
+    r = results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    kind = F.when(F.coalesce(F.col("kind"), F.lit("")) != "", F.concat(F.lit(" ("), "kind", F.lit(")"))).otherwise("")
+    symbol = F.when(F.coalesce(F.col("symbol"), F.lit("")) != "", F.concat(F.lit("\n    Symbol: "), "symbol", kind)).otherwise("")
+    head = F.format_string("[%d] %s:%d-%d\n    Language: %s  |  Type: %s  |  Score: %.3f", "rank", "file", "start_line", "end_line", "language", "match_type", "score")
+    return r.select("rank", F.concat(head, symbol, F.lit("\n    " + "\u2500" * 60)).alias("text"))

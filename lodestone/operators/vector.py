@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stems
+from ..shipping import ship
 from .keyword import top
 
 TOP_K = 30
@@ -60,6 +61,7 @@ def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int
     in blocks and a task keeps k rows of each query, so nothing is paired by a join.
 
     Products of matrices bound the distances; those that may be among the k least are then computed as squared_distance does."""
+    ship(vectors.sparkSession)
     names, asked = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
     kind, block, slab = vectors.schema["vec_id"].dataType.simpleString(), BLOCK, SLAB
 

@@ -15,10 +15,11 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..shipping import ship
 
 Symbol = dict  # name, type, start, end, parent (start line of the parent or None), meta
 
@@ -64,8 +65,9 @@ _COMMENTS = {"#": "py rb dockerfile yaml toml terraform config csv", "--": "sql
 
 
 def _brace_end(lines: list[str], i: int) -> int:
-    """The line on which the braces that open on or after line i are closed; i if a statement ends first."""
-    depth, opened = 0, False
+    """The line on which the braces that open on or after line i are closed; i if a statement ends first. While brackets of the
+    declaration are open, and on the line after, its braces may still come."""
+    depth, opened, brackets, closed = 0, False, 0, i
     for j in range(i, len(lines)):
         text = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "", lines[j])
         for c in text:
@@ -75,7 +77,10 @@ def _brace_end(lines: list[str], i: int) -> int:
                 depth -= 1
                 if opened and depth == 0:
                     return j
-        if not opened and (";" in text or j > i + 1):
+        brackets += text.count("(") + text.count("[") - text.count(")") - text.count("]")
+        if brackets > 0 or not text.strip():
+            closed = j + 1
+        elif not opened and (";" in text or j > closed):
             return i
     return i if not opened else len(lines) - 1
 
@@ -168,8 +173,27 @@ def html(text: str) -> list[Symbol]:
     return _Tags(lambda t: "module" if t in HTML_TAGS or "-" in t else None, text).out
 
 
+_XML = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[?!][^>]*>|<(/?)([\w:.-]+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)(/?)>", re.S)
+
+
 def xml(text: str) -> list[Symbol]:
-    return _Tags(lambda t: "module" if t in XML_TAGS else "property", text).out
+    """Every element, as it is written, below the one that holds it; comments and CDATA are let pass."""
+    out, open_, line, at = [], [], 1, 0
+    for m in _XML.finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        if not m[2]:
+            continue
+        if m[1]:
+            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k]["name"] == m[2]), None)
+            if k is not None:
+                open_[k]["end"] = line + m[0].count("\n")
+                del open_[k:]
+            continue
+        s = sym(m[2], "module" if m[2].lower() in XML_TAGS else "property", line, parent=open_[-1]["start"] if open_ else None, tag=m[2])
+        out.append(s)
+        if not m[4]:
+            open_.append(s)
+    return out
 
 
 def component(text: str) -> list[Symbol]:
@@ -229,7 +253,15 @@ SQL_OBJECTS = [
     ("SCHEMA", "namespace"),
     ("DATABASE", "module"),
 ]
-sql = lines_of([(rf"CREATE\s+{what}\s+[`\"']?(\w+)[`\"']?", kind, None) for what, kind in SQL_OBJECTS], re.I, every=True)
+_sql = lines_of([(rf"CREATE\s+{what}\s+[`\"']?(\w+)[`\"']?", kind, None) for what, kind in SQL_OBJECTS], re.I, every=True)
+
+
+def sql(text: str) -> list[Symbol]:
+    """What CREATE statements make; comments of either kind do not count, and lines stay as they are."""
+    blank = lambda m: m[0] if m[0][0] in "'\"`" else re.sub(r"[^\n]", " ", m[0])
+    return _sql(re.sub(r"'(?:''|[^'])*'|--[^\n]*|/\*.*?(?:\*/|\Z)", blank, text, flags=re.S))
+
+
 #: Instructions, kinds and the part of the argument that is kept.
 INSTRUCTIONS = [
     ("FROM", "import", "(.+)"),
@@ -251,9 +283,14 @@ INSTRUCTIONS = [
 ]
 dockerfile = lines_of([(rf"{name}\s+{rest}", kind, name) for name, kind, rest in INSTRUCTIONS], re.I)
 #: Declarations of Apex.
-_SHARING = r"(?:with\s+sharing\s+|without\s+sharing\s+)?"
-_RESULT = r"(?:static\s+)?(?:void|integer|string|boolean|list|map|set)"
-apex = lines_of([(rf"(?:public|private|global)\s+{_SHARING}class\s+(\w+)", "class", None), (r"public\s+interface\s+(\w+)", "interface", None), (r"public\s+enum\s+(\w+)", "enum", None), (rf"(?:public|private)\s+{_RESULT}\s+(\w+)\s*\(", "function", None), (r"(?:public\s+)?trigger\s+(\w+)\s+on\s+\w+", "function", None)], re.I)
+APEX = [
+    (r"(?:public|private|global)\s+(?:with\s+sharing\s+|without\s+sharing\s+)?class\s+(\w+)", "class", None),
+    (r"public\s+interface\s+(\w+)", "interface", None),
+    (r"public\s+enum\s+(\w+)", "enum", None),
+    (r"(?:public|private)\s+(?:static\s+)?(?:void|integer|string|boolean|list|map|set)\s+(\w+)\s*\(", "function", None),
+    (r"(?:public\s+)?trigger\s+(\w+)\s+on\s+\w+", "function", None),
+]
+apex = lines_of(APEX, re.I)
 visualforce = lines_of([(r".*?<apex:(\w+)", "class", None)], re.I)
 aura = lines_of([(r".*?<aura:(\w+)", "class", None), (r".*?<(\w+-\w+)", "class", None)], re.I)
 
@@ -280,13 +317,64 @@ def keyed(text: str, sections: bool) -> list[Symbol]:
     return out
 
 
+_TOML_KEY = r"""(?:"(?:\\.|[^"\\])*"|'[^']*'|[\w-]+)(?:\s*\.\s*(?:"(?:\\.|[^"\\])*"|'[^']*'|[\w-]+))*"""
+_TOML = re.compile(rf"[ \t]*(?:#[^\n]*|\[\[?[ \t]*({_TOML_KEY})[ \t]*\]\]?[^\n]*|({_TOML_KEY})[ \t]*=[ \t]*)")
+_TOML_VALUE = re.compile(r"""\"{3}.*?\"{3}|'{3}.*?'{3}|"(?:\\.|[^"\\\n])*"|'[^'\n]*'|#[^\n]*|[\[\]{}\n]|[^\[\]{}\n"'#]+""", re.S)
+
+
 def toml(text: str) -> list[Symbol]:
-    flat = re.sub(r"^\s*\[\[(.+)\]\]\s*$", r"[\1]", text, flags=re.M)
-    return keyed(flat, True)
+    """Tables and the keys of each, quoted ones too; a value that goes over several lines belongs to its key."""
+    out, section, at, line = [], None, 0, 1
+    name = lambda k: re.sub(r"^[\"'](.*)[\"']$", r"\1", k.strip())
+    while at < len(text):
+        m = _TOML.match(text, at)
+        end = m.end() if m else at
+        if m and m[1]:
+            section = line
+            out.append(sym(name(m[1]), "section", line))
+        elif m and m[2]:
+            depth, start = 0, end
+            for v in _TOML_VALUE.finditer(text, end):
+                if v.start() != end or v[0] == "\n" and not depth:
+                    break
+                depth += (v[0] in "[{") - (v[0] in "]}")
+                end = v.end()
+            value = text[start:end].strip()
+            out.append(sym(name(m[2]), "property", line, line + text.count("\n", start, end), parent=section, value=value))
+        stop = text.find("\n", end)
+        stop = len(text) if stop < 0 else stop + 1
+        line, at = line + text.count("\n", at, stop), stop
+    return out
+
+
+_YAML = re.compile(r"""(\s*(?:-\s+)*)("(?:\\.|[^"\\])*"|'[^']*'|[\w.\-/ ]+?)\s*:(?:\s|$)""")
+_YAML_FLOW = re.compile(r"""[{,]\s*("(?:\\.|[^"\\])*"|'[^']*'|[\w.\-/ ]+?)\s*:(?=[\s"'\[{]|$)""")
 
 
 def yaml(text: str) -> list[Symbol]:
-    return lines_of([(r"\s*(?:-\s+)?[\"']?([\w.\-/ ]+?)[\"']?\s*:(?:\s|$)", "property", None)], strip=False)(text)
+    """Keys of block and flow mappings, each below the key that holds it; comments and the lines of block scalars are let pass."""
+    out, open_, scalar = [], [], None  # open_: (indent, line) of the keys above
+    for i, line in enumerate(text.split("\n")):
+        width = len(line) - len(line.lstrip())
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if scalar is not None:
+            if width > scalar:
+                continue
+            scalar = None
+        rest = line
+        if m := _YAML.match(line):
+            width = len(m[1])
+            while open_ and open_[-1][0] >= width:
+                open_.pop()
+            out.append(sym(m[2].strip().strip("\"'"), "property", i + 1, parent=open_[-1][1] if open_ else None))
+            open_.append((width, i + 1))
+            rest = line[m.end() :]
+            if re.match(r"[|>][+-]?\d*\s*(?:#.*)?$", rest.strip()):
+                scalar = len(line) - len(line.lstrip())
+        if rest.strip().startswith(("{", "- {", "[")):
+            out += [sym(f[1].strip().strip("\"'"), "property", i + 1, parent=open_[-1][1] if open_ else None) for f in _YAML_FLOW.finditer(rest)]
+    return out
 
 
 def patterns_file(text: str) -> list[Symbol]:
@@ -310,7 +398,7 @@ def markdown(text: str) -> list[Symbol]:
 
 
 #: Underlines of headings, by level.
-_UNDER = "=-~^\"#*+"
+_UNDER = ["=", "-", "~", "^", '"', "#", "*", "+"]
 
 
 def rst(text: str) -> list[Symbol]:
@@ -341,15 +429,23 @@ def adoc(text: str) -> list[Symbol]:
 
 
 def csv_columns(text: str) -> list[Symbol]:
+    """The first row that is no # comment names the columns; a quoted name may hold line ends. What follows is the data."""
     lines = text.rstrip("\n").split("\n")
-    names = next(csv.reader(lines[:1]), [])
-    out = [sym("headers", "module", 1)] + [sym(n.strip(), "property", 1) for n in names if n.strip()]
-    return out + ([sym("data", "table", 2, len(lines))] if len(lines) > 1 else [])
+    first = next((i for i, x in enumerate(lines) if x.strip() and not x.startswith("#")), 0)
+    reader = csv.reader(x + "\n" for x in lines[first:])
+    names = next(reader, [])
+    out = [sym("headers", "module", first + 1, first + max(1, reader.line_num))] + [sym(" ".join(n.split()), "property", first + 1) for n in names if n.strip()]
+    after = first + max(1, reader.line_num)
+    return out + ([sym("data", "table", after + 1, len(lines))] if len(lines) > after else [])
 
 
-#: SVG elements that are modules, and others that are properties.
+#: SVG elements that are modules, and others that are properties; names are compared without case.
 SVG_MODULES = frozenset("svg g defs symbol marker pattern clippath mask filter".split())
-SVG_OTHERS = frozenset("use path rect circle ellipse line polyline polygon text tspan textpath image switch foreignobject animate animatetransform animatemotion set".split())
+SVG_OTHERS = frozenset(
+    "use path rect circle ellipse line polyline polygon text tspan textpath image switch foreignobject animate animatetransform animatemotion set "
+    "feblend fecolormatrix fecomponenttransfer fecomposite feconvolvematrix fediffuselighting fedisplacementmap feflood "
+    "fegaussianblur feimage femerge femergenode femorphology feoffset fespecularlighting fetile feturbulence".split()
+)
 
 
 def svg(text: str) -> list[Symbol]:
@@ -465,6 +561,7 @@ _SYMBOL = pa.struct([("name", pa.string()), ("type", pa.string()), ("start", pa.
 
 def parsed(files: DataFrame) -> DataFrame:
     """file, language, symbols, imports, exports, comments, error: one row for each of files (file, language, text)."""
+    ship(files.sparkSession)
     table = dict(PARSERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,11 +586,12 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def text_sections(files: DataFrame) -> DataFrame:
     """file, name, start_line, end_line: headed sections of plain text (capitals, or underlined by = or -), each up to the next header."""
-    line = files.select("file", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.arrays_zip(F.split("text", "\n").alias("x"), F.slice(F.split("text", "\n"), 2, F.greatest(F.lit(0), F.size(F.split("text", "\n")) - 1)).alias("y"))).alias("i", "l"))
-    x, y = trimmed(F.col("l.x")), trimmed(F.coalesce(F.col("l.y"), F.lit("")))
-    head = line.withColumn("name", x).filter((F.length("name") >= 3) & (((F.col("name") == F.upper("name")) & F.col("name").rlike("[A-Z]")) | y.rlike("^[=-]{3,}$")))
-    w = Window.partitionBy("file").orderBy("i")
-    return head.select("file", "name", (F.col("i") + 1).alias("start_line"), F.coalesce(F.lead("i").over(w), F.col("n")).alias("end_line"))
+    lines = files.select("file", F.split("text", "\n").alias("lines"))
+    each = F.transform("lines", lambda x, i: F.struct(trimmed(x).alias("name"), i.alias("i"), trimmed(F.coalesce(F.get("lines", i + 1), F.lit(""))).alias("under")))
+    capitals = lambda x: (x == F.upper(x)) & x.rlike("[A-Z]")
+    # The headings of a file are picked inside its row, so nothing is shuffled.
+    heads = lines.select("file", F.size("lines").alias("n"), F.filter(each, lambda h: (F.length(h["name"]) >= 3) & (capitals(h["name"]) | h["under"].rlike("^[=-]{3,}$"))).alias("heads"))
+    return heads.select("file", "n", "heads", F.posexplode("heads").alias("k", "h")).select("file", F.col("h")["name"].alias("name"), (F.col("h")["i"] + 1).alias("start_line"), F.coalesce(F.get("heads", F.col("k") + 1)["i"], F.col("n")).alias("end_line"))
 
 
 def paragraphs(files: DataFrame, most: int = 100) -> DataFrame:

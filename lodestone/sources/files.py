@@ -85,16 +85,16 @@ def ignored(path: Column, user: list[str] | None = None) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Whole names first, then the longest extension, else generic."""
+    """Whole names first (a Dockerfile may have an ending that is no language's), then the longest extension, else generic."""
     lower = F.lower(path)
     name = F.substring_index(lower, "/", -1)
-    out = F.when(name.startswith("dockerfile"), "dockerfile")
+    out = F.when(name == "dockerfile", "dockerfile")
     for key, _, names in LANGUAGES:
         if names:
             out = out.when(name.isin(*names.split()), key)
     for ext, key in sorted(((e, k) for k, exts, _ in LANGUAGES for e in exts.split()), key=lambda p: -len(p[0])):
         out = out.when(lower.endswith(ext), key)
-    return out.otherwise("generic")
+    return out.when(name.startswith("dockerfile."), "dockerfile").otherwise("generic")
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -103,6 +103,11 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, e.split(), n.split(), tier(i)) for i, (k, e, n) in enumerate(LANGUAGES)], "key string, extensions array<string>, names array<string>, tier int")
 
 
+def extensions(keys: list[str]) -> list[str]:
+    """The extensions of some languages, in order; a key that is not there has none."""
+    return [e for k, exts, _ in LANGUAGES if k in keys for e in exts.split()]
+
+
 def inside(root: str, path: str) -> bool:
     """Whether path, with links resolved, is root or below it."""
     root, path = os.path.realpath(root), os.path.realpath(os.path.join(root, path))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SCHEMA, CHUNKING = "1", "1"
+SCHEMA, CHUNKING = "2", "1"
 
 
 @dataclass
@@ -47,10 +49,14 @@ class Config:
 
 
 class Store:
-    """Tables under root/<name>/v<n>; the manifest names the current version of each, and is replaced last, so readers see whole versions.
+    """Tables under root/<name>/v<n>. A manifest names the current version of each; every change is a new manifest with the next
+    number, which appears by one renaming, and none is changed or deleted while it is current: readers see whole versions.
+    The versions of the last KEPT manifests stay for readers that hold them.
 
     The manifest is written by the driver through Spark's file system, so root may be any path that Spark reads and writes."""
 
+    KEPT = 3
+
     def __init__(self, spark: SparkSession, root: str, model: str = "balanced"):
         self.spark, self.root, self.model = spark, root.rstrip("/"), model
         jvm = spark.sparkContext._jvm
@@ -58,24 +64,48 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.manifest = self._read()
 
-    def _read(self) -> dict:
-        path = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(path):
-            return {"schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": {}}
-        stream = self._fs.open(path)
+    def _numbers(self) -> list[int]:
+        """The numbers of the manifests that there are, in order."""
+        found = self._fs.globStatus(self._path(f"{self.root}/manifest-*.json")) or []
+        return sorted(int(f.getPath().getName()[9:-5]) for f in found)
+
+    def _load(self, number: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/manifest-{number:08d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _flip(self) -> None:
-        new, path = self._path(f"{self.root}/manifest.json.new"), self._path(f"{self.root}/manifest.json")
+    def _read(self) -> dict:
+        numbers = self._numbers()
+        return self._load(numbers[-1]) if numbers else {"number": 0, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": {}}
+
+    def _flip(self, manifest: dict) -> None:
+        """Make manifest the current one; another writer's manifest of the same number is an error."""
+        name = f"{self.root}/manifest-{manifest['number']:08d}.json"
+        new, path = self._path(f"{name}.{uuid.uuid4().hex}"), self._path(name)
         out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(self.manifest).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if self._fs.exists(path):
-            self._fs.delete(path, False)
-        self._fs.rename(new, path)
+        if self._fs.exists(path) or not self._fs.rename(new, path):
+            self._fs.delete(new, False)
+            raise RuntimeError(f"{path.toString()} was written by another run")
+        self.manifest = manifest
+        self._clean()
+
+    def _clean(self) -> None:
+        numbers = self._numbers()
+        kept = [self._load(n)["tables"] for n in numbers[-self.KEPT :]]
+        for n in numbers[: -self.KEPT]:
+            for name, version in self._load(n)["tables"].items():
+                if all(t.get(name) != version for t in kept):
+                    self._fs.delete(self._path(f"{self.root}/{name}/v{version}"), True)
+            self._fs.delete(self._path(f"{self.root}/manifest-{n:08d}.json"), False)
+
+    def refresh(self) -> "Store":
+        """See what other runs have written."""
+        self.manifest = self._read()
+        return self
 
     def needs_rebuild(self) -> bool:
         m = self.manifest
@@ -87,19 +117,19 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/v{self.manifest['tables'][name]}")
 
+    def count(self, name: str) -> int:
+        return self.read(name).count()
+
     def write(self, **tables: DataFrame) -> None:
-        """New versions of the tables, which appear together. The versions before the last are deleted."""
+        """New versions of the tables, which appear together."""
+        number = self.manifest["number"] + 1
         for name, df in tables.items():
-            n = self.manifest["tables"].get(name, 0) + 1
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{n}")
-        for name in tables:
-            self.manifest["tables"][name] = self.manifest["tables"].get(name, 0) + 1
-        self.manifest |= {"schema": SCHEMA, "model": self.model, "chunking": CHUNKING}
-        self._flip()
-        for name in tables:
-            old = self._path(f"{self.root}/{name}/v{self.manifest['tables'][name] - 2}")
-            if self._fs.exists(old):
-                self._fs.delete(old, True)
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{number}")
+        self._flip({"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": self.manifest["tables"] | dict.fromkeys(tables, number)})
+
+    def delete(self, name: str, key: str, values: list) -> None:
+        """A new version of the table without the rows whose key is among a few values."""
+        self.write(**{name: self.read(name).filter(~F.col(key).isin(values) | F.col(key).isNull())})
 
     def compact(self, name: str, files: int) -> None:
         self.write(**{name: self.read(name).repartition(files)})

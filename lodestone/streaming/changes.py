@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 log = logging.getLogger("lodestone")
+#: Levels by name; verbose lies between info and debug.
+LEVELS = {"silent": logging.CRITICAL + 1, "info": logging.INFO, "verbose": 15, "debug": logging.DEBUG}
+
+
+def set_level(name: str) -> None:
+    """How much the library says: silent, info, verbose or debug."""
+    if name not in LEVELS:
+        raise ValueError(f"no level {name}")
+    log.setLevel(LEVELS[name])
 
 
 def source(spark: SparkSession, path: str, schema: str, per_trigger: int = 16) -> DataFrame:
