@@ -129,7 +129,7 @@ def search(spark: SparkSession, store: Store, query: str, max_results: int | Non
     if language or file:
         ids = chunks.select("id")
         vectors = vectors.join(ids.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
-    kw = keyword.minmax(inverted.search(spark, store.read("postings"), store.read("totals"), {"q": q}, ids=ids)).select("id", "score", "pos")
+    kw = keyword.minmax(inverted.search(spark, store.read("postings"), store.read("terms"), store.read("totals"), {"q": q}, ids=ids)).select("id", "score", "pos")
     asked = vector.HashingProvider(_DIMENSION[store.model]).embed([q])[0]
     if any(asked):
         near = vector.knn_batch(vectors, [(0, asked)]).select(F.col("vec_id").alias("id"), (1 / (1 + F.col("distance"))).alias("score"), "pos")

@@ -32,9 +32,8 @@ ANALYSERS: dict[str, Callable[[str], list[str]]] = {"porter": stems, "plain": pl
 
 
 def phrases(query: str, analyser: str = "porter") -> list[list[str]]:
-    """The phrases of a query, all of which must occur. Parts that only marks join, like a_b, are a phrase."""
-    found = (ANALYSERS[analyser](t) for t in query.split())
-    return [list(p) for p in dict.fromkeys(map(tuple, filter(None, found)))]
+    """The phrases of a query, all of which must occur; one that is asked twice counts twice. Parts that only marks join, like a_b, are a phrase."""
+    return [p for p in map(ANALYSERS[analyser], query.split()) if p]
 
 
 def postings(rows: DataFrame, key: str, fields: list[Column], analyser: str = "porter") -> DataFrame:
@@ -87,25 +86,36 @@ def without(posted: DataFrame, gone: DataFrame) -> DataFrame:
     return posted.join(gone.select("id").distinct(), "id", "left_anti")
 
 
-def search(spark: SparkSession, posted: DataFrame, total: DataFrame, queries: dict[str, str], k: int = 2 * TOP_K, analyser: str = "porter", ids: DataFrame | None = None) -> DataFrame:
-    """query_id, id, rank (negative BM25, least is best), pos: the k best rows that hold all phrases of a query. ids: the only rows that count, if given.
-
-    The terms reach the scan of the postings as a filter. A phrase counts as a term of its own: its places are those at which the
-    lists of its words, moved by their offsets, meet. Ranks are rounded to 9 places, so that the order of a sum decides no tie."""
-    cut = {q: phrases(text, analyser) for q, text in queries.items()}
-    asked = [(q, i, off, t, len(p), len(ps)) for q, ps in cut.items() for i, p in enumerate(ps) for off, t in enumerate(p)]
-    want = F.broadcast(spark.createDataFrame(asked, "query_id string, phrase int, off int, term string, words int, need int"))
-    lists = posted.filter(F.col("term").isin(sorted({a[3] for a in asked}))).join(want, "term")
+def _phrase_places(spark: SparkSession, posted: DataFrame, asked: list[tuple]) -> DataFrame:
+    """query_id, need, phrase, id, dl, tf, df of phrases of several words: the places at which the lists of the words, moved by their offsets, meet."""
+    want = F.broadcast(spark.createDataFrame(asked, "query_id string, need int, phrase int, words int, off int, term string"))
+    lists = posted.filter(F.col("term").isin(sorted({a[-1] for a in asked}))).join(want, "term")
     moved = lists.select("query_id", "need", "phrase", "words", "id", "dl", F.transform("positions", lambda p: p - F.col("off")).alias("starts"))
     met = moved.groupBy("query_id", "need", "phrase", "words", "id", "dl").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == F.col("words"))
     starts = F.aggregate(F.slice("all", F.lit(2), F.col("words") - 1), F.get("all", 0), F.array_intersect)
     tf = met.select("query_id", "need", "phrase", "id", "dl", F.size(starts).alias("tf")).filter("tf > 0")
     df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(F.broadcast(df), ["query_id", "phrase"])
+
+
+def search(spark: SparkSession, posted: DataFrame, vocabulary: DataFrame, total: DataFrame, queries: dict[str, str], k: int = 2 * TOP_K, analyser: str = "porter", ids: DataFrame | None = None) -> DataFrame:
+    """query_id, id, rank (negative BM25, least is best), pos: the k best rows that hold all phrases of a query. ids: the only rows that count, if given.
+
+    The terms reach the scan of the postings as a filter; how many rows hold a word is known from the vocabulary. A phrase of several
+    words counts as a term of its own. Ranks are rounded to 9 places, so that the order of a sum decides no tie."""
+    cut = {q: phrases(text, analyser) for q, text in queries.items()}
+    words = [(q, len(ps), i, p[0]) for q, ps in cut.items() for i, p in enumerate(ps) if len(p) == 1]
+    longer = [(q, len(ps), i, len(p), off, t) for q, ps in cut.items() for i, p in enumerate(ps) if len(p) > 1 for off, t in enumerate(p)]
+    names = ["query_id", "need", "phrase", "id", "dl", "tf", "df"]
+    own = F.col("term").isin(sorted({w[-1] for w in words}))
+    want = vocabulary.filter(own).join(F.broadcast(spark.createDataFrame(words, "query_id string, need int, phrase int, term string")), "term")
+    tf = posted.filter(own).join(F.broadcast(want), "term").select("query_id", "need", "phrase", "id", "dl", F.size("positions").alias("tf"), "df")
+    if longer:
+        tf = tf.unionByName(_phrase_places(spark, posted, longer).select(*names))
     if ids is not None:
         tf = tf.join(ids.select("id"), "id", "left_semi")
     n, avgdl = total.select("n").scalar(), total.select("avgdl").scalar()  # subqueries of one value
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weights = df.select("query_id", "phrase", idf.alias("idf"), avgdl.alias("avgdl"))
-    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = tf.join(F.broadcast(weights), ["query_id", "phrase"]).groupBy("query_id", "need", "id").agg(F.round(-F.sum(score), 9).alias("rank"), F.count(F.lit(1)).alias("got"))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    found = tf.groupBy("query_id", "need", "id").agg(F.round(-F.sum(score), 9).alias("rank"), F.count(F.lit(1)).alias("got"))
     return top(found.filter("got = need").select("query_id", "id", "rank"), "rank", "id", k)

@@ -46,6 +46,20 @@ def frequencies(posted: DataFrame, key: str) -> DataFrame:
     return posted.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def vocabulary(rows: DataFrame, text: Column) -> DataFrame:
+    """term, n (occurrences), df (rows with the term). A row's terms are sorted inside the row, which tells its first ones: only sums are shuffled."""
+    own = rows.select(F.sort_array(words(text)).alias("w"))
+    each = own.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("w", i - 1) != x)).alias("first")))).alias("e"))
+    return each.groupBy("e.term").agg(F.count(F.lit(1)).alias("n"), F.count_if("e.first").alias("df"))
+
+
+def match_all(rows: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
+    """query_id, key: the rows that hold all terms of a query (query_id, term; a few rows, which are broadcast)."""
+    need = F.broadcast(queries.groupBy("query_id").agg(F.count_distinct("term").alias("need")))
+    own = rows.select(key, F.explode(F.array_distinct(words(text))).alias("term")).join(F.broadcast(queries), "term")
+    return own.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n")).join(need, "query_id").filter("n = need").select("query_id", key)
+
+
 def bm25(rows: DataFrame, key: str, text: Column, queries: DataFrame, k: int = 2 * TOP_K) -> DataFrame:
     """query_id, key, rank (negative BM25, least is best), pos: the k best rows that hold all terms of a query.
 

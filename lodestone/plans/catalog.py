@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..operators import chunking, delta, graph, hybrid, keyword, stats, vector
+from ..operators import chunking, delta, graph, hybrid, inverted, keyword, stats, vector
 from ..sources import adapters, files
+from ..sources.store import Store
 from ..streaming import changes
 from .fixtures import SNIPPETS, SYMBOLS, TEXTS
 
@@ -66,12 +69,12 @@ def ignore_rules(spark, d):
     return t(spark, d, "pages").select("page_id", path.alias("path")).withColumn("ignored", files.ignored(F.col("path"), ["**/en/**"]))
 
 
-_EXT = "(CASE page_id % 6 WHEN 0 THEN 'a.ts' WHEN 1 THEN 'b.tar.py' WHEN 2 THEN 'Dockerfile.dev' WHEN 3 THEN 'x-meta.xml' WHEN 4 THEN '.gitignore' ELSE 'z.xyz' END)"
+_EXT = "(CASE page_id % 6 WHEN 0 THEN 'a.ts' WHEN 1 THEN 'b.tar.py' WHEN 2 THEN 'Dockerfile.dev' WHEN 3 THEN 'x-meta.xml' WHEN 4 THEN '.gitignore' ELSE CASE page_id % 4 WHEN 1 THEN 'Dockerfile-guide.md' ELSE 'z.xyz' END END)"
 
 
-@query(f"SELECT page_id, {_EXT} AS path, CASE page_id % 6 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' WHEN 2 THEN 'dockerfile' WHEN 3 THEN 'salesforce' WHEN 4 THEN 'config' ELSE 'generic' END AS language FROM pages")
+@query(f"SELECT page_id, {_EXT} AS path, CASE page_id % 6 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' WHEN 2 THEN 'dockerfile' WHEN 3 THEN 'salesforce' WHEN 4 THEN 'config' ELSE CASE page_id % 4 WHEN 1 THEN 'markdown' ELSE 'generic' END END AS language FROM pages")
 def lang_resolve(spark, d):
-    return t(spark, d, "pages").select("page_id", F.expr(_EXT.strip("()")).alias("path")).withColumn("language", files.language(F.col("path")))
+    return t(spark, d, "pages").select("page_id", F.expr(_EXT).alias("path")).withColumn("language", files.language(F.col("path")))
 
 
 @query("SELECT doc_id, ceil(length(text) / 4)::INTEGER AS tokens FROM documents")
@@ -148,10 +151,19 @@ def file_delta(spark, d):
     return delta.delta(*snapshots(spark, d), "rel_path")
 
 
-@query(f"SELECT a.id AS id, a.hash AS old_hash, a.hash AS new_hash, 'unchanged' AS status FROM {CHUNKS} a")
+_OLD_CHUNKS = f"(SELECT id, CASE WHEN start_line % 7 = 1 AND end_line % 2 = 0 THEN sha256(hash) ELSE hash END AS hash FROM {CHUNKS} WHERE end_line % 5 <> 0)"
+_NEW_CHUNKS = f"(SELECT id, hash FROM {CHUNKS} WHERE end_line % 11 <> 2)"
+
+
+@query(f"""SELECT id, o.hash AS old_hash, n.hash AS new_hash,
+CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'modified' END AS status
+FROM {_OLD_CHUNKS} o FULL JOIN {_NEW_CHUNKS} n USING (id)""")
 def chunk_delta(spark, d):
-    c = packed_chunks(spark, d).select("id", "hash")
-    return delta.delta(c, c.select("id", "hash"), "id")
+    """Two states of the chunks: in the first some are missing and some differ, in the second others are missing."""
+    c = packed_chunks(spark, d)
+    other = (F.col("start_line") % 7 == 1) & (F.col("end_line") % 2 == 0)
+    old = c.filter("end_line % 5 <> 0").select("id", F.when(other, F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"))
+    return delta.delta(old, c.filter("end_line % 11 <> 2").select("id", "hash"), "id")
 
 
 @query(f"SELECT rel_path, coalesce(n.hash, o.hash) AS hash FROM {_OLD} o FULL JOIN {_NEW} n USING (rel_path)")
@@ -175,8 +187,7 @@ _TOK = f"tok AS (SELECT doc_id, {_W} AS w FROM documents)"
 
 @query(f"WITH {_TOK}, p AS (SELECT doc_id, unnest(w) AS term FROM tok) SELECT term, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS df FROM p GROUP BY term")
 def kw_terms(spark, d):
-    p = keyword.frequencies(keyword.postings(t(spark, d, "documents"), "doc_id", F.col("text")), "doc_id")
-    return p.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    return keyword.vocabulary(t(spark, d, "documents"), F.col("text"))
 
 
 @query(f"WITH {_TOK} SELECT doc_id, len(w)::INTEGER AS dl FROM tok")
@@ -228,9 +239,7 @@ def kw_minmax(spark, d):
 
 @query(f"WITH {_TOK} SELECT doc_id FROM tok WHERE list_contains(w, 'of') AND list_contains(w, 'idiot')")
 def kw_match_and(spark, d):
-    posted = keyword.postings(t(spark, d, "documents"), "doc_id", F.col("text"))
-    asked = keyword.query_terms(spark, {"q": "of idiot"})
-    return posted.join(F.broadcast(asked), "term").groupBy("doc_id").agg(F.count_distinct("term").alias("n")).filter("n = 2").select("doc_id")
+    return keyword.match_all(t(spark, d, "documents"), "doc_id", F.col("text"), keyword.query_terms(spark, {"q": "of idiot"})).select("doc_id")
 
 
 @query(f"WITH {_TOK}, p AS (SELECT doc_id, unnest(w) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM tok) SELECT doc_id, count(*)::BIGINT AS n FROM p WHERE a = 'of' AND b = 'the' GROUP BY doc_id")
@@ -238,6 +247,51 @@ def kw_phrase(spark, d):
     return keyword.match_phrase(keyword.postings(t(spark, d, "documents"), "doc_id", F.col("text")), "doc_id", ["of", "the"])
 
 
+_built: dict[tuple[str, str, str], Store] = {}
+
+
+def stored(spark, d, analyser: str = "plain") -> Store:
+    """The stored index of the documents, built once for a session and written to the shared folder."""
+    sc = spark.sparkContext
+    key = (sc.applicationId, d, analyser)
+    if key not in _built or not _built[key].has("totals"):
+        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-index-")
+        store = Store(spark, f"{root.rstrip('/')}/lodestone-index-{uuid.uuid4().hex}")
+        store.write(postings=inverted.clustered(inverted.postings(t(spark, d, "documents"), "doc_id", [F.col("text")], analyser)))
+        store.write(terms=inverted.terms(store.read("postings")), totals=inverted.totals(store.read("postings")))
+        _built[key] = store
+    return _built[key]
+
+
+def _indexed(spark, d, asked: dict[str, str], k: int, analyser: str = "plain") -> DataFrame:
+    store = stored(spark, d, analyser)
+    found = inverted.search(spark, store.read("postings"), store.read("terms"), store.read("totals"), asked, k, analyser)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"), "pos")
+
+
+@query(_bm25_sql(ASKED, 60))
+def kw_indexed_topk(spark, d):
+    """From the stored index: the postings of the asked terms alone are read."""
+    return _indexed(spark, d, ASKED, 60)
+
+
+@query(f"""WITH {_TOK}, tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM tok),
+tf AS (SELECT doc_id, dl, count(*) AS tf FROM p WHERE a = 'of' AND b = 'the' GROUP BY ALL),
+i AS (SELECT greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf, tot)
+SELECT 'q' AS query_id, doc_id, round(round(-idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9), 6) AS rank,
+       row_number() OVER (ORDER BY round(-idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 9), doc_id)::INTEGER AS pos
+FROM tf, i, tot QUALIFY pos <= 60""")
+def kw_indexed_phrase(spark, d):
+    """of_the is a phrase: its places are those at which both lists meet."""
+    return _indexed(spark, d, {"q": "of_the"}, 60)
+
+
+@query(f"WITH {_TOK}, p AS (SELECT doc_id, unnest(w) AS term FROM tok) SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM p GROUP BY term")
+def kw_indexed_terms(spark, d):
+    return stored(spark, d).read("terms").select("term", "df")
+
+
 # Vectors and hybrid ----------------------------------------------------------------------------------------------------
 
 
@@ -255,13 +309,8 @@ def vec_knn(spark, d):
     return vector.knn(t(spark, d, "embeddings"), q).select("vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_DIST}, 6) AS distance FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 8) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) <= 30")
-def vec_knn_batch(spark, d):
-    return vector.knn_batch(t(spark, d, "embeddings"), _vector(spark, d, list(range(8)))).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
-
-
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_DIST}, 6) AS distance FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) <= 30")
-def vec_knn_fiftieth(spark, d):
+def vec_knn_batch(spark, d):
     """Every fiftieth vector against all: the set of queries grows with the table, so it takes more than one block."""
     e = t(spark, d, "embeddings")
     rows = e.filter("vec_id % 50 = 0").select("vec_id", "embedding").collect()  # the stated queries
@@ -317,6 +366,23 @@ def hybrid_enrich(spark, d):
     return hybrid.enrich(hybrid.first(_merged(spark, d), 10), meta).select("id", "match_type", "lang", "source")
 
 
+@query(_MERGED + """, f AS (SELECT id, round(score, 3) AS score, match_type, lang, source FROM m JOIN documents ON doc_id = id ORDER BY order_key LIMIT 10),
+n AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM f)
+SELECT r::INTEGER AS rank, printf('[%d] %s:1-%d', r, source, id) || chr(10) || '    Language: ' || lang || '  |  Type: ' || match_type || '  |  Score: ' || printf('%.3f', score)
+       || CASE WHEN id % 2 = 0 THEN chr(10) || '    Symbol: doc (function)' ELSE '' END || chr(10) || '    ' || repeat('─', 60) AS text FROM n""")
+def hybrid_format(spark, d):
+    meta = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("source").alias("file"), F.when(F.col("doc_id") % 2 == 0, "doc").alias("symbol"), F.lit("function").alias("kind"), F.lit(1).alias("start_line"), F.col("doc_id").cast("int").alias("end_line"))
+    first = hybrid.enrich(hybrid.first(_merged(spark, d), 10).drop("score").withColumnRenamed("merged_score", "score"), meta)
+    return hybrid.formatted(first.withColumn("score", F.round("score", 3)))
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN (vec_id % 100) / 100.0 ELSE 1 - (vec_id % 100) / 100.0 END, 6)::DOUBLE AS score FROM embeddings")
+def label_flip(spark, d):
+    e = t(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 3 == 0, "LABEL_1").otherwise("LABEL_0")
+    return e.select("vec_id", F.round(hybrid.relevance(label, (F.col("vec_id") % 100) / 100.0), 6).cast("double").alias("score"))
+
+
 # Graph -----------------------------------------------------------------------------------------------------------------
 
 
@@ -422,6 +488,26 @@ def graph_subtree(spark, d):
     return graph.subtree(_graph(spark, d)[1], "kg:folder:src2")
 
 
+@query(_g("SELECT * FROM nodes WHERE id IN ('kg:workspace', 'kg:folder:src0', 'kg:folder:src1/en', 'kg:none')"))
+def graph_lookup(spark, d):
+    return graph.lookup(_graph(spark, d)[0], ["kg:workspace", "kg:folder:src0", "kg:folder:src1/en", "kg:none"])
+
+
+@query(_g(", one AS (SELECT min(file) AS f FROM nodes WHERE type = 'file') SELECT * FROM nodes, one WHERE file = f AND type = 'file'").replace("SELECT * FROM nodes, one", "SELECT nodes.* FROM nodes, one"))
+def graph_find(spark, d):
+    n = _graph(spark, d)[0]
+    return graph.find(n, n.filter("type = 'file'").agg(F.min("file").alias("f")).first().f)
+
+
+@query(f"SELECT 'kg:sym:' || rel_path || ':top|contains|kg:sym:' || rel_path || ':part' || i AS id, 'kg:sym:' || rel_path || ':top' AS source, 'kg:sym:' || rel_path || ':part' || i AS target, 'contains' AS type FROM {FILES}, range(3) r(i)")
+def graph_nested(spark, d):
+    """Each file has a symbol and three below it; the parent of a fourth is in no file."""
+    f = corpus(spark, d).select(F.col("rel_path").alias("file"))
+    part = lambda i: F.struct(F.lit(f"part{i}").alias("symbol"), F.lit("top").alias("parent"))
+    of = F.array(F.struct(F.lit("top").alias("symbol"), F.lit(None).cast("string").alias("parent")), *map(part, range(3)), F.struct(F.lit("lost").alias("symbol"), F.lit("1-9").alias("parent")))
+    return graph.nested(f.select("file", F.explode(of).alias("c")).select("file", "c.symbol", "c.parent"))
+
+
 @query("SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS path FROM pages")
 def path_normalise(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
@@ -514,12 +600,39 @@ def stream_last_event(spark, d):
 # Symbols ---------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH l AS (SELECT rel_path AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {FILES}),
-h AS (SELECT *, trim(line) AS x FROM l WHERE length(trim(line)) >= 3 AND trim(line) = upper(trim(line)) AND regexp_matches(line, '[A-Z]'))
-SELECT file, i::INTEGER AS start_line FROM h""")
+_SECTIONS = f"""l AS (SELECT rel_path AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM {FILES}),
+u AS (SELECT *, lead(line) OVER (PARTITION BY file ORDER BY i) AS under FROM l),
+h AS (SELECT file, trim(line) AS name, i, n FROM u WHERE length(trim(line)) >= 3 AND (trim(line) = upper(trim(line)) AND regexp_matches(line, '[A-Z]') OR regexp_matches(trim(coalesce(under, '')), '^[=-]{{3,}}$'))),
+sections AS (SELECT file, name, i::INTEGER AS start_line, coalesce(lead(i) OVER (PARTITION BY file ORDER BY i) - 1, n)::INTEGER AS end_line FROM h)"""
+
+
+@query(f"WITH {_SECTIONS} SELECT * FROM sections")
 def sym_text_sections(spark, d):
-    s = adapters.text_sections(corpus(spark, d).select(F.col("rel_path").alias("file"), "text"))
-    return s.filter(F.col("name") == F.upper("name")).select("file", "start_line")
+    return adapters.text_sections(corpus(spark, d).select(F.col("rel_path").alias("file"), "text"))
+
+
+@query(f"""WITH RECURSIVE {_SECTIONS},
+s AS (SELECT file, name, start_line AS a, list_slice(string_split(text, chr(10)), start_line, end_line) AS l FROM sections JOIN {FILES} f ON f.rel_path = file),
+big AS (SELECT * FROM s WHERE ceil(length(array_to_string(l, chr(10))) / 4) > 512),
+r AS (
+  SELECT file, name, a, l, 1 AS s, 1 AS e, length(l[1]) AS n FROM big
+  UNION ALL
+  SELECT file, name, a, l, CASE WHEN n + 1 + length(l[e + 1]) <= 2048 THEN s ELSE e + 1 END, e + 1,
+         CASE WHEN n + 1 + length(l[e + 1]) <= 2048 THEN n + 1 + length(l[e + 1]) ELSE length(l[e + 1]) END
+  FROM r WHERE e < len(l)),
+cut AS (SELECT file, name, a + s - 1 AS first, a + max(e) - 1 AS last, array_to_string(list_slice(any_value(l), s, max(e)), chr(10)) AS content FROM r GROUP BY file, name, a, s),
+free AS (SELECT rel_path AS file, text, list_slice(string_split(text, chr(10)), 1, coalesce((SELECT min(start_line) FROM sections x WHERE x.file = rel_path) - 1, 1000000000)) AS l, len(string_split(text, chr(10))) AS n FROM {FILES}),
+rest AS (SELECT file, 'file_' || regexp_replace(file, '[^a-zA-Z0-9]', '_', 'g') AS name, 1 AS first, n AS last, array_to_string(l, chr(10)) AS content FROM free
+         WHERE ceil(length(text) / 4) <= 1024 AND len(l) > 0 AND ceil(length(array_to_string(l, chr(10))) / 4) <= 512),
+whole AS (SELECT file, name, a AS first, a + len(l) - 1 AS last, array_to_string(l, chr(10)) AS content FROM s WHERE ceil(length(array_to_string(l, chr(10))) / 4) <= 512)
+SELECT file || ':' || first || '-' || last AS id, name AS symbol, sha256(content) AS hash
+FROM (FROM cut UNION ALL FROM rest UNION ALL FROM whole)""")
+def chunk_sections(spark, d):
+    """The documents cut along their headed sections: choice, split and remainder as the index does it."""
+    f = corpus(spark, d)
+    s = adapters.text_sections(f.select(F.col("rel_path").alias("file"), "text"))
+    s = s.select("file", F.col("start_line").alias("seq"), "name", F.lit("section").alias("type"), "start_line", "end_line")
+    return chunking.chunks(f, s).select("id", "symbol", "hash")
 
 
 @query(f"SELECT rel_path AS file, substr(trim(string_split(text, chr(10))[1]), 1, 80) AS name FROM {FILES} WHERE regexp_matches(text, '\\S')")

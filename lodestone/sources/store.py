@@ -123,9 +123,10 @@ class Store:
     def write(self, **tables: DataFrame) -> None:
         """New versions of the tables, which appear together."""
         number = self.manifest["number"] + 1
+        version = f"{number}-{uuid.uuid4().hex[:8]}"  # no other run writes there
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{number}")
-        self._flip({"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": self.manifest["tables"] | dict.fromkeys(tables, number)})
+            df.write.parquet(f"{self.root}/{name}/v{version}")
+        self._flip({"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": self.manifest["tables"] | dict.fromkeys(tables, version)})
 
     def delete(self, name: str, key: str, values: list) -> None:
         """A new version of the table without the rows whose key is among a few values."""
