@@ -44,17 +44,18 @@ def _posted(chunks: DataFrame) -> DataFrame:
     return inverted.postings(chunks, "id", [F.col("content"), F.col("symbol")])
 
 
-def _write(store: Store, state: DataFrame, chunks: DataFrame, fresh: DataFrame | None, stale: DataFrame | None) -> None:
-    """New versions of all tables. fresh: the new chunks (None: all), stale: the files (file) whose rows go. They appear together:
-    what is derived from chunks is made from the tables on which this version is based."""
-    new = chunks if fresh is None else fresh
-    posted, vectors = _posted(new), _vectors(new, store.model)
-    if fresh is not None:
-        gone = store.read("chunks").join(stale, "file", "left_semi").select("id")
-        posted = inverted.without(store.read("postings"), gone).unionByName(posted)
-        vectors = store.read("vectors").join(gone.select(F.col("id").alias("vec_id")), "vec_id", "left_anti").unionByName(vectors)
-    store.write(file_state=state, chunks=chunks, vectors=vectors, postings=inverted.clustered(posted))
-    store.write(terms=inverted.terms(store.read("postings")), totals=inverted.totals(store.read("postings")))
+def _write(store: Store, state: DataFrame, new: DataFrame, stale: DataFrame | None) -> None:
+    """New versions of all tables, which appear together. new: chunks; stale: the files (file) whose rows go; None: all that were there."""
+    with store.written(new) as new, store.written(_posted(new)) as posted:
+        vectors = _vectors(new, store.model)
+        if stale is None:
+            chunks = new
+        else:
+            gone = store.read("chunks").join(stale, "file", "left_semi").select("id")
+            chunks = delta.delete(store.read("chunks"), stale, "file").unionByName(new)
+            posted = inverted.without(store.read("postings"), gone).unionByName(posted)
+            vectors = store.read("vectors").join(gone.select(F.col("id").alias("vec_id")), "vec_id", "left_anti").unionByName(vectors)
+        store.write(file_state=state, chunks=chunks, vectors=vectors, postings=inverted.clustered(posted), terms=inverted.terms(posted), totals=inverted.totals(posted))
 
 
 def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None, config: Config | None = None, stop: Callable[[], bool] = lambda: False) -> dict:
@@ -73,7 +74,7 @@ def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None
     if whole:
         if stop():
             return {"mode": "stopped", "added": 0, "modified": 0, "removed": 0}
-        _write(store, state, _chunks(found), None, None)
+        _write(store, state, _chunks(found), None)
         return {"mode": "full", "added": store.count("file_state"), "modified": 0, "removed": 0}
     old = store.read("file_state")
     status = {r.status: r.n for r in delta.delta(old, state, "rel_path").groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -83,7 +84,7 @@ def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None
             return {"mode": "stopped", "added": 0, "modified": 0, "removed": 0}
         fresh, gone = delta.changed(found, old)
         new, stale = _chunks(fresh), gone.select(F.col("rel_path").alias("file"))
-        _write(store, state, delta.delete(store.read("chunks"), stale, "file").unionByName(new), new, stale)
+        _write(store, state, new, stale)
     return {"mode": "incremental"} | counts
 
 
@@ -93,10 +94,8 @@ def reindex(spark: SparkSession, root: str, store: Store, paths: list[str], igno
         raise ValueError("a path is outside of the root")
     found = files.scan(spark, root, ignore).filter(F.col("rel_path").isin(paths))
     stale = spark.createDataFrame([(p,) for p in paths], "file string")
-    new = _chunks(found)
-    chunks = delta.delete(store.read("chunks"), stale, "file").unionByName(new)
     state = delta.delete(store.read("file_state"), stale.withColumnRenamed("file", "rel_path"), "rel_path").unionByName(found.select("rel_path", "hash"))
-    _write(store, state, chunks, new, stale)
+    _write(store, state, _chunks(found), stale)
     there = {r.rel_path for r in store.read("file_state").filter(F.col("rel_path").isin(paths)).collect()}
     return {"indexed": len(there), "removed": len(set(paths) - there)}
 

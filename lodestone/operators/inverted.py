@@ -1,14 +1,17 @@
 """A stored positional inverted index: postings, documents per term, corpus totals; searched without reading any text.
 
-postings: term, id, dl (terms of the row), positions. They lie in order of term (and id, so a frequent term is spread over many
+postings: term, id, dl (terms of the row), tf, positions. They lie in order of term (and id, so a frequent term is spread over many
 files), so a search reads the row groups of its few terms. terms: term, df. totals: n, avgdl. Each is a table that a store keeps.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from .keyword import B, K1, LEAST_IDF, TOP_K, top
 
 #: Positions between the fields of a row, so that no phrase crosses from one into the next.
 GAP = 1 << 20
+#: Rows whose postings are Python objects at a time.
+SLICE = 1_000
 _PLAIN = re.compile("[a-z0-9]+")
 
 
@@ -37,36 +42,39 @@ def phrases(query: str, analyser: str = "porter") -> list[list[str]]:
 
 
 def postings(rows: DataFrame, key: str, fields: list[Column], analyser: str = "porter") -> DataFrame:
-    """term, id, dl, positions of the texts of rows: one Arrow pass, in which a row's terms are gathered before any shuffle, then one shuffle by ranges."""
+    """term, id, dl, tf, positions of the texts of rows: one Arrow pass, in which a row's terms are gathered before any shuffle, then one shuffle by ranges."""
     ship(rows.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = ANALYSERS[analyser]
         for b in batches:
-            ids, terms, sizes, places = [], [], [], []
-            for i, texts in zip(b.column("id").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                at: dict[str, list[int]] = {}
-                n = 0
-                for k, text in enumerate(texts):
-                    found = cut(text or "")
-                    n += len(found)
-                    for p, t in enumerate(found, k * GAP):
-                        at.setdefault(t, []).append(p)
-                if not at:  # keeps the row's length
-                    at[""] = []
-                ids += [i] * len(at)
-                sizes += [n] * len(at)
-                terms += at.keys()
-                places += at.values()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, b.column("id").type), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32()))], ["term", "id", "dl", "positions"])
+            for at in range(0, b.num_rows, SLICE):  # a batch's postings are held a slice at a time
+                part = b.slice(at, SLICE)
+                found: list[dict[str, list[int]]] = []
+                sizes: list[int] = []
+                for texts in part.column("texts").to_pylist():
+                    places: dict[str, list[int]] = defaultdict(list)
+                    n = 0
+                    for k, text in enumerate(texts):
+                        words = cut(text or "")
+                        n += len(words)
+                        for p, t in enumerate(words, k * GAP):
+                            places[t].append(p)
+                    found.append(places or {"": []})  # an empty row keeps its length
+                    sizes.append(n)
+                each = np.fromiter(map(len, found), np.int64, len(found))
+                lists = [x for f in found for x in f.values()]
+                tf = np.fromiter(map(len, lists), np.int32, len(lists))
+                positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(tf.sum()))))
+                yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.string()), part.column("id").take(pa.array(np.repeat(np.arange(len(found)), each))), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(tf), positions], ["term", "id", "dl", "tf", "positions"])
 
     rows = rows.select(F.col(key).alias("id"), F.array(*fields).alias("texts"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(post, f"term string, id {kind}, dl int, positions array<int>")
+    return rows.mapInArrow(post, f"term string, id {kind}, dl int, tf int, positions array<int>")
 
 
 def clustered(posted: DataFrame) -> DataFrame:
-    """Postings as they are stored."""
+    """Postings as they are stored. posted is read twice, as ranges are found by a sample: it should be a table that was written."""
     return posted.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
@@ -109,7 +117,7 @@ def search(spark: SparkSession, posted: DataFrame, vocabulary: DataFrame, total:
     names = ["query_id", "need", "phrase", "id", "dl", "tf", "df"]
     own = F.col("term").isin(sorted({w[-1] for w in words}))
     want = vocabulary.filter(own).join(F.broadcast(spark.createDataFrame(words, "query_id string, need int, phrase int, term string")), "term")
-    tf = posted.filter(own).join(F.broadcast(want), "term").select("query_id", "need", "phrase", "id", "dl", F.size("positions").alias("tf"), "df")
+    tf = posted.filter(own).join(F.broadcast(want), "term").select("query_id", "need", "phrase", "id", "dl", "tf", "df")
     if longer:
         tf = tf.unionByName(_phrase_places(spark, posted, longer).select(*names))
     if ids is not None:

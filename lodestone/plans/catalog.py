@@ -215,8 +215,26 @@ hits AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id
 {tail}"""
 
 
-def _hits(spark, d, asked, k):
-    return keyword.bm25(t(spark, d, "documents"), "doc_id", F.col("text"), keyword.query_terms(spark, asked), k)
+_built: dict[tuple[str, str, str], Store] = {}
+
+
+def stored(spark, d, analyser: str = "plain") -> Store:
+    """The stored index of the documents, built once for a session and written to the shared folder."""
+    sc = spark.sparkContext
+    key = (sc.applicationId, d, analyser)
+    if key not in _built or not _built[key].has("totals"):
+        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-index-")
+        store = Store(spark, f"{root.rstrip('/')}/lodestone-index-{uuid.uuid4().hex}")
+        with store.written(inverted.postings(t(spark, d, "documents"), "doc_id", [F.col("text")], analyser)) as posted:
+            store.write(postings=inverted.clustered(posted), terms=inverted.terms(posted), totals=inverted.totals(posted))
+        _built[key] = store
+    return _built[key]
+
+
+def _hits(spark, d, asked: dict[str, str], k: int, analyser: str = "plain") -> DataFrame:
+    store = stored(spark, d, analyser)
+    found = inverted.search(spark, store.read("postings"), store.read("terms"), store.read("totals"), asked, k, analyser)
+    return found.select("query_id", F.col("id").alias("doc_id"), "rank", "pos")
 
 
 @query(_bm25_sql({"q": "of that the"}, 60))
@@ -225,8 +243,9 @@ def kw_bm25_topk(spark, d):
 
 
 @query(_bm25_sql(ASKED, 60))
-def kw_bm25_batch(spark, d):
-    return _hits(spark, d, ASKED, 60).withColumn("rank", F.round("rank", 6))
+def kw_bm25_scan(spark, d):
+    """Without an index: the texts are read."""
+    return keyword.bm25(t(spark, d, "documents"), "doc_id", F.col("text"), keyword.query_terms(spark, ASKED), 60).withColumn("rank", F.round("rank", 6))
 
 
 _MINMAX = "SELECT query_id, doc_id, round(CASE WHEN max(-rank) OVER w = min(-rank) OVER w THEN 1.0 ELSE (-rank - min(-rank) OVER w) / (max(-rank) OVER w - min(-rank) OVER w) END, 6) AS score FROM hits WINDOW w AS (PARTITION BY query_id)"
@@ -247,32 +266,10 @@ def kw_phrase(spark, d):
     return keyword.match_phrase(keyword.postings(t(spark, d, "documents"), "doc_id", F.col("text")), "doc_id", ["of", "the"])
 
 
-_built: dict[tuple[str, str, str], Store] = {}
-
-
-def stored(spark, d, analyser: str = "plain") -> Store:
-    """The stored index of the documents, built once for a session and written to the shared folder."""
-    sc = spark.sparkContext
-    key = (sc.applicationId, d, analyser)
-    if key not in _built or not _built[key].has("totals"):
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-index-")
-        store = Store(spark, f"{root.rstrip('/')}/lodestone-index-{uuid.uuid4().hex}")
-        store.write(postings=inverted.clustered(inverted.postings(t(spark, d, "documents"), "doc_id", [F.col("text")], analyser)))
-        store.write(terms=inverted.terms(store.read("postings")), totals=inverted.totals(store.read("postings")))
-        _built[key] = store
-    return _built[key]
-
-
-def _indexed(spark, d, asked: dict[str, str], k: int, analyser: str = "plain") -> DataFrame:
-    store = stored(spark, d, analyser)
-    found = inverted.search(spark, store.read("postings"), store.read("terms"), store.read("totals"), asked, k, analyser)
-    return found.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"), "pos")
-
-
 @query(_bm25_sql(ASKED, 60))
-def kw_indexed_topk(spark, d):
+def kw_bm25_batch(spark, d):
     """From the stored index: the postings of the asked terms alone are read."""
-    return _indexed(spark, d, ASKED, 60)
+    return _hits(spark, d, ASKED, 60).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"""WITH {_TOK}, tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
@@ -284,7 +281,7 @@ SELECT 'q' AS query_id, doc_id, round(round(-idf * tf * 2.2 / (tf + 1.2 * (0.25
 FROM tf, i, tot QUALIFY pos <= 60""")
 def kw_indexed_phrase(spark, d):
     """of_the is a phrase: its places are those at which both lists meet."""
-    return _indexed(spark, d, {"q": "of_the"}, 60)
+    return _hits(spark, d, {"q": "of_the"}, 60).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"WITH {_TOK}, p AS (SELECT doc_id, unnest(w) AS term FROM tok) SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM p GROUP BY term")

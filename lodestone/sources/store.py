@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +130,16 @@ class Store:
             df.write.parquet(f"{self.root}/{name}/v{version}")
         self._flip({"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": self.manifest["tables"] | dict.fromkeys(tables, version)})
 
+    @contextmanager
+    def written(self, df: DataFrame) -> Iterator[DataFrame]:
+        """df as a table of its own below root, which is deleted at the end."""
+        path = f"{self.root}/passing-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self._fs.delete(self._path(path), True)
+
     def delete(self, name: str, key: str, values: list) -> None:
         """A new version of the table without the rows whose key is among a few values."""
         self.write(**{name: self.read(name).filter(~F.col(key).isin(values) | F.col(key).isNull())})

@@ -65,7 +65,7 @@ def test_index_scan_is_pruned(spark, sf):
     """A search reads postings of its terms, and no text."""
     from lodestone.plans import catalog
 
-    df = catalog.QUERIES["kw_indexed_topk"](spark, sf)
+    df = catalog.QUERIES["kw_bm25_batch"](spark, sf)
     plan = df._jdf.queryExecution().toString()
     assert "In(term, [" in plan and "documents.parquet" not in plan and "text" not in plan.split("Physical Plan")[1]
 
