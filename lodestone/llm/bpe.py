@@ -21,8 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows
 
-#: Pre-tokens kept per worker: so many young ones and as many old ones. The memory for them is bounded, some 85 MB.
-CACHE_PIECES = 200_000
+#: Pre-tokens kept per worker: so many young ones and as many old ones. The memory for them is bounded, some 150 MB.
+CACHE_PIECES = 400_000
 #: Longer pre-tokens are never cached.
 CACHE_CHARS = 64
 _loaded: dict[str, "Encoder"] = {}
