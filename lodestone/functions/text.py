@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as scripting languages trim it: ASCII spaces, no-break space, the Unicode space separators and line ends.
-BLANK = r"[\s\x0B   -     　﻿]"
+BLANK = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANK))
 
 
 def token_estimate(c: Column) -> Column:
