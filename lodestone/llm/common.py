@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, also beside others that differ in case only or repeat a name (the first one counts)."""
+    low = [c.lower() for c in df.columns]
+    if all(low.count(n.lower()) == 1 for n in names):
+        return df.select(*names)
+    return df.toDF(*[f"c{i}" for i in range(len(low))]).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for a context, so that they need no installed copy."""
     sc = spark.sparkContext

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality_gam, quality_rules, secrets, sharding, simhash, sql, toxicity, warc
+from . import bpe, decontaminate, filter_audit, language_id, pii, quality_gam, quality_rules, secrets, sharding, simhash, sql, toxicity, vector_codes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash, op2_bpe, op3_warc, op4_pii, op5_decontamination, op6_quality_rules, op7_secrets, op8_sharding, op9_quality_gam, op10_toxicity)
+    for f in (op1_simhash, op2_bpe, op3_warc, op4_pii, op5_decontamination, op6_quality_rules, op7_secrets, op8_sharding, op9_quality_gam, op10_toxicity, op11_filter_audit, op12_vector_codes, op13_language_id)
 }
-ORACLE_SQL: dict[str, str] = {"op3_warc": sql.OP3, "op5_decontamination": sql.OP5, "op6_quality_rules": sql.OP6, "op8_sharding": sql.OP8}
+ORACLE_SQL: dict[str, str] = {"op3_warc": sql.OP3, "op5_decontamination": sql.OP5, "op6_quality_rules": sql.OP6, "op8_sharding": sql.OP8, "op11_filter_audit": sql.OP11, "op12_vector_codes": sql.OP12}

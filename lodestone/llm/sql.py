@@ -99,3 +99,54 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.c, 0)::BIGINT AS n_hit, c
        coalesce(near_items.c, 0)::BIGINT AS n_near_items, sha256(coalesce(near_items.l, '')) AS near_items_sha256
 FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k) LEFT JOIN near_items USING (k)
 """
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INTEGER), 0) AS q, coalesce(max((toxic = 1)::INTEGER), 0) AS x FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x, MAP {
+      'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+      'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)} AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+z(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS o FROM z a, z b, z c, z d, z e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+r AS (SELECT part, q, x, f, o, list_position(list_transform(string_split(o, ''), lambda c: f[c]), true) AS gone, len(list_filter(map_values(f), lambda v: v)) AS n FROM m, o),
+s AS (
+  SELECT part, o, s, o[s] AS c,
+         count_if(gone IS NULL OR gone > s) AS kept, count_if(gone = s) AS removed, count_if(f[o[s]] AND gone < s) AS redundant,
+         count_if(f[o[s]] AND n = 1) AS unique_fails, count_if(gone = s AND q = 1) AS good_lost, count_if(gone = s AND x = 1) AS toxic_lost
+  FROM r, range(1, 6) t(s) GROUP BY ALL)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley
+FROM s
+"""
+
+
+def _op12(rounds: int = 6) -> str:
+    """Lloyd's rounds one after another, each comparing every part with every entry."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT k, v.p, any_value(v.x) AS x, min(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 16 + i) AS best
+  FROM v JOIN c{r} c USING (p) GROUP BY k, v.p)"""
+    moved = """s{r} AS (
+  SELECT p, i, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x
+  FROM (SELECT p, best % 16 AS i, j, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT p, best, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY ALL) GROUP BY p, i),
+c{n} AS MATERIALIZED (SELECT p, i, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s USING (p, i))"""
+    steps = ",\n".join(near.format(r=r) + ",\n" + moved.format(r=r, n=r + 1) for r in range(rounds))
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT k, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM e, range(8) t(p)),
+c0 AS (SELECT p, k - 1 AS i, x FROM v WHERE k <= 16),
+{steps},
+{near.format(r=rounds)},
+b AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, i, j)) AS h FROM (SELECT p, i, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM c{rounds})),
+f AS (SELECT k, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM a{rounds} GROUP BY k)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM e JOIN f USING (k), b
+"""
+
+
+OP12 = _op12()
