@@ -76,20 +76,28 @@ class Model:
         return cls(tuple(languages), p)
 
 
-def _mixtures(like: np.ndarray, count: np.ndarray, starts: np.ndarray, own: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, log-likelihood) of documents by expectation-maximisation. like[trigram, language]; own: the document of each
-    trigram, starts: where a document's begin; share: where the proportions start."""
-    total = np.add.reduceat(count, starts).astype(float)
-    todo = np.ones(len(starts), bool)
+def _mixtures(like: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log-likelihood) of documents by expectation-maximisation. like[trigram, language]; size: the trigrams of each
+    document, one after another. A document stops when its own proportions do, so nothing depends on what it is fitted with."""
+    langs = like.shape[1]
+    ones, out = np.ones(langs), np.full((len(size), langs), 1 / langs)
+    todo, now, n, at, weigh = np.arange(len(size)), out, size, like, count.astype(float)
     for _ in range(STEPS):
-        joint = like * share[own]
-        joint *= (count / joint.sum(1))[:, None]
-        new = np.add.reduceat(joint, starts, axis=0) / total[:, None]
-        todo = np.abs(new - share).max(1) > CLOSE
-        share = new
-        if not todo.any():
-            break
-    return share, np.add.reduceat(count * np.log((like * share[own]).sum(1)), starts)
+        starts = np.cumsum(n) - n
+        joint = at * np.repeat(now, n, axis=0)
+        joint *= (weigh / (joint @ ones))[:, None]
+        new = np.add.reduceat(joint, starts, axis=0)
+        new /= (new @ ones)[:, None]
+        out[todo] = new
+        open_ = np.abs(new - now).max(1) > CLOSE
+        now = new
+        if not open_.all():
+            rows = np.repeat(open_, n)
+            todo, now, n, at, weigh = todo[open_], new[open_], n[open_], at[rows], weigh[rows]
+            if not len(todo):
+                break
+    score = np.add.reduceat(count * np.log((like * np.repeat(out, size, axis=0)) @ ones), np.cumsum(size) - size)
+    return out, score
 
 
 def mixtures(model: Model, docs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY) -> list[list[tuple[int, float]]]:
@@ -107,7 +115,7 @@ def mixtures(model: Model, docs: list[tuple[np.ndarray, np.ndarray]], penalty: f
     own = np.repeat(np.arange(len(at)), size)
     starts = np.cumsum(size) - size
     like = model.likelihood[names]
-    whole, _ = _mixtures(like, count, starts, own, np.full((len(at), langs), 1 / langs))
+    whole, _ = _mixtures(like, count, size)
     order = np.argsort(-whole, axis=1, kind="stable")  # equal ones in order of name
     price = penalty * np.log(np.add.reduceat(count, starts).astype(float) + 1)
     first = order[:, :1]
@@ -118,9 +126,8 @@ def mixtures(model: Model, docs: list[tuple[np.ndarray, np.ndarray]], penalty: f
     for k in range(2, langs + 1):
         rows = np.isin(own, open_)
         place = np.searchsorted(open_, own[rows])
-        n = size[open_]
         chosen = order[open_, :k]
-        got, score = _mixtures(np.take_along_axis(like[rows], chosen[place], 1), count[rows], np.cumsum(n) - n, place, np.full((len(open_), k), 1 / k))
+        got, score = _mixtures(np.take_along_axis(like[rows], chosen[place], 1), count[rows], size[open_])
         pays = score - gain[open_] > price[open_]
         for d, s, c in zip(open_[pays], got[pays], chosen[pays], strict=True):
             best[d] = (c, s)
