@@ -5,24 +5,27 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Callable
+from contextlib import ExitStack
+from datetime import UTC, datetime, timedelta
+from functools import reduce
 from urllib.parse import parse_qs, unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking, delta, graph, hybrid, inverted, keyword, stats, vector
+from .operators import chunking, graph, hybrid, inverted, keyword, stats, vector
 from .shipping import ship
 from .sources import adapters, files
-from .sources.store import Config, Store
+from .sources.segments import Segments
+from .sources.store import Config, Conflict, Store
 from .streaming import changes
 
 log = logging.getLogger("lodestone")
 _DIMENSION = {t[0]: t[1] for t in vector.TIERS}
 
 
-def _chunks(found: DataFrame) -> DataFrame:
-    texts = found.select(F.col("rel_path").alias("file"), "language", "text")
-    parsed = adapters.parsed(texts)
+def _chunks(found: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Chunks of files, by what was parsed of them."""
     sym = parsed.select("file", F.posexplode("symbols").alias("seq", "s")).select("file", "seq", F.col("s.name").alias("name"), F.col("s.type").alias("type"), F.col("s.start").alias("start_line"), F.col("s.end").alias("end_line"))
     return chunking.chunks(found, sym).join(parsed.select("file", "imports", "exports"), "file", "left")
 
@@ -44,60 +47,167 @@ def _posted(chunks: DataFrame) -> DataFrame:
     return inverted.postings(chunks, "id", [F.col("content"), F.col("symbol")])
 
 
-def _write(store: Store, state: DataFrame, new: DataFrame, stale: DataFrame | None) -> None:
-    """New versions of all tables, which appear together. new: chunks; stale: the files (file) whose rows go; None: all that were there."""
-    with store.written(new) as new, store.written(_posted(new)) as posted:
-        vectors = _vectors(new, store.model)
-        if stale is None:
-            chunks = new
-        else:
-            gone = store.read("chunks").join(stale, "file", "left_semi").select("id")
-            chunks = delta.delete(store.read("chunks"), stale, "file").unionByName(new)
-            posted = inverted.without(store.read("postings"), gone).unionByName(posted)
-            vectors = store.read("vectors").join(gone.select(F.col("id").alias("vec_id")), "vec_id", "left_anti").unionByName(vectors)
-        store.write(file_state=state, chunks=chunks, vectors=vectors, postings=inverted.clustered(posted), terms=inverted.terms(posted), totals=inverted.totals(posted))
+#: The tables of an index and the columns by which their rows go; terms add up; how rows lie in a segment, so that scans skip the rest.
+KEYS = {"chunks": "id", "vectors": "vec_id", "postings": "id", "file_state": "rel_path", "stats": "rel_path", "errors": "rel_path"}
+SUMS = {"terms": ("term", "df")}
+LAYOUT = {
+    "postings": inverted.clustered,
+    "chunks": lambda df: df.repartitionByRange("file").sortWithinPartitions("file", "start_line"),
+    "terms": lambda df: df.repartitionByRange("term").sortWithinPartitions("term"),
+}
+#: The tables of so few files are one task each, and need no ranges.
+FEW_FILES = 100
+LAYOUT_FEW = {
+    "postings": lambda df: df.coalesce(1).sortWithinPartitions("term", "id"),
+    "chunks": lambda df: df.coalesce(1).sortWithinPartitions("file", "start_line"),
+    "terms": lambda df: df.coalesce(1).sortWithinPartitions("term"),
+    "vectors": lambda df: df.coalesce(1),
+}
+#: So many paths are looked up as values, which reach the scans; more are joined.
+FEW_PATHS = 1_000
+#: A file changed so shortly before it was listed may change again within the same tick of its clock: it is read again next time.
+TICK_S = 2
+RETRIES = 3
+
+
+def _segments(store: Store, few: bool = False) -> Segments:
+    return Segments(store, KEYS, SUMS, LAYOUT_FEW if few else LAYOUT)
+
+
+def _apply(store: Store, got: DataFrame, removed: DataFrame, counts: dict[str, int], began: datetime, whole: bool = False, unlisted: DataFrame | None = None, no_more: DataFrame | None = None) -> None:
+    """One new segment. got: read files with their status, staged; removed: rel_path of files that are no more; unlisted: what could not
+    be listed; no_more: rel_path of errors that do not hold any more.
+
+    What is written is in proportion to got, to what the index held of these files, and to removed; a merge of segments comes now and then."""
+    changed = got.filter("status IN ('added', 'modified')")
+    out = removed.unionByName(got.filter("status IN ('modified', 'unreadable')").select("rel_path"))
+    n_out = sum(counts[k] for k in ("modified", "unreadable", "removed"))
+    with ExitStack() as passing:
+        staged = lambda df: passing.enter_context(store.written(df))
+        parsed = staged(adapters.parsed(changed.select(F.col("rel_path").alias("file"), "language", "text")))
+        chunks = staged(_chunks(changed, parsed))
+        posted = staged(_posted(chunks))
+        unposted, gone = None, {}
+        if n_out and not whole:
+            held = store.read("chunks")
+            if n_out <= FEW_PATHS:
+                stale = held.filter(F.col("file").isin([r.rel_path for r in out.collect()]))
+            else:
+                stale = held.join(out.select(F.col("rel_path").alias("file")), "file", "left_semi")
+            stale = staged(stale.select("id", "content", "symbol"))
+            unposted = staged(_posted(stale))
+            ids = stale.select("id")
+            gone = {"chunks": ids, "vectors": ids.select(F.col("id").alias("vec_id")), "postings": ids, "file_state": out}
+        if not whole:
+            told = got.filter("status <> 'same'").select("rel_path").unionByName(removed)
+            gone |= {"stats": got.select("rel_path").unionByName(removed), "errors": told if no_more is None else told.unionByName(no_more)}
+        sure = F.col("mtime") < F.lit(began - timedelta(seconds=TICK_S))
+        errors = [got.filter("error IS NOT NULL").select("rel_path", "error"), got.filter("malformed").select("rel_path", F.lit("not UTF-8: bytes replaced").alias("error")), parsed.filter("error IS NOT NULL").select(F.col("file").alias("rel_path"), "error")]
+        errors += [unlisted.select("rel_path", "error")] if unlisted is not None else []
+        terms, numbers = inverted.change(posted, unposted)
+        new = {
+            "chunks": chunks, "vectors": _vectors(chunks, store.model), "postings": posted, "terms": terms, "file_state": changed.select("rel_path", "hash"),
+            "stats": got.filter("error IS NULL").select("rel_path", "size", F.when(sure, F.col("mtime")).alias("mtime")), "errors": reduce(DataFrame.unionByName, errors),
+        }
+        _segments(store, sum(counts.values()) <= FEW_FILES).append(new, gone, numbers, whole)
+    _segments(store).compact()
+
+
+def _counted(rows: DataFrame, column: str = "status") -> dict[str, int]:
+    found = {r[0]: r[1] for r in rows.groupBy(column).agg(F.count(F.lit(1))).collect()}
+    return {k: found.get(k, 0) for k in ("added", "modified", "removed", "same", "unreadable")}
+
+
+def _told(got: DataFrame, old: DataFrame) -> DataFrame:
+    """Read files with their status: added, modified, same or unreadable; old: rel_path, hash."""
+    status = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("old_hash").isNull(), "added").when(F.col("old_hash") == F.col("hash"), "same").otherwise("modified")
+    return got.join(old.select("rel_path", F.col("hash").alias("old_hash")), "rel_path", "left").withColumn("status", status).drop("old_hash")
+
+
+def _retried(store: Store, change: Callable[[], dict]) -> dict:
+    """change(), made again on what another writer has made of the index meanwhile."""
+    for left in reversed(range(RETRIES)):
+        try:
+            return change()
+        except Conflict:
+            if not left:
+                raise
+            log.info("another writer was first; the change is made again")
+            store.refresh()
+    raise AssertionError
 
 
 def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None, config: Config | None = None, stop: Callable[[], bool] = lambda: False) -> dict:
     """Index root into the store: whole, if there is no index or its settings differ, else only what changed. Returns the mode and counts.
 
+    Files whose size and time are those of the last run are not opened; of the others, those with the same hash are not indexed anew.
     config: its languages (none: all) and whether generated files are skipped. stop is asked before anything is written; if it
-    says so, the store stays as it is."""
+    says so, the store stays as it is. What could not be read or parsed is in the index's table of errors, and counts as unreadable."""
     config = config or Config(skip_generated=False)
-    found = files.scan(spark, root, ignore)
-    if config.languages:
-        found = found.filter(F.col("language").isin(*config.languages))
-    if config.skip_generated:
-        found = found.filter(~files.generated(F.col("rel_path")))
-    state = found.select("rel_path", "hash")
-    whole = not store.has("totals") or store.needs_rebuild()
-    if whole:
-        if stop():
-            return {"mode": "stopped", "added": 0, "modified": 0, "removed": 0}
-        _write(store, state, _chunks(found), None)
-        return {"mode": "full", "added": store.count("file_state"), "modified": 0, "removed": 0}
-    old = store.read("file_state")
-    status = {r.status: r.n for r in delta.delta(old, state, "rel_path").groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = {k: status.get(k, 0) for k in ("added", "modified", "removed")}
-    if any(counts.values()):
-        if stop():
-            return {"mode": "stopped", "added": 0, "modified": 0, "removed": 0}
-        fresh, gone = delta.changed(found, old)
-        new, stale = _chunks(fresh), gone.select(F.col("rel_path").alias("file"))
-        _write(store, state, new, stale)
-    return {"mode": "incremental"} | counts
+
+    def keep(path: Column) -> Column:
+        out = files.language(path).isin(*config.languages) if config.languages else F.lit(True)
+        return out & ~files.generated(path) if config.skip_generated else out
+
+    stopped = {"mode": "stopped", "added": 0, "modified": 0, "removed": 0, "unreadable": 0}
+
+    def change() -> dict:
+        began = datetime.now(UTC)
+        whole = not store.has("postings") or store.needs_rebuild()
+        with ExitStack() as passing:
+            listed = passing.enter_context(store.written(files.listing(spark, root, ignore, keep)))
+            there = listed.filter("error IS NULL")
+            if whole:
+                if stop():
+                    return stopped
+                none = spark.createDataFrame([], "rel_path string, hash string")
+                got = passing.enter_context(store.written(_told(files.read(spark, root, there), none)))
+                counts = _counted(got)
+                _apply(store, got, none.select("rel_path"), counts, began, True, listed.filter("error IS NOT NULL"))
+                return {"mode": "full"} | {k: counts[k] for k in ("added", "modified", "removed", "unreadable")}
+            old, seen = store.read("file_state"), store.read("stats")
+            known = there.join(seen.select("rel_path", F.col("size").alias("s"), F.col("mtime").alias("m")), "rel_path", "left")
+            open_ = known.filter("s IS NULL OR m IS NULL OR s <> size OR m <> mtime").select("rel_path", "size", "mtime", "error")
+            got = passing.enter_context(store.written(_told(files.read(spark, root, open_), old)))
+            removed = passing.enter_context(store.written(old.join(there, "rel_path", "left_anti").select("rel_path")))
+            counts = _counted(got) | {"removed": removed.count()}
+            if any(counts.values()):
+                if stop():
+                    return stopped
+                no_more = store.read("errors").join(there, "rel_path", "left_anti").select("rel_path")
+                _apply(store, got, removed, counts, began, unlisted=listed.filter("error IS NOT NULL"), no_more=no_more)
+            return {"mode": "incremental"} | {k: counts[k] for k in ("added", "modified", "removed", "unreadable")}
+
+    return _retried(store, change)
 
 
 def reindex(spark: SparkSession, root: str, store: Store, paths: list[str], ignore: list[str] | None = None) -> dict:
-    """Index a few files anew, by their paths below root: those that are gone, empty or ignored leave the index. What a watcher calls."""
+    """Index a few files anew, by their paths below root: those that are gone, empty or ignored leave the index. What a watcher calls.
+
+    Nothing but these files is listed or read, and only their rows of the index."""
     if not all(files.inside(root, p) for p in paths):
         raise ValueError("a path is outside of the root")
-    found = files.scan(spark, root, ignore).filter(F.col("rel_path").isin(paths))
-    stale = spark.createDataFrame([(p,) for p in paths], "file string")
-    state = delta.delete(store.read("file_state"), stale.withColumnRenamed("file", "rel_path"), "rel_path").unionByName(found.select("rel_path", "hash"))
-    _write(store, state, _chunks(found), stale)
-    there = {r.rel_path for r in store.read("file_state").filter(F.col("rel_path").isin(paths)).collect()}
-    return {"indexed": len(there), "removed": len(set(paths) - there)}
+
+    def change() -> dict:
+        began = datetime.now(UTC)
+        old = store.read("file_state").filter(F.col("rel_path").isin(paths))
+        with ExitStack() as passing:
+            read = files.read(spark, root, files.listing(spark, root, ignore, only=paths), max(1, min(len(paths), 8)))
+            got = passing.enter_context(store.written(_told(read, old)))
+            found = {r.rel_path: r.status for r in got.select("rel_path", "status").collect()}
+            gone = [(r.rel_path,) for r in old.select("rel_path").collect() if r.rel_path not in found]
+            counts = {k: sum(s == k for s in found.values()) for k in ("added", "modified", "same", "unreadable")} | {"removed": len(gone)}
+            if found or gone:
+                _apply(store, got, spark.createDataFrame(gone, "rel_path string"), counts, began)
+        indexed = sum(s != "unreadable" for s in found.values())
+        return {"indexed": indexed, "removed": len(set(paths)) - indexed}
+
+    return _retried(store, change)
+
+
+def errors(store: Store) -> DataFrame:
+    """rel_path, error: what could not be listed, read or parsed, and files whose bytes were replaced."""
+    return store.read("errors")
 
 
 def watch(spark: SparkSession, root: str, store: Store, events: DataFrame, checkpoint: str, ignore: list[str] | None = None):
@@ -116,7 +226,8 @@ def watch(spark: SparkSession, root: str, store: Store, events: DataFrame, check
 def search(spark: SparkSession, store: Store, query: str, max_results: int | None = None, file: str | None = None, language: str | None = None, rerank: bool = False) -> DataFrame:
     """id, file, language, symbol, kind, start_line, end_line, content, score, match_type, the best first.
 
-    Keywords are sought in the stored index; no text is read but that of the results. Filters (file is a glob) hold before the best are taken."""
+    Keywords are sought in the stored index, where what is no ASCII letter, digit or _ parts words and AND, OR and NOT join them; no
+    text is read but that of the results. Filters (file is a glob) hold before the best are taken."""
     n, q = hybrid.clamp(max_results), keyword.normalise(query)
     if not q:
         raise ValueError("the query is empty")
@@ -128,7 +239,9 @@ def search(spark: SparkSession, store: Store, query: str, max_results: int | Non
     if language or file:
         ids = chunks.select("id")
         vectors = vectors.join(ids.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
-    kw = keyword.minmax(inverted.search(spark, store.read("postings"), store.read("terms"), store.read("totals"), {"q": q}, ids=ids)).select("id", "score", "pos")
+    n_rows, n_words = (_segments(store).number(x) for x in ("n", "words"))
+    asked_words = {"q": keyword.sanitise(q)}
+    kw = keyword.minmax(inverted.search(spark, store.read("postings"), store.read("terms"), (n_rows, n_words / max(1, n_rows)), asked_words, ids=ids)).select("id", "score", "pos")
     asked = vector.HashingProvider(_DIMENSION[store.model]).embed([q])[0]
     if any(asked):
         near = vector.knn_batch(vectors, [(0, asked)]).select(F.col("vec_id").alias("id"), (1 / (1 + F.col("distance"))).alias("score"), "pos")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stems
 from ..shipping import ship
+from . import match
 from .keyword import B, K1, LEAST_IDF, TOP_K, top
 
 #: Positions between the fields of a row, so that no phrase crosses from one into the next.
@@ -36,11 +37,6 @@ def plain(text: str) -> list[str]:
 ANALYSERS: dict[str, Callable[[str], list[str]]] = {"porter": stems, "plain": plain}
 
 
-def phrases(query: str, analyser: str = "porter") -> list[list[str]]:
-    """The phrases of a query, all of which must occur; one that is asked twice counts twice. Parts that only marks join, like a_b, are a phrase."""
-    return [p for p in map(ANALYSERS[analyser], query.split()) if p]
-
-
 def postings(rows: DataFrame, key: str, fields: list[Column], analyser: str = "porter") -> DataFrame:
     """term, id, dl, tf, positions of the texts of rows: one Arrow pass, in which a row's terms are gathered before any shuffle, then one shuffle by ranges."""
     ship(rows.sparkSession)
@@ -83,6 +79,22 @@ def terms(posted: DataFrame) -> DataFrame:
     return posted.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def sizes(posted: DataFrame) -> tuple[int, int]:
+    """Rows of the corpus and their words. Each row counts by the length that its postings carry."""
+    own = posted.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    return own.n, own.words
+
+
+def change(posted: DataFrame, unposted: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(terms, numbers) of a segment: how rows per term, rows and words change when posted's rows come and unposted's go. Both: staged."""
+    came, (n, words) = terms(posted), sizes(posted)
+    if unposted is None:
+        return came, {"n": n, "words": words}
+    went, (n_out, words_out) = terms(unposted), sizes(unposted)
+    both = came.unionByName(went.withColumn("df", -F.col("df"))).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+    return both, {"n": n - n_out, "words": words - words_out}
+
+
 def totals(posted: DataFrame) -> DataFrame:
     """n, avgdl: one row. Each row of the corpus counts by its first term."""
     sizes = posted.groupBy("id").agg(F.max("dl").alias("dl"))
@@ -106,24 +118,40 @@ def _phrase_places(spark: SparkSession, posted: DataFrame, asked: list[tuple]) -
     return tf.join(F.broadcast(df), ["query_id", "phrase"])
 
 
-def search(spark: SparkSession, posted: DataFrame, vocabulary: DataFrame, total: DataFrame, queries: dict[str, str], k: int = 2 * TOP_K, analyser: str = "porter", ids: DataFrame | None = None) -> DataFrame:
-    """query_id, id, rank (negative BM25, least is best), pos: the k best rows that hold all phrases of a query. ids: the only rows that count, if given.
-
-    The terms reach the scan of the postings as a filter; how many rows hold a word is known from the vocabulary. A phrase of several
-    words counts as a term of its own. Ranks are rounded to 9 places, so that the order of a sum decides no tie."""
-    cut = {q: phrases(text, analyser) for q, text in queries.items()}
-    words = [(q, len(ps), i, p[0]) for q, ps in cut.items() for i, p in enumerate(ps) if len(p) == 1]
-    longer = [(q, len(ps), i, len(p), off, t) for q, ps in cut.items() for i, p in enumerate(ps) if len(p) > 1 for off, t in enumerate(p)]
+def search(spark: SparkSession, posted: DataFrame, vocabulary: DataFrame, total: DataFrame | tuple[int, float], queries: dict[str, str], k: int = 2 * TOP_K, analyser: str = "porter", ids: DataFrame | None = None) -> DataFrame:
+    """query_id, id, rank (negative BM25, least is best), pos: the k best rows that match a query. ids: the only rows that count, if given.
+
+    A query is words, all of which must be there, or words joined by AND, OR and NOT; a malformed one matches nothing. The terms reach
+    the scan of the postings as a filter; how many rows hold a word is known from the vocabulary. A phrase of several words counts as
+    a term of its own. Ranks are rounded to 9 places, so that the order of a sum decides no tie. total: n and avgdl."""
+    asked: dict[str, tuple[list[list[str]], match.Match]] = {}
+    for q, text in queries.items():
+        try:
+            asked[q] = match.parsed(text, ANALYSERS[analyser])
+        except match.Malformed:
+            pass
+    need = {q: len(ps) if m.plain else 0 for q, (ps, m) in asked.items()}
+    words = [(q, need[q], i, p[0]) for q, (ps, _) in asked.items() for i, p in enumerate(ps) if len(p) == 1]
+    longer = [(q, need[q], i, len(p), off, t) for q, (ps, _) in asked.items() for i, p in enumerate(ps) if len(p) > 1 for off, t in enumerate(p)]
     names = ["query_id", "need", "phrase", "id", "dl", "tf", "df"]
     own = F.col("term").isin(sorted({w[-1] for w in words}))
     want = vocabulary.filter(own).join(F.broadcast(spark.createDataFrame(words, "query_id string, need int, phrase int, term string")), "term")
-    tf = posted.filter(own).join(F.broadcast(want), "term").select("query_id", "need", "phrase", "id", "dl", "tf", "df")
+    tf = posted.filter(own).join(F.broadcast(want), "term").select(*names)
     if longer:
         tf = tf.unionByName(_phrase_places(spark, posted, longer).select(*names))
     if ids is not None:
         tf = tf.join(ids.select("id"), "id", "left_semi")
-    n, avgdl = total.select("n").scalar(), total.select("avgdl").scalar()  # subqueries of one value
+    # A table of totals is read by subqueries of one value.
+    n, avgdl = map(F.lit, total) if isinstance(total, tuple) else (total.select("n").scalar(), total.select("avgdl").scalar())
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    found = tf.groupBy("query_id", "need", "id").agg(F.round(-F.sum(score), 9).alias("rank"), F.count(F.lit(1)).alias("got"))
-    return top(found.filter("got = need").select("query_id", "id", "rank"), "rank", "id", k)
+    joined = {q: (len(ps), m) for q, (ps, m) in asked.items() if not m.plain and ps}
+    each = [F.sum(F.when((F.col("need") == 0) & (F.col("phrase") == i), score)).alias(f"w{i}") for i in range(max((c for c, _ in joined.values()), default=0))]
+    found = tf.groupBy("query_id", "need", "id").agg(-F.sum(score), F.count(F.lit(1)).alias("got"), *each).toDF("query_id", "need", "id", "rank", "got", *[f"w{i}" for i in range(len(each))])
+    has = lambda i: F.col(f"w{i}").isNotNull()
+    holds, rank = F.col("got") == F.col("need"), F.col("rank")
+    for q, (_, m) in joined.items():
+        mine = F.col("query_id") == q
+        holds = F.when(mine, m.holds(has)).otherwise(holds)
+        rank = F.when(mine, -sum((F.when(c, F.col(f"w{i}")).otherwise(0.0) for i, c in m.counted(has)), F.lit(0.0))).otherwise(rank)
+    return top(found.filter(holds).select("query_id", "id", F.round(rank, 9).alias("rank")), "rank", "id", k)

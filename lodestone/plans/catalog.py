@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import token_estimate
 from ..operators import chunking, delta, graph, hybrid, inverted, keyword, stats, vector
 from ..sources import adapters, files
-from ..sources.store import Store
+from ..sources.segments import Segments
+from ..sources.store import Store, shared_folder
 from ..streaming import changes
 from .fixtures import SNIPPETS, SYMBOLS, TEXTS
 
@@ -215,16 +215,21 @@ hits AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id
 {tail}"""
 
 
-_built: dict[tuple[str, str, str], Store] = {}
+_built: dict[tuple, Store] = {}
+
+
+def _state(spark, path: str) -> tuple:
+    """Names, lengths and times of the files of a table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def stored(spark, d, analyser: str = "plain") -> Store:
-    """The stored index of the documents, built once for a session and written to the shared folder."""
-    sc = spark.sparkContext
-    key = (sc.applicationId, d, analyser)
+    """The stored index of the documents, built once for a session, as long as their files are the same, and written to the shared folder."""
+    key = (spark.sparkContext.applicationId, d, analyser, _state(spark, f"{d}/documents.parquet"))
     if key not in _built or not _built[key].has("totals"):
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-index-")
-        store = Store(spark, f"{root.rstrip('/')}/lodestone-index-{uuid.uuid4().hex}")
+        store = Store(spark, shared_folder(spark, "index"))
         with store.written(inverted.postings(t(spark, d, "documents"), "doc_id", [F.col("text")], analyser)) as posted:
             store.write(postings=inverted.clustered(posted), terms=inverted.terms(posted), totals=inverted.totals(posted))
         _built[key] = store
@@ -289,6 +294,53 @@ def kw_indexed_terms(spark, d):
     return stored(spark, d).read("terms").select("term", "df")
 
 
+@query(_bm25_sql(ASKED, 60))
+def kw_segments(spark, d):
+    """An index in segments: a base in which some documents have other texts and some copies are too many, a delta that replaces the
+    texts, one that takes the copies out, and a merge. Then it is searched; the documents as they are now are what SQL reads."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    changed, doubled = F.col("doc_id") % 7 == 1, F.col("doc_id") % 13 == 5
+    copies = docs.filter(doubled).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    older = docs.filter(changed).select("doc_id", F.concat(F.lit("of the old "), "text").alias("text"))
+    store = Store(spark, shared_folder(spark, "segments"))
+    segments = Segments(store, {"postings": "id"}, {"terms": ("term", "df")}, {"postings": inverted.clustered})
+
+    def change(came: DataFrame | None, went: DataFrame | None) -> None:
+        with ExitStack() as passing:
+            staged = lambda rows: passing.enter_context(store.written(inverted.postings(rows, "doc_id", [F.col("text")], "plain")))
+            posted = staged(docs.limit(0) if came is None else came)
+            gone = None if went is None else staged(went)
+            terms, numbers = inverted.change(posted, gone)
+            segments.append({"postings": posted, "terms": terms}, {} if went is None else {"postings": went.select(F.col("doc_id").alias("id"))}, numbers)
+
+    change(docs.filter(~changed | F.col("doc_id").isNull()).unionByName(older).unionByName(copies), None)
+    change(docs.filter(changed), older)
+    change(None, copies)
+    segments.compact(2)
+    n, words = segments.number("n"), segments.number("words")
+    found = inverted.search(spark, store.read("postings"), store.read("terms"), (n, words / max(1, n)), ASKED, 60, "plain")
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"), "pos")
+
+
+JOINED = {"b1": "idiot OR der NOT the", "b2": "of the AND and NOT that", "b3": "AND of", "b4": "para OR les NOT der die"}
+_HAS = ", ".join(f"max(w) FILTER (term = '{x}') AS w_{x}" for x in "idiot der the of and that para les die".split())
+
+
+@query(f"""WITH {_TOK}, tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf, tot GROUP BY term),
+x AS (SELECT doc_id, {_HAS} FROM (SELECT doc_id, term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df USING (term), tot) GROUP BY doc_id),
+s AS (
+  SELECT 'b1' AS query_id, doc_id, coalesce(w_idiot, 0) + CASE WHEN w_the IS NULL THEN coalesce(w_der, 0) ELSE 0 END AS w FROM x WHERE w_idiot IS NOT NULL OR w_der IS NOT NULL AND w_the IS NULL
+  UNION ALL SELECT 'b2', doc_id, w_of + w_the + w_and FROM x WHERE w_of + w_the + w_and IS NOT NULL AND w_that IS NULL
+  UNION ALL SELECT 'b4', doc_id, coalesce(w_para, 0) + CASE WHEN w_der + w_die IS NULL THEN coalesce(w_les, 0) ELSE 0 END FROM x WHERE w_para IS NOT NULL OR w_les IS NOT NULL AND w_der + w_die IS NULL)
+SELECT query_id, doc_id, round(round(-w, 9), 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(-w, 9), doc_id)::INTEGER AS pos FROM s QUALIFY pos <= 60""")
+def kw_boolean(spark, d):
+    """Words joined by AND, OR and NOT, and a malformed query, which matches nothing."""
+    return _hits(spark, d, JOINED, 60).withColumn("rank", F.round("rank", 6))
+
+
 # Vectors and hybrid ----------------------------------------------------------------------------------------------------
 
 

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA, CHUNKING = "2", "1"
+SCHEMA, CHUNKING = "3", "1"
+#: A table of so many bytes at most, by its rows, is broadcast.
+BROADCAST_BYTES, KEY_BYTES = 48 << 20, 200
+
+
+class Conflict(RuntimeError):
+    """Another writer has made the next manifest; nothing of one's own appears. After refresh() the change can be made again."""
 
 
 @dataclass
@@ -50,6 +60,37 @@ class Config:
         return Config(**(asdict(self) | {key: new}))
 
 
+_made: list[tuple["weakref.ref[SparkSession]", str]] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; in local mode, where that is unset, below a temporary
+    one. It is deleted when the driver ends."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-shared-")
+        sc.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
+    _made.append((weakref.ref(spark), path))
+    return path
+
+
+@atexit.register
+def _drop_shared() -> None:
+    for ref, path in _made:
+        spark = ref()
+        try:
+            if spark is not None and spark.sparkContext._jsc is not None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit
+            pass
+    _made.clear()
+
+
 class Store:
     """Tables under root/<name>/v<n>. A manifest names the current version of each; every change is a new manifest with the next
     number, which appears by one renaming, and none is changed or deleted while it is current: readers see whole versions.
@@ -83,25 +124,50 @@ class Store:
         return self._load(numbers[-1]) if numbers else {"number": 0, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": {}}
 
     def _flip(self, manifest: dict) -> None:
-        """Make manifest the current one; another writer's manifest of the same number is an error."""
+        """Make manifest the current one. It is written under another name and then takes its number, which only one writer can."""
         name = f"{self.root}/manifest-{manifest['number']:08d}.json"
         new, path = self._path(f"{name}.{uuid.uuid4().hex}"), self._path(name)
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if self._fs.exists(path) or not self._fs.rename(new, path):
+        try:
+            taken = not self._take(new, path)
+        finally:
             self._fs.delete(new, False)
-            raise RuntimeError(f"{path.toString()} was written by another run")
+        if taken:
+            raise Conflict(f"{path.toString()} was written by another run")
         self.manifest = manifest
         self._clean()
 
+    def _take(self, new, path) -> bool:
+        """Give the file its name unless there is one of that name: a hard link on a local disk, which its rename would replace; elsewhere
+        the rename without overwriting that file systems promise to do at once."""
+        jvm = self.spark.sparkContext._jvm
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                at = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createLink(at(path), at(new))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, path, none)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _folders(self, manifest: dict) -> set[str]:
+        """The folders below root that a manifest names."""
+        own = {f"{name}/v{version}" for name, version in manifest["tables"].items()}
+        return own | {f"{name}/v{s['version']}" for s in manifest.get("segments", []) for name in (*s["rows"], *(f"{g}-gone" for g in s["gone"]))}
+
     def _clean(self) -> None:
         numbers = self._numbers()
-        kept = [self._load(n)["tables"] for n in numbers[-self.KEPT :]]
+        kept = set().union(*[self._folders(self._load(n)) for n in numbers[-self.KEPT :]])
         for n in numbers[: -self.KEPT]:
-            for name, version in self._load(n)["tables"].items():
-                if all(t.get(name) != version for t in kept):
-                    self._fs.delete(self._path(f"{self.root}/{name}/v{version}"), True)
+            for folder in self._folders(self._load(n)) - kept:
+                self._fs.delete(self._path(f"{self.root}/{folder}"), True)
             self._fs.delete(self._path(f"{self.root}/manifest-{n:08d}.json"), False)
 
     def refresh(self) -> "Store":
@@ -114,9 +180,17 @@ class Store:
         return (m["schema"], m["model"], m["chunking"]) != (SCHEMA, self.model, CHUNKING)
 
     def has(self, name: str) -> bool:
-        return name in self.manifest["tables"]
+        return name in self.manifest["tables"] or name in self.manifest.get("schemas", {}) or name == "totals" and bool(self.manifest.get("segments"))
 
     def read(self, name: str) -> DataFrame:
+        """A table as it is: the current version, or what is live in its segments."""
+        if name in self.manifest.get("schemas", {}):
+            from .segments import Segments
+
+            return Segments(self).read(name)
+        if name == "totals" and self.manifest.get("segments"):
+            n, words = (sum(s["numbers"].get(k, 0) for s in self.manifest["segments"]) for k in ("n", "words"))
+            return self.spark.createDataFrame([(n, words / n if n else 0.0)], "n long, avgdl double")
         return self.spark.read.parquet(f"{self.root}/{name}/v{self.manifest['tables'][name]}")
 
     def count(self, name: str) -> int:
@@ -128,7 +202,11 @@ class Store:
         version = f"{number}-{uuid.uuid4().hex[:8]}"  # no other run writes there
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/v{version}")
-        self._flip({"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING, "tables": self.manifest["tables"] | dict.fromkeys(tables, version)})
+        self.commit(number, tables=self.manifest["tables"] | dict.fromkeys(tables, version))
+
+    def commit(self, number: int, **changes) -> None:
+        """The manifest of that number: the one before with some entries changed."""
+        self._flip(self.manifest | {"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING} | changes)
 
     @contextmanager
     def written(self, df: DataFrame) -> Iterator[DataFrame]:
@@ -140,6 +218,10 @@ class Store:
         finally:
             self._fs.delete(self._path(path), True)
 
+    def drop(self, folder: str) -> None:
+        """Delete a folder below root that no manifest names."""
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
     def delete(self, name: str, key: str, values: list) -> None:
         """A new version of the table without the rows whose key is among a few values."""
         self.write(**{name: self.read(name).filter(~F.col(key).isin(values) | F.col(key).isNull())})
