@@ -210,17 +210,21 @@ def errors(store: Store) -> DataFrame:
     return store.read("errors")
 
 
-def watch(spark: SparkSession, root: str, store: Store, events: DataFrame, checkpoint: str, ignore: list[str] | None = None):
-    """Apply a stream of change events (path, action, ts) to the index: each batch of paths is indexed anew, an unlinked one is deleted.
-    Ignored paths do not come through. A batch that is repeated after a failure gives the same index."""
-    batches = events.filter(~files.ignored(F.col("path"), ignore))
+def watch(spark: SparkSession, root: str, store: Store, events: DataFrame, checkpoint: str, ignore: list[str] | None = None, gap: str = "300 milliseconds"):
+    """Apply a stream of change events (path, action, ts) to the index, until the query that this returns is stopped.
 
-    def handle(batch: DataFrame, _: int) -> None:
-        paths = sorted(r.path for r in batch.select("path").distinct().collect())  # the paths of one quiet period
-        if paths:
-            reindex(spark, root, store.refresh(), paths, ignore)
+    The paths of a period that a quiet time of `gap` ends are indexed anew together, those that are gone leave the index. Ignored paths
+    do not come through. After more than FEW_PATHS paths the tree is looked through, which opens only what changed. A batch that is
+    repeated after a failure gives the same index."""
 
-    return changes.apply_changes(batches, handle, checkpoint)
+    def handle(paths: DataFrame, _: int) -> None:
+        found = [r.path for r in paths.limit(FEW_PATHS + 1).collect()]
+        if len(found) > FEW_PATHS:
+            index(spark, root, store.refresh(), ignore)
+        elif found:
+            reindex(spark, root, store.refresh(), sorted(found), ignore)
+
+    return changes.on_quiet(events.filter(~files.pruned(F.col("path"), ignore)), handle, f"{store.root}/watch", checkpoint, gap)
 
 
 def search(spark: SparkSession, store: Store, query: str, max_results: int | None = None, file: str | None = None, language: str | None = None, rerank: bool = False) -> DataFrame:

@@ -637,8 +637,8 @@ def _events(spark, d):
 s AS (SELECT *, sum(coalesce(gap, true)::INTEGER) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT epoch_us(min(ts))::BIGINT AS start_us, count(*)::BIGINT AS n_events, count(DISTINCT path)::BIGINT AS n_paths FROM s GROUP BY k""")
 def stream_debounce(spark, d):
-    b = changes.debounce(_events(spark, d), "5 minutes")
-    return b.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n_events", F.size("paths").cast("long").alias("n_paths"))
+    b = changes.quiet_periods(_events(spark, d), "5 minutes")
+    return b.select(F.unix_micros("start").alias("start_us"), "n_events", "n_paths")
 
 
 @query("SELECT 'u/' || user_id AS path, arg_max(event_type, (ts, event_id)) AS action FROM events GROUP BY 1")

@@ -208,6 +208,10 @@ class Store:
         """The manifest of that number: the one before with some entries changed."""
         self._flip(self.manifest | {"number": number, "schema": SCHEMA, "model": self.model, "chunking": CHUNKING} | changes)
 
+    def forget(self, name: str) -> None:
+        """A version of the store without the table."""
+        self.commit(self.manifest["number"] + 1, tables={n: v for n, v in self.manifest["tables"].items() if n != name})
+
     @contextmanager
     def written(self, df: DataFrame) -> Iterator[DataFrame]:
         """df as a table of its own below root, which is deleted at the end."""

@@ -6,6 +6,7 @@ import random
 import sqlite3
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ from lodestone.sources.store import Config, Store
 from lodestone.streaming import changes
 
 
+def until(done, query, seconds=100):
+    """Wait for a running query to bring something about."""
+    end = time.monotonic() + seconds
+    while not done():
+        assert query.exception() is None and time.monotonic() < end
+        time.sleep(0.3)
+
+
 def corpus(n=60, seed=4):
     rng = random.Random(seed)
     vocabulary = ["alpha", "beta", "gamma", "delta", "rho", "sigma"]
@@ -123,9 +132,10 @@ def test_reindex_watch_and_lookups(spark, tmp_path):
     (src / "node_modules").mkdir()
     events = [("m0.py", "change", 0), ("m1.py", "unlink", 1), ("node_modules/x.js", "add", 2)]
     spark.createDataFrame(events, "path string, action string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(1).write.parquet(str(tmp_path / "events"))
-    q = api.watch(spark, str(src), store, changes.source(spark, str(tmp_path / "events"), "path string, action string, ts timestamp"), str(tmp_path / "check"))
-    q.awaitTermination(100)
-    assert q.exception() is None
+    q = api.watch(spark, str(src), store, changes.source(spark, str(tmp_path / "events"), "path string, action string, ts timestamp"), str(tmp_path / "check"), gap="1 second")
+    until(lambda: "m1.py" not in {r.rel_path for r in store.refresh().read("file_state").collect()}, q)
+    assert q.isActive
+    q.stop()
     again = Store(spark, str(tmp_path / "other"))
     api.index(spark, str(src), again)
     rows = lambda s, t: sorted(map(str, s.read(t).collect()))
@@ -366,17 +376,61 @@ def test_config():
             c.put(*bad)
 
 
-def test_stream_debounce(spark, tmp_path):
-    e = [(i, f"p{i % 3}", "change", s) for i, s in enumerate((0, 1, 2, 30, 31, 100))]
-    df = spark.createDataFrame(e, "event_id long, path string, action string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    want = sorted((r.n_events, tuple(r.paths)) for r in changes.debounce(df, "5 seconds").collect())
-    out = []
-    stream = changes.debounce(changes.source(spark, str(tmp_path / "in"), "event_id long, path string, action string, ts timestamp"), "5 seconds", "1 seconds")
-    q = changes.apply_changes(stream, lambda b, n: out.extend((r.n_events, tuple(r.paths)) for r in b.collect()), str(tmp_path / "check"))
-    q.awaitTermination(60)
-    assert q.exception() is None and set(out) <= set(want) and len(out) == len(set(out))
-    assert len(out) >= 2
+def test_quiet_periods_equal_a_plain_pass(spark, monkeypatch):
+    """Any number of ranges, periods over many borders, one hot moment, gaps of just the waiting time."""
+    rng = random.Random(5)
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([0, 0, 1, 2, 4, 5, 6, 30])
+        rows.append((f"p{rng.randrange(9)}", at))
+    rows += [(f"q{i}", 200) for i in range(150)] + [(None, 3)] + [("none", None)]
+    want, last = [], None
+    for t in sorted({t for _, t in rows if t is not None}):
+        if last is None or t - last >= 5:
+            want.append([t, t, 0, set()])
+        own = [p for p, s in rows if s == t]
+        want[-1][1], want[-1][2], last = t, want[-1][2] + len(own), t
+        want[-1][3] |= set(own)
+    df = spark.createDataFrame(rows, "path string, s long").select("path", F.timestamp_seconds("s").alias("ts")).repartition(4)
+    for slices in (1, 2, 7, 64):
+        monkeypatch.setattr(changes, "SLICES", slices)
+        got = changes.quiet_periods(df, "5 seconds").select(F.unix_timestamp("start"), F.unix_timestamp("end"), "n_events", "n_paths").collect()
+        assert sorted(map(tuple, got)) == [(a, b + 5, n, len(p)) for a, b, n, p in want]
+    assert changes.quiet_periods(df.limit(0), "5 seconds").count() == 0
+
+
+def test_stream_waits_for_quiet(spark, tmp_path):
+    """A running query calls once for each quiet period, also when nothing follows it; a burst of old events is cut into its periods."""
+    folder, calls = tmp_path / "in", []
+
+    def happen(*events):
+        rows = [(p, "change", s) for p, s in events]
+        spark.createDataFrame(rows, "path string, action string, s long").select("path", "action", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(folder))
+
+    happen(("a", 0), ("b", 1))
+    stream = changes.source(spark, str(folder), "path string, action string, ts timestamp")
+    q = changes.on_quiet(stream, lambda paths, n: calls.append({r.path for r in paths.collect()}), str(tmp_path / "quiet"), str(tmp_path / "check"), "3 seconds")
+    happen(("a", 2), ("c", 3))
+    until(lambda: calls, q)
+    assert calls == [{"a", "b", "c"}] and q.isActive
+    happen(("d", 60), ("d", 61), ("e", 62), ("f", 100))
+    until(lambda: len(calls) == 3, q)
+    q.stop()
+    assert calls == [{"a", "b", "c"}, {"d", "e"}, {"f"}]
+    # What was pending when a query stopped is not lost.
+    happen(("g", 200))
+    start = lambda: changes.on_quiet(stream, lambda paths, n: calls.append({r.path for r in paths.collect()}), str(tmp_path / "quiet"), str(tmp_path / "check"), "3 seconds")
+    q = start()
+    until(lambda: Store(spark, str(tmp_path / "quiet")).has("pending"), q)
+    q.stop()
+    assert len(calls) == 3
+    q = start()
+    until(lambda: len(calls) == 4, q)
+    q.stop()
+    assert calls[3] == {"g"}
+
+
+def test_reporter():
     seen = []
     r = changes.Reporter()
     r.listeners = [lambda p: 1 / 0, lambda p: seen.append(p.percent)]
