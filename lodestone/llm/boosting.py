@@ -35,7 +35,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
     """Second-order boosting of the logistic loss over quantile bins."""
     n, width = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
-    binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)], 1)
+    binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)])
     size = max(len(c) for c in cuts) + 1
     p0 = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     start = float(np.log(p0 / (1 - p0)))
@@ -48,21 +48,23 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
         node = np.zeros(n, np.int64)
         f, c = np.zeros(inner, np.int64), np.full(inner, np.inf)
         for level in range(depth):
-            first = 2**level - 1
-            for q in range(first, 2 * first + 1):
-                rows = np.flatnonzero(node == q)
-                best = 1e-9
-                if len(rows) > 1:
-                    gs, hs = g[rows], h[rows]
-                    whole = gs.sum() ** 2 / (hs.sum() + penalty)
-                    for j in range(width):
-                        if not len(cuts[j]):
-                            continue
-                        gl = np.cumsum(np.bincount(binned[rows, j], gs, size))[: len(cuts[j])]
-                        hl = np.cumsum(np.bincount(binned[rows, j], hs, size))[: len(cuts[j])]
-                        gain = gl**2 / (hl + penalty) + (gs.sum() - gl) ** 2 / (hs.sum() - hl + penalty) - whole
-                        if gain.max() > best:
-                            best, f[q], c[q] = gain.max(), j, cuts[j][gain.argmax()]
+            first, wide = 2**level - 1, 2**level
+            of = (node - first) * size
+            rows = np.bincount(node - first, minlength=wide)
+            gs, hs = (np.array([v[node == first + q].sum() for q in range(wide)]) for v in (g, h))
+            best, whole = np.full(wide, 1e-9), gs**2 / (hs + penalty)
+            for j in range(width):
+                k = len(cuts[j])
+                if not k:
+                    continue
+                # Sums by node and bin, all nodes of a level at once.
+                key = of + binned[j]
+                gl = np.cumsum(np.bincount(key, g, wide * size).reshape(wide, size), 1)[:, :k]
+                hl = np.cumsum(np.bincount(key, h, wide * size).reshape(wide, size), 1)[:, :k]
+                gain = gl**2 / (hl + penalty) + (gs[:, None] - gl) ** 2 / (hs[:, None] - hl + penalty) - whole[:, None]
+                most = gain.max(1)
+                for q in np.flatnonzero((most > best) & (rows > 1)):
+                    best[q], f[first + q], c[first + q] = most[q], j, cuts[j][gain[q].argmax()]
             node = 2 * node + 1 + (x[np.arange(n), f[node]] > c[node])
         leaf = node - inner
         v = -rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + penalty)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -104,11 +105,13 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(df._staged_at)
         return df
 
-    yield keep
-    for ref, path in list(_staged):
-        if ref() is spark and path not in before and path not in kept:
-            _staged.remove((ref, path))
-            _delete(spark, path)
+    try:
+        yield keep
+    finally:
+        for ref, path in list(_staged):
+            if ref() is spark and path not in before and path not in kept:
+                _staged.remove((ref, path))
+                _delete(spark, path)
 
 
 @atexit.register
@@ -145,13 +148,24 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, most_bytes: int) ->
 
 #: Rows of a batch that are Python objects at a time.
 SLICE = 1_000
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # no such function in this C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers are kept from stage to stage, and what texts took of one would lie beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def in_slices(texts: pa.Array, make: Callable[[list], pa.Array]) -> pa.Array:
     """make() of SLICE values at a time, as one array: an Arrow batch of long texts is never a list of Python strings as a whole."""
     parts = [make(texts.slice(at, SLICE).to_pylist()) for at in range(0, max(1, len(texts)), SLICE)]
     out = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
-    pa.default_memory_pool().release_unused()  # workers are kept for the next stage, whose memory this would be
+    give_back()
     return out
 
 
@@ -167,6 +181,6 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
                 part = batch.slice(start, SLICE)
                 made = work(*(part.column(c) for c in columns))
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in arrow], schema=arrow)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
