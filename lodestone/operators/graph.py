@@ -88,11 +88,13 @@ def updated(nodes_: DataFrame, edges_: DataFrame, files: DataFrame, chunks: Data
 
 
 def import_paths(texts: DataFrame) -> DataFrame:
-    """file, raw: quoted relative paths of import lines (from '..', require('..'), import '..'), the first form of a line that fits."""
+    """file, raw: quoted relative paths of import lines (from '..', require('..'), import '..'), the first form of a line with such a path.
+    Statements over several lines have their path on one of them."""
     line = texts.select("file", F.explode(F.split("text", "\n")).alias("line"))
-    forms = (r"from\s+['\"]([^'\"]+)['\"]", r"require\s*\(\s*['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]")
+    path = r"['\"](\.[^'\"]*)['\"]"
+    forms = (rf"from\s+{path}", rf"require\s*\(\s*{path}\s*\)", rf"import\s+{path}")
     raw = F.coalesce(*[F.nullif(F.regexp_extract("line", f, 1), F.lit("")) for f in forms])
-    return line.select("file", raw.alias("raw")).filter(F.col("raw").startswith("."))
+    return line.select("file", raw.alias("raw")).filter(F.col("raw").isNotNull())
 
 
 def normalised(path: Column) -> Column:
@@ -185,11 +187,19 @@ def attached(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return edges_.join(a, "source", "left_semi").join(a.withColumnRenamed("source", "target"), "target", "left_semi")
 
 
-def connected(nodes_: DataFrame, edges_: DataFrame, id_: str) -> DataFrame:
-    """edge_type, n, labels: the neighbours by kind of edge, and the first five labels."""
-    n = neighbors(nodes_, edges_, id_)
-    w = Window.partitionBy("edge_type").orderBy("label", "id")
-    return n.withColumn("r", F.row_number().over(w)).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "label")))), lambda x: x["label"]), ", ").alias("labels"))
+#: Parts into which a hub's neighbours are dealt before their first labels are sought.
+HUB_PARTS = 64
+
+
+def connected(nodes_: DataFrame, edges_: DataFrame, id_: str, most: int = 5) -> DataFrame:
+    """edge_type, n, labels: the neighbours by kind of edge, and the first five labels.
+
+    A hub's neighbours are dealt to HUB_PARTS groups of each kind; each keeps its first few, and only these meet."""
+    n = neighbors(nodes_, edges_, id_).withColumn("part", F.pmod(F.xxhash64("edge_id"), F.lit(HUB_PARTS)))
+    few = n.withColumn("r", F.row_number().over(Window.partitionBy("edge_type", "part").orderBy("label", "id"))).filter(F.col("r") <= most)
+    first = few.groupBy("edge_type").agg(F.slice(F.array_sort(F.collect_list(F.struct("label", "id"))), 1, most).alias("l"))
+    labels = first.select("edge_type", F.array_join(F.transform("l", lambda x: x["label"]), ", ").alias("labels"))
+    return n.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")).join(labels, "edge_type")
 
 
 def subtree(edges_: DataFrame, root: str) -> DataFrame:

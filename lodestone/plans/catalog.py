@@ -113,15 +113,6 @@ def packed_chunks(spark, d) -> DataFrame:
 CHUNKS = f"(SELECT rel_path || ':' || start_line || '-' || end_line AS id, rel_path AS file, string_split(rel_path, '/')[2] AS language, hash, start_line, end_line FROM ({PACK}))"
 
 
-@query()
-def chunk_overlap(spark, d):
-    s = spark.createDataFrame(SYMBOLS, "file string, seq int, name string, type string, start_line int, end_line int")
-    return chunking.choose(s).select("file", F.explode("kept").alias("k")).select("file", F.col("k.name").alias("name"), F.col("k.start_line").alias("start_line"), F.col("k.end_line").alias("end_line"))
-
-
-ORACLE_SQL["chunk_overlap"] = "SELECT * FROM (VALUES ('a.ts', 'f', 12, 14), ('a.ts', 'm', 3, 5), ('b.ts', 'g', 2, 3), ('c.ts', 'big', 7, 9)) v(file, name, start_line, end_line)"
-
-
 @query("""SELECT * FROM (VALUES ('a.ts:12-14', 'f'), ('a.ts:3-5', 'm'), ('a.ts:1-14', 'file_a_ts'), ('b.ts:2-3', 'g'), ('b.ts:1-4', 'file_b_ts'),
 ('c.ts:7-7', 'big'), ('c.ts:8-8', 'big'), ('c.ts:9-9', 'big')) v(id, symbol)""")
 def chunk_files(spark, d):
@@ -360,10 +351,10 @@ def vec_knn(spark, d):
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round({_DIST}, 6) AS distance FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) <= 30")
 def vec_knn_batch(spark, d):
-    """Every fiftieth vector against all: the set of queries grows with the table, so it takes more than one block."""
+    """Every fiftieth vector against all: the set of queries grows with the table, so both are dealt to tiles."""
     e = t(spark, d, "embeddings")
-    rows = e.filter("vec_id % 50 = 0").select("vec_id", "embedding").collect()  # the stated queries
-    return vector.knn_batch(e, [(r.vec_id, list(r.embedding)) for r in sorted(rows)]).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.knn_join(e, asked).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 def _merged(spark, d) -> DataFrame:
@@ -563,35 +554,65 @@ def path_normalise(spark, d):
     return t(spark, d, "pages").select("page_id", graph.normalised(F.concat(F.lit("./a/../"), path)).alias("path"))
 
 
-IMPORTS = [("src/a/m.ts", "import { a } from '../b/n.js'\nconst z = require(\"./q\")\nimport './s.css'\nimport fs from 'fs'"), ("src/m.ts", "import x from './lib'"), ("src/b/n.ts", ""), ("src/lib/index.ts", "import '../m'"), ("src/a/q.py", "")]
-
-
-@query("SELECT * FROM (VALUES ('src/a/m.ts', '../b/n.js'), ('src/a/m.ts', './q'), ('src/a/m.ts', './s.css'), ('src/m.ts', './lib'), ('src/lib/index.ts', '../m')) v(file, raw)")
+# Every page is a file whose name is the first word that it links to, with an ending by its number; its links are what it imports, as
+# statements of three forms: beside one of a package, with an ending that is another's, and over several lines. Each fifth is exported.
+_WORD = """regexp_extract(html, 'href="/([A-Za-z]+)"', 1)"""
+_MODULE = f"concat('w/', CASE WHEN {_WORD} = '' THEN concat('page', page_id) ELSE {_WORD} END, CASE page_id % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '/index.js' ELSE '.tsx' END)"
+_MODULES = f"""h AS (SELECT {_MODULE} AS file, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages),
+u AS (SELECT file, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS i FROM h),
+texts AS (
+  SELECT file, 'imports' AS type, CASE i % 3 WHEN 0 THEN 'import a from ''a''; import ''.' || h || '''' WHEN 1 THEN 'const x = require(''fs''), y = require(''.' || h || '.js'')' ELSE 'import {{' || chr(10) || '  a,' || chr(10) || '}} from ''.' || h || '''' END AS text FROM u
+  UNION ALL SELECT file, 'exports', 'export {{ a }} from ".' || h || '"' FROM u WHERE i % 5 = 0),
+lines AS (SELECT file, type, unnest(string_split(text, chr(10))) AS line FROM texts),
+raws AS (
+  SELECT file, type, coalesce(nullif(regexp_extract(line, 'from\\s+[''"](\\.[^''"]*)[''"]', 1), ''), nullif(regexp_extract(line, 'require\\s*\\(\\s*[''"](\\.[^''"]*)[''"]\\s*\\)', 1), ''), nullif(regexp_extract(line, 'import\\s+[''"](\\.[^''"]*)[''"]', 1), '')) AS raw
+  FROM lines),
+found AS (SELECT * FROM raws WHERE raw IS NOT NULL),
+full_ AS (SELECT DISTINCT file, type, raw, array_to_string(list_filter(string_split(regexp_replace(file, '/[^/]*$', '') || '/' || raw, '/'), lambda p: p <> '' AND p <> '.'), '/') AS f FROM found),
+tried AS (
+  SELECT file, type, raw, [f] || CASE WHEN f LIKE '%.js' THEN [f[:-4], f[:-4] || '.ts', f[:-4] || '.tsx'] ELSE [] END
+      || list_transform(string_split('{" ".join(graph.EXTENSIONS)}', ' '), lambda x: f || x) || list_transform(string_split('{" ".join(graph.INDEXES)}', ' '), lambda x: f || '/' || x) AS c
+  FROM full_),
+each AS (SELECT file, type, raw, unnest(c) AS target, generate_subscripts(c, 1) AS ord FROM tried),
+resolved AS (SELECT file, type, raw, arg_min(target, ord) AS target FROM each WHERE target IN (SELECT file FROM h) GROUP BY file, type, raw)"""
+
+
+def _modules(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rel_path of the files; file, text of their imports and of their exports."""
+    p = t(spark, d, "pages").select(F.expr(_MODULE).alias("file"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("l"))
+    u = p.select("file", F.posexplode("l").alias("i", "h"))
+    text = lambda before, after: F.concat(F.lit(before), "h", F.lit(after))
+    form = F.when(F.col("i") % 3 == 0, text("import a from 'a'; import '.", "'")).when(F.col("i") % 3 == 1, text("const x = require('fs'), y = require('.", ".js')")).otherwise(text("import {\n  a,\n} from '.", "'"))
+    return p.select(F.col("file").alias("rel_path")).distinct(), u.select("file", form.alias("text")), u.filter("i % 5 = 0").select("file", text('export { a } from ".', '"').alias("text"))
+
+
+def _resolved(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    known, *texts = _modules(spark, d)
+    return known, *[graph.resolve(graph.import_paths(x), known) for x in texts]
+
+
+@query(f"WITH {_MODULES} SELECT file, raw FROM found WHERE type = 'imports'")
 def import_parse(spark, d):
-    return graph.import_paths(spark.createDataFrame(IMPORTS, "file string, text string"))
+    return graph.import_paths(_modules(spark, d)[1])
 
 
-@query("SELECT * FROM (VALUES ('src/a/m.ts', '../b/n.js', 'src/b/n.ts'), ('src/a/m.ts', './q', 'src/a/q.py'), ('src/m.ts', './lib', 'src/lib/index.ts'), ('src/lib/index.ts', '../m', 'src/m.ts')) v(file, raw, target)")
+@query(f"WITH {_MODULES} SELECT file, raw, target FROM resolved WHERE type = 'imports'")
 def import_resolve(spark, d):
-    f = spark.createDataFrame(IMPORTS, "file string, text string")
-    return graph.resolve(graph.import_paths(f), f.select(F.col("file").alias("rel_path")))
+    return _resolved(spark, d)[1]
 
 
-@query("""SELECT 'kg:file:' || s || '|' || type || '|kg:file:' || t AS id, type FROM (VALUES ('src/m.ts', 'src/lib/index.ts', 'imports'), ('src/a/m.ts', 'src/b/n.ts', 'imports'),
-('src/a/m.ts', 'src/a/q.py', 'imports'), ('src/lib/index.ts', 'src/m.ts', 'imports'), ('src/b/n.ts', 'src/a/m.ts', 'exports')) v(s, t, type)""")
+@query(f"WITH {_MODULES} SELECT DISTINCT 'kg:file:' || file || '|' || type || '|kg:file:' || target AS id, type FROM resolved")
 def graph_imports_exports(spark, d):
-    f = spark.createDataFrame(IMPORTS, "file string, text string")
-    out = spark.createDataFrame([("src/b/n.ts", "export { a } from '../a/m'"), ("src/b/n.ts", "export const b = 1")], "file string, text string")
-    files_ = f.select(F.col("file").alias("rel_path"))
-    found = [graph.resolve(graph.import_paths(x), files_) for x in (f, out)]
-    none = f.select("file", F.lit("").alias("symbol"))
-    return graph.edges(files_, none, *found).filter("type <> 'contains'").select("id", "type")
+    known, imports, exports = _resolved(spark, d)
+    none = known.select(F.col("rel_path").alias("file"), F.lit("").alias("symbol"))
+    return graph.edges(known, none, imports, exports).filter("type IN ('imports', 'exports')").select("id", "type")
 
 
-@query("SELECT * FROM (VALUES ('src/a/m.ts', 'src/b/n.ts'), ('src/a/m.ts', 'src/a/q.py'), ('src/m.ts', 'src/lib/index.ts'), ('src/lib/index.ts', 'src/m.ts')) v(source, target)")
+@query(f"WITH {_MODULES} SELECT DISTINCT file AS source, target FROM resolved WHERE type = 'imports' AND file <> target")
 def dep_graph(spark, d):
-    f = spark.createDataFrame(IMPORTS, "file string, text string").withColumn("rel_path", F.col("file")).withColumn("language", F.lit("ts"))
-    return graph.dependencies(f, f, graph.resolve(graph.import_paths(f), f))[1]
+    known, imports, _ = _resolved(spark, d)
+    files_ = known.withColumn("file", F.col("rel_path")).withColumn("language", files.language(F.col("rel_path")))
+    return graph.dependencies(files_, files_, imports)[1]
 
 
 @query(_g(", p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT id FROM nodes ORDER BY id LIMIT 200)) SELECT id, round(600 + 340 * cos(2 * pi() * i / (SELECT count(*) FROM p) - pi() / 2), 4) AS x, round(400 + 340 * sin(2 * pi() * i / (SELECT count(*) FROM p) - pi() / 2), 4) AS y FROM p"))
@@ -605,10 +626,12 @@ def node_radius(spark, d):
     return c.select("file", F.round(graph.radius(F.col("n")), 6).alias("radius"), graph.short_label(F.col("file")).alias("label"))
 
 
-@query("SELECT * FROM (VALUES ('struct', 'class'), ('trait', 'interface'), ('property', 'variable'), ('namespace', 'module'), ('import', 'module'), (NULL, 'module'), ('method', 'method')) v(kind, type)")
+_KIND = "CASE doc_id % 7 WHEN 0 THEN 'struct' WHEN 1 THEN 'trait' WHEN 2 THEN 'property' WHEN 3 THEN 'namespace' WHEN 4 THEN 'import' WHEN 5 THEN 'method' END"
+
+
+@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' WHEN 2 THEN 'variable' WHEN 5 THEN 'method' ELSE 'module' END AS type FROM documents")
 def kind_map(spark, d):
-    k = spark.createDataFrame([(x,) for x in ("struct", "trait", "property", "namespace", "import", None, "method")], "kind string")
-    return k.select("kind", graph.node_type(F.col("kind")).alias("type"))
+    return t(spark, d, "documents").select("doc_id", graph.node_type(F.expr(_KIND)).alias("type"))
 
 
 # Statistics and streams ------------------------------------------------------------------------------------------------
@@ -684,10 +707,31 @@ def chunk_sections(spark, d):
     return chunking.chunks(f, s).select("id", "symbol", "hash")
 
 
-@query(f"SELECT rel_path AS file, substr(trim(string_split(text, chr(10))[1]), 1, 80) AS name FROM {FILES} WHERE regexp_matches(text, '\\S')")
+_PARAGRAPHS = f"""pl AS (SELECT rel_path AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {FILES}),
+pb AS (SELECT *, regexp_matches(line, '^\\s*$') AS blank, lag(regexp_matches(line, '^\\s*$'), 1, true) OVER o AS before, lead(regexp_matches(line, '^\\s*$'), 1, true) OVER o AS after FROM pl WINDOW o AS (PARTITION BY file ORDER BY i)),
+pa AS (SELECT file, line, i, row_number() OVER (PARTITION BY file ORDER BY i) AS k FROM pb WHERE NOT blank AND before),
+pz AS (SELECT file, i AS j, row_number() OVER (PARTITION BY file ORDER BY i) AS k FROM pb WHERE NOT blank AND after),
+paragraphs AS (SELECT file, (k - 1)::INTEGER AS seq, substr(trim(line), 1, 80) AS name, i::INTEGER AS start_line, j::INTEGER AS end_line FROM pa JOIN pz USING (file, k))"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT * FROM paragraphs")
 def sym_paragraphs(spark, d):
-    s = adapters.paragraphs(corpus(spark, d).select(F.col("rel_path").alias("file"), "text"))
-    return s.select("file", "name")
+    return adapters.paragraphs(corpus(spark, d).select(F.col("rel_path").alias("file"), "text"))
+
+
+@query(f"""WITH {_SECTIONS}, {_PARAGRAPHS},
+first AS (SELECT file, min(start_line) AS a FROM sections GROUP BY file)
+SELECT file, name, start_line, end_line FROM sections
+UNION ALL SELECT rel_path, 'whole', 1, len(string_split(text, chr(10)))::INTEGER FROM {FILES} WHERE rel_path NOT IN (SELECT file FROM first)
+UNION ALL SELECT p.file, name, start_line, end_line FROM paragraphs p JOIN first USING (file) WHERE end_line < a""")
+def chunk_overlap(spark, d):
+    """Symbols that overlap: each document is a class, its headed sections are functions, its paragraphs modules. What a preferred one
+    overlaps goes: the class where there are sections, and the paragraphs that these, or the class, cover."""
+    f = corpus(spark, d).select(F.col("rel_path").alias("file"), "text")
+    cols = lambda df, kind, seq: df.select("file", seq.cast("int").alias("seq"), "name", F.lit(kind).alias("type"), "start_line", "end_line")
+    whole = f.select("file", F.lit("whole").alias("name"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
+    s = cols(whole, "class", F.lit(0)).unionByName(cols(adapters.text_sections(f), "function", F.col("start_line"))).unionByName(cols(adapters.paragraphs(f), "module", F.col("seq")))
+    return chunking.choose(s).select("file", F.explode("kept").alias("k")).select("file", F.col("k.name").alias("name"), F.col("k.start_line").alias("start_line"), F.col("k.end_line").alias("end_line"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<(nav|article|footer|script|style|main|header|section|form|aside|dialog|details|template)[\\s>]'))::BIGINT AS n FROM pages WHERE n > 0")

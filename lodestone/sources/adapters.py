@@ -33,15 +33,17 @@ _MOD = r"^\s*(?:(?:export|default|public|private|protected|internal|static|final
 _TYPES = [(_MOD + r"class\s+(\w+)", "class"), (_MOD + r"interface\s+(\w+)", "interface"), (_MOD + r"enum\s+(?:class\s+|struct\s+)?(\w+)", "enum")]
 _CALLABLE = r"(?!.*\b(?:if|for|while|switch|return|else|catch|new|throw)\b\s*\()"
 _C_LIKE = (r"^(?!\s*(?:return|else|if|for|while|switch|new|throw|typedef|#)\b)\s*[A-Za-z_][\w\s:<>,*&\[\]~]*?[\s*&]([A-Za-z_~]\w*)\s*\([^;]*$", "function")
-_JAVA_LIKE = (r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|synchronized)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\([^;]*$", "method")
+_JAVA_LIKE = (r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|synchronized)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\((?:[^;]*$|[^;{]*\)\s*(?:throws\s+[\w,. ]+)?\{.*$)", "method")
+#: Java and C#: members of a class without a modifier, whose body or parameters begin on the line.
+_BARE_MEMBER = (r"^\s+(?!(?:return|else|new|throw|if|for|while|switch|catch|case|do|try|await|yield|using|lock|assert|goto)\b)(?:<[^>]*>\s*)?[A-Za-z_][\w<>\[\],.?]*(?:\s*<[^>]*>)?(?:\[\])*\s+(\w+)\s*\((?:[^;=]*$|[^;={]*\)\s*(?:throws\s+[\w,. ]+)?\{.*$)", "method")
 _JS = [(_MOD + r"function\s*\*?\s*(\w+)", "function"), (_MOD + r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "function"), (_MOD + r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?function", "function"), (r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*" + _CALLABLE + r"(?!(?:if|for|while|switch|catch|function|return)\b)(\w+)\s*\([^;]*\)\s*(?::[^{;]+)?\{", "method")]
 BRACES: dict[str, list[tuple[str, str]]] = {
     "ts": [*_TYPES, *_JS, (r"^\s*(import\b.*)", "import"), (r"^\s*(export\b.*)", "export")],
     "js": [_TYPES[0], *_JS, (r"^\s*(import\b.*)", "import"), (r"^\s*(export\b.*)", "export")],
     "go": [(r"^func\s+(\w+)", "function"), (r"^func\s*\([^)]*\)\s*(\w+)", "method"), (r"^\s*(import\b.*)", "import")],
     "rs": [(_MOD + r"fn\s+(\w+)", "function"), (_MOD + r"struct\s+(\w+)", "struct"), (_MOD + r"trait\s+(\w+)", "trait"), (r"^\s*impl(?:<[^>]*>)?\s+(?:.*\bfor\s+)?(\w+)", "module"), (_MOD + r"enum\s+(\w+)", "enum"), (_MOD + r"use\s+([\w:{}, *]+)", "import")],
-    "java": [*_TYPES, _JAVA_LIKE, (r"^\s*import\s+([\w.* ]+);", "import")],
-    "csharp": [*_TYPES, (_MOD + r"struct\s+(\w+)", "struct"), _JAVA_LIKE, (r"^\s*using\s+([\w.= ]+);", "import")],
+    "java": [*_TYPES, _JAVA_LIKE, _BARE_MEMBER, (r"^\s*import\s+([\w.* ]+);", "import")],
+    "csharp": [*_TYPES, (_MOD + r"struct\s+(\w+)", "struct"), _JAVA_LIKE, _BARE_MEMBER, (r"^\s*using\s+([\w.= ]+);", "import")],
     "c": [(r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{?\s*$", "struct"), _C_LIKE],
     "cpp": [(r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)[^;]*$", "class"), (r"^\s*struct\s+(\w+)[^;(]*$", "struct"), (r"^\s*enum\s+(?:class\s+)?(\w+)", "enum"), _C_LIKE],
     "php": [_TYPES[0], _TYPES[1], (r"^function\s+&?(\w+)", "function"), (r"^\s+(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)", "method")],
@@ -64,6 +66,31 @@ EXPORT_LINES = {"ts": r"^\s*export\b", "js": r"^\s*export\b"}
 _COMMENTS = {"#": "py rb dockerfile yaml toml terraform config csv", "--": "sql lua haskell", "//": "ts js go rs java c cpp csharp php swift kotlin dart scala solidity css salesforce astro", "<!--": "html xml vue svelte markdown svg", ";": "config", "!": "config"}
 
 
+#: Languages whose imports may go on over lines while a bracket is open, and what begins such a list of exports.
+_LISTED_IMPORTS = frozenset("ts js go rs dart scala solidity py".split())
+_LISTED_EXPORT = re.compile(r"^\s*export\s*(?:type\s*)?\{")
+_QUOTED = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*")
+
+
+def _statement(lines: list[str], i: int) -> int:
+    """The line on which the brackets that line i leaves open are closed; i if they never are."""
+    depth = 0
+    for j in range(i, len(lines)):
+        text = _QUOTED.sub("", lines[j])
+        depth += sum(map(text.count, "({")) - sum(map(text.count, ")}"))
+        if depth <= 0:
+            return j
+    return i
+
+
+_TEMPLATES = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+
+
+def _without_templates(text: str) -> str:
+    """The text with template literals and block comments blank, their line ends kept: braces in them end no block."""
+    return _TEMPLATES.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "`" or m[0].startswith("/*") else m[0], text)
+
+
 def _brace_end(lines: list[str], i: int) -> int:
     """The line on which the braces that open on or after line i are closed; i if a statement ends first. While brackets of the
     declaration are open, and on the line after, its braces may still come."""
@@ -97,17 +124,22 @@ def _indent_end(lines: list[str], i: int) -> int:
     return last
 
 
-def declared(rules: list[tuple[str, str]], end: Callable[[list[str], int], int]) -> Callable[[str], list[Symbol]]:
+def declared(rules: list[tuple[str, str]], end: Callable[[list[str], int], int], templates: bool = False) -> Callable[[str], list[Symbol]]:
     compiled = [(re.compile(p), k) for p, k in rules]
 
     def parse(text: str) -> list[Symbol]:
         lines, out = text.split("\n"), []
+        blocks = _without_templates(text).split("\n") if templates else lines
         for i, line in enumerate(lines):
             for pattern, kind in compiled:
                 m = pattern.match(line)
                 if m:
                     flat = kind in ("import", "export", "package", "property", "variable", "constant", "type_alias")
-                    out.append(sym(m[1].strip(), kind, i + 1, i + 1 if flat else end(lines, i) + 1))
+                    name, last = m[1].strip(), i
+                    if kind == "import" or kind == "export" and _LISTED_EXPORT.match(line):
+                        last = _statement(blocks, i)
+                        name = " ".join([name, *map(str.strip, lines[i + 1 : last + 1])]) if last > i else name
+                    out.append(sym(name, kind, i + 1, last + 1 if flat else end(blocks, i) + 1))
                     if kind != "export":
                         break
         return out
@@ -521,7 +553,7 @@ def astro(text: str) -> list[Symbol]:
 
 
 PARSERS: dict[str, Callable[[str], list[Symbol]]] = (
-    {k: declared(v, _brace_end) for k, v in BRACES.items()}
+    {k: declared(v, _brace_end, k in ("ts", "js", "go")) for k, v in BRACES.items()}
     | {k: declared(v, _indent_end) for k, v in INDENTED.items()}
     | {"py": python, "html": html, "xml": xml, "vue": component, "svelte": component, "json": json_keys, "json-variants": json_keys, "sql": sql, "dockerfile": dockerfile, "toml": toml, "yaml": yaml, "markdown": markdown, "csv": csv_columns, "svg": svg, "astro": astro, "generic": generic}
 )
@@ -549,7 +581,9 @@ def parse(language: str, file: str, text: str) -> tuple[list[Symbol], list[str],
         p = parser(language, file)
         found = p(text) if p else []
         lines = text.split("\n")
-        of = lambda table: [x.strip() for x in lines if language in table and re.search(table[language], x)]
+        over = lambda i, x: language in _LISTED_IMPORTS and (not re.match(r"\s*export\b", x) or _LISTED_EXPORT.match(x))
+        whole = lambda i, x: "\n".join(lines[i : _statement(lines, i) + 1]) if over(i, x) else x
+        of = lambda table: [whole(i, x).strip() for i, x in enumerate(lines) if language in table and re.search(table[language], x)]
         marks = tuple(m for m, names in _COMMENTS.items() if language in names.split())
         return found, of(IMPORT_LINES), of(EXPORT_LINES), [x.strip() for x in lines if marks and x.strip().startswith(marks)], None
     except Exception as e:  # noqa: BLE001  one file's fault is reported in its row
@@ -594,8 +628,12 @@ def text_sections(files: DataFrame) -> DataFrame:
     return heads.select("file", "n", "heads", F.posexplode("heads").alias("k", "h")).select("file", F.col("h")["name"].alias("name"), (F.col("h")["i"] + 1).alias("start_line"), F.coalesce(F.get("heads", F.col("k") + 1)["i"], F.col("n")).alias("end_line"))
 
 
-def paragraphs(files: DataFrame, most: int = 100) -> DataFrame:
-    """file, seq, name, start_line, end_line of the first `most` paragraphs (parted by blank lines): the fallback for unknown files."""
-    p = files.select("file", "text", F.posexplode(F.filter(F.split("text", r"\n\s*\n"), lambda x: x.rlike(r"\S"))).alias("seq", "p")).filter(F.col("seq") < most)
-    start = F.size(F.split(F.expr("substring(text, 1, greatest(0, locate(p, text) - 1))"), "\n"))
-    return p.select("file", "seq", F.substring(trimmed(F.split(trimmed(F.col("p")), "\n")[0]), 1, 80).alias("name"), start.alias("start_line"), (start + F.size(F.split("p", "\n")) - 1).alias("end_line"))
+def paragraphs(files: DataFrame) -> DataFrame:
+    """file, seq, name, start_line, end_line of all paragraphs (parted by blank lines), each at its own lines: the fallback for unknown files."""
+    blank = lambda i: F.get("lines", i).rlike(r"^\s*$")
+    lines = files.select("file", F.split("text", "\n").alias("lines")).filter(F.size("lines") > 0)
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    first = F.filter(at, lambda i: ~blank(i) & ((i == 0) | blank(F.greatest(i - 1, F.lit(0)))))
+    last = F.filter(at, lambda i: ~blank(i) & ((i == F.size("lines") - 1) | blank(F.least(i + 1, F.size("lines") - 1))))
+    p = lines.select("file", "lines", F.posexplode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("seq", "p"))
+    return p.select("file", "seq", F.substring(trimmed(F.get("lines", F.col("p.a"))), 1, 80).alias("name"), (F.col("p.a") + 1).alias("start_line"), (F.col("p.b") + 1).alias("end_line"))

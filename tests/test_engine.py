@@ -332,7 +332,7 @@ def test_json_of_many_tokens(spark):
     assert len(c) == n + 1 and {r.symbol for r in c} == {x["name"] for x in s} and all(f'"{r.symbol}"' in r.content for r in c)
 
 
-def test_knn_of_many_queries(spark):
+def test_knn_of_many_queries(spark, monkeypatch):
     """Every fiftieth vector of a table that takes several blocks and slabs, with many equal vectors, against plain NumPy."""
     import numpy as np
 
@@ -350,6 +350,55 @@ def test_knn_of_many_queries(spark):
     for q, i in enumerate(asked):
         want = np.lexsort((np.arange(5000), d[q]))[:7]
         assert sorted(got[i]) == [(p + 1, rows[j][0], round(float(d[q, j]), 9)) for p, j in enumerate(want)]
+    # The same in tiles: a grid of several rows and columns, and lists that meet in two steps.
+    monkeypatch.setattr(vector, "TILE", 8 * 40)
+    monkeypatch.setattr(vector, "MEET", 16)
+    asked_df = df.filter(F.col("vec_id").isin([rows[i][0] for i in asked])).withColumnRenamed("vec_id", "query_id").unionByName(spark.createDataFrame([("nothing", None)], "query_id string, embedding array<float>"))
+    tiled = {}
+    for r in vector.knn_join(df, asked_df, 7).collect():
+        tiled.setdefault(int(r.query_id[1:]), []).append((r.pos, r.vec_id, round(r.distance, 9)))
+    assert {i: sorted(x) for i, x in tiled.items()} == {i: sorted(x) for i, x in got.items()}
+    assert vector.knn_join(df.limit(0), asked_df).count() == 0 and vector.knn_join(df, asked_df.limit(0)).count() == 0
+
+
+IMPORTS = [("src/a/m.ts", "import { a } from '../b/n.js'\nconst z = require(\"./q\")\nimport './s.css'\nimport fs from 'fs'\nconst x = require('fs'), y = require('./y')\nimport c from 'c'; import '../m'"), ("src/m.ts", "import {\n  x,\n} from './lib'"), ("src/b/n.ts", ""), ("src/lib/index.ts", "import '../m'"), ("src/a/q.py", "")]
+
+
+def test_imports_of_all_forms(spark):
+    f = spark.createDataFrame(IMPORTS, "file string, text string")
+    raws = graph.import_paths(f)
+    assert sorted(map(tuple, raws.collect())) == [("src/a/m.ts", "../b/n.js"), ("src/a/m.ts", "../m"), ("src/a/m.ts", "./q"), ("src/a/m.ts", "./s.css"), ("src/a/m.ts", "./y"), ("src/lib/index.ts", "../m"), ("src/m.ts", "./lib")]
+    got = graph.resolve(raws, f.select(F.col("file").alias("rel_path")))
+    assert sorted((r.file, r.target) for r in got.collect()) == [("src/a/m.ts", "src/a/q.py"), ("src/a/m.ts", "src/b/n.ts"), ("src/a/m.ts", "src/m.ts"), ("src/lib/index.ts", "src/m.ts"), ("src/m.ts", "src/lib/index.ts")]
+
+
+def test_imports_over_lines_reach_the_graph(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.ts").write_text("import {\n  b,\n  c,\n} from './b'\nexport {\n  d\n} from './d'\nexport function f() {\n  return `}`\n}\n")
+    (src / "b.ts").write_text("export const b = 1\n")
+    (src / "d.ts").write_text("export const d = 1\n")
+    store = Store(spark, str(tmp_path / "store"))
+    api.index(spark, str(src), store)
+    nodes, edges = api.graph_tables(spark, store)
+    assert {(r.source, r.type, r.target) for r in edges.filter("type IN ('imports', 'exports')").collect()} == {("kg:file:a.ts", "imports", "kg:file:b.ts"), ("kg:file:a.ts", "exports", "kg:file:d.ts")}
+    assert "import {" not in {r.label for r in nodes.collect()}
+
+
+def test_statements_members_and_templates():
+    of = lambda *a: [(s["name"], s["type"], s["start"], s["end"]) for s in adapters.parse(*a)[0]]
+    assert of("ts", "a.ts", "function f() {\n  return `}`\n}\nfunction g() {\n  return `\n}\n`\n}\n") == [("f", "function", 1, 3), ("g", "function", 4, 8)]
+    java = "class A {\n  String foo() {\n    return bar(1);\n  }\n  void bar(int x)\n  {\n    if (x > 0) { go(x); }\n    x = y(2);\n  }\n  public int baz() { return 1; }\n}\n"
+    assert of("java", "A.java", java) == [("A", "class", 1, 11), ("foo", "method", 2, 4), ("bar", "method", 5, 9), ("baz", "method", 10, 10)]
+    assert adapters.parse("go", "a.go", 'import (\n  "fmt"\n)\nfunc F() {\n}\n')[1] == ['import (\n  "fmt"\n)']
+    assert adapters.parse("py", "a.py", "from a import (\n  b,\n)\nimport os\n")[1] == ["from a import (\n  b,\n)", "import os"]
+
+
+def test_a_hub_is_dealt_out(spark):
+    """All of many nodes at one: the first labels and the count, by groups of bounded size."""
+    nodes = spark.range(5000).select(F.format_string("n%04d", "id").alias("id"), F.format_string("l%04d", F.lit(5000) - F.col("id")).alias("label"))
+    edges = nodes.select(F.concat(F.lit("e"), "id").alias("id"), F.lit("hub").alias("source"), F.col("id").alias("target"), F.lit("defines").alias("type"))
+    assert [tuple(r) for r in graph.connected(nodes, edges, "hub").collect()] == [("defines", 5000, "l0001, l0002, l0003, l0004, l0005")]
 
 
 def test_fiftieth_asks_every_stated_query(spark, sf):
