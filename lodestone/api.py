@@ -19,6 +19,7 @@ from .sources import adapters, files
 from .sources.segments import Segments
 from .sources.store import Config, Conflict, Store
 from .streaming import changes
+from .streaming.running import Running
 
 log = logging.getLogger("lodestone")
 _DIMENSION = {t[0]: t[1] for t in vector.TIERS}
@@ -30,15 +31,19 @@ def _chunks(found: DataFrame, parsed: DataFrame) -> DataFrame:
     return chunking.chunks(found, sym).join(parsed.select("file", "imports", "exports"), "file", "left")
 
 
-def _vectors(chunks: DataFrame, model: str) -> DataFrame:
+def _vectors(chunks: DataFrame, model: str, provider: vector.EmbeddingProvider | None = None) -> DataFrame:
+    """vec_id, embedding. Texts of a batch that the provider fails on have the zero vector."""
     ship(chunks.sparkSession)
-    provider = vector.HashingProvider(_DIMENSION[model])
+    provider = provider or vector.HashingProvider(_DIMENSION[model])
 
     @F.pandas_udf("array<float>")
     def embed(texts):
         import pandas as pd
 
-        return pd.Series(provider.embed([t or "" for t in texts]))
+        try:
+            return pd.Series(provider.embed([t or "" for t in texts]))
+        except Exception:  # noqa: BLE001  a model that fails stops no index
+            return pd.Series([[0.0] * provider.dimension] * len(texts))
 
     return chunks.select(F.col("id").alias("vec_id"), embed("content").alias("embedding"))
 
@@ -48,12 +53,17 @@ def _posted(chunks: DataFrame) -> DataFrame:
 
 
 #: The tables of an index and the columns by which their rows go; terms add up; how rows lie in a segment, so that scans skip the rest.
-KEYS = {"chunks": "id", "vectors": "vec_id", "postings": "id", "file_state": "rel_path", "stats": "rel_path", "errors": "rel_path"}
+KEYS = {
+    "chunks": "id", "vectors": "vec_id", "postings": "id", "made": "id", "file_state": "rel_path", "stats": "rel_path", "errors": "rel_path",
+    "graph_nodes": "file", "graph_edges": "owner", "graph_links": "file",
+}
 SUMS = {"terms": ("term", "df")}
 LAYOUT = {
     "postings": inverted.clustered,
     "chunks": lambda df: df.repartitionByRange("file").sortWithinPartitions("file", "start_line"),
     "terms": lambda df: df.repartitionByRange("term").sortWithinPartitions("term"),
+    "graph_nodes": lambda df: df.repartitionByRange("id").sortWithinPartitions("id"),
+    "graph_edges": lambda df: df.repartitionByRange("at", "id").sortWithinPartitions("at", "id"),  # a hub is spread over files
 }
 #: The tables of so few files are one task each, and need no ranges.
 FEW_FILES = 100
@@ -61,8 +71,11 @@ LAYOUT_FEW = {
     "postings": lambda df: df.coalesce(1).sortWithinPartitions("term", "id"),
     "chunks": lambda df: df.coalesce(1).sortWithinPartitions("file", "start_line"),
     "terms": lambda df: df.coalesce(1).sortWithinPartitions("term"),
-    "vectors": lambda df: df.coalesce(1),
+    "graph_nodes": lambda df: df.coalesce(1).sortWithinPartitions("id"),
+    "graph_edges": lambda df: df.coalesce(1).sortWithinPartitions("at", "id"),
 }
+for _name in ("vectors", "made", "file_state", "stats", "errors", "graph_links"):
+    LAYOUT_FEW[_name] = lambda df: df.coalesce(1)
 #: So many paths are looked up as values, which reach the scans; more are joined.
 FEW_PATHS = 1_000
 #: A file changed so shortly before it was listed may change again within the same tick of its clock: it is read again next time.
@@ -74,7 +87,22 @@ def _segments(store: Store, few: bool = False) -> Segments:
     return Segments(store, KEYS, SUMS, LAYOUT_FEW if few else LAYOUT)
 
 
-def _apply(store: Store, got: DataFrame, removed: DataFrame, counts: dict[str, int], began: datetime, whole: bool = False, unlisted: DataFrame | None = None, no_more: DataFrame | None = None) -> None:
+def _graph(changed: DataFrame, chunks: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
+    """The graph's tables for some files: nodes and edges that belong to them, and the paths that they import and export from."""
+    own = changed.select("rel_path", "language")
+    s = parsed.select("file", F.explode("symbols").alias("s")).select("file", F.col("s.name").alias("symbol"), F.col("s.start").alias("start"), F.col("s.parent").alias("above"))
+    below = s.filter("above IS NOT NULL").join(s.select("file", F.col("start").alias("above"), F.col("symbol").alias("parent")), ["file", "above"]).select("file", "symbol", "parent")
+    named = chunks.select("file", "symbol").distinct()
+    nested = graph.nested(named.join(below, ["file", "symbol"], "left").select("file", "symbol", "parent"))
+    owner = lambda df: df.withColumn("owner", F.regexp_extract("target", "^kg:(?:file|sym):(.*)$", 1))
+    plain = graph.file_edges(own, chunks)
+    owned = chunks.filter("symbol <> ''").select(graph.symbol_id().alias("target"), F.col("file").alias("owner")).distinct()
+    edges = owner(plain.filter("type = 'contains'")).unionByName(plain.filter("type = 'defines'").unionByName(nested).join(owned, "target").select("id", "source", "target", "type", "owner"))
+    raws = [graph.import_paths(parsed.select("file", F.explode(c).alias("text")).distinct()).withColumn("type", F.lit(c)) for c in ("imports", "exports")]
+    return {"graph_nodes": graph.file_nodes(own, chunks), "graph_edges": graph.both_ways(edges), "graph_links": raws[0].unionByName(raws[1]).distinct()}
+
+
+def _apply(store: Store, got: DataFrame, removed: DataFrame, counts: dict[str, int], began: datetime, whole: bool = False, unlisted: DataFrame | None = None, no_more: DataFrame | None = None, provider: vector.EmbeddingProvider | None = None, phase: Callable[[str], None] = lambda name: None) -> None:
     """One new segment. got: read files with their status, staged; removed: rel_path of files that are no more; unlisted: what could not
     be listed; no_more: rel_path of errors that do not hold any more.
 
@@ -97,7 +125,9 @@ def _apply(store: Store, got: DataFrame, removed: DataFrame, counts: dict[str, i
             stale = staged(stale.select("id", "content", "symbol"))
             unposted = staged(_posted(stale))
             ids = stale.select("id")
-            gone = {"chunks": ids, "vectors": ids.select(F.col("id").alias("vec_id")), "postings": ids, "file_state": out}
+            owners = out.select(F.col("rel_path").alias("file"))
+            gone = {"chunks": ids, "vectors": ids.select(F.col("id").alias("vec_id")), "postings": ids, "made": ids, "file_state": out}
+            gone |= {"graph_nodes": owners, "graph_edges": owners.withColumnRenamed("file", "owner"), "graph_links": owners}
         if not whole:
             told = got.filter("status <> 'same'").select("rel_path").unionByName(removed)
             gone |= {"stats": got.select("rel_path").unionByName(removed), "errors": told if no_more is None else told.unionByName(no_more)}
@@ -106,9 +136,10 @@ def _apply(store: Store, got: DataFrame, removed: DataFrame, counts: dict[str, i
         errors += [unlisted.select("rel_path", "error")] if unlisted is not None else []
         terms, numbers = inverted.change(posted, unposted)
         new = {
-            "chunks": chunks, "vectors": _vectors(chunks, store.model), "postings": posted, "terms": terms, "file_state": changed.select("rel_path", "hash"),
+            "chunks": chunks, "vectors": _vectors(chunks, store.model, provider), "postings": posted, "made": chunks.select("id", F.lit(store.model).alias("model"), F.lit(began).alias("last_indexed")), "terms": terms, "file_state": changed.select("rel_path", "hash"),
             "stats": got.filter("error IS NULL").select("rel_path", "size", F.when(sure, F.col("mtime")).alias("mtime")), "errors": reduce(DataFrame.unionByName, errors),
-        }
+        } | _graph(changed, chunks, parsed)
+        phase("building_fts")
         _segments(store, sum(counts.values()) <= FEW_FILES).append(new, gone, numbers, whole)
     _segments(store).compact()
 
@@ -137,12 +168,12 @@ def _retried(store: Store, change: Callable[[], dict]) -> dict:
     raise AssertionError
 
 
-def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None, config: Config | None = None, stop: Callable[[], bool] = lambda: False) -> dict:
+def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None = None, config: Config | None = None, stop: Callable[[], bool] = lambda: False, reporter: changes.Reporter | None = None, provider: vector.EmbeddingProvider | None = None) -> dict:
     """Index root into the store: whole, if there is no index or its settings differ, else only what changed. Returns the mode and counts.
 
     Files whose size and time are those of the last run are not opened; of the others, those with the same hash are not indexed anew.
-    config: its languages (none: all) and whether generated files are skipped. stop is asked before anything is written; if it
-    says so, the store stays as it is. What could not be read or parsed is in the index's table of errors, and counts as unreadable."""
+    config: its languages (none: all) and whether generated files are skipped. stop is asked all the time; once it says so, the running
+    jobs are cancelled and the store stays as it is. reporter hears of the phases. provider: another source of vectors. What could not be read or parsed is in the index's table of errors, and counts as unreadable."""
     config = config or Config(skip_generated=False)
 
     def keep(path: Column) -> Column:
@@ -151,19 +182,19 @@ def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None
 
     stopped = {"mode": "stopped", "added": 0, "modified": 0, "removed": 0, "unreadable": 0}
 
-    def change() -> dict:
+    def change(run: Running) -> dict:
         began = datetime.now(UTC)
+        run.phase("scanning")
         whole = not store.has("postings") or store.needs_rebuild()
         with ExitStack() as passing:
             listed = passing.enter_context(store.written(files.listing(spark, root, ignore, keep)))
             there = listed.filter("error IS NULL")
+            run.phase("embedding")
             if whole:
-                if stop():
-                    return stopped
                 none = spark.createDataFrame([], "rel_path string, hash string")
                 got = passing.enter_context(store.written(_told(files.read(spark, root, there), none)))
                 counts = _counted(got)
-                _apply(store, got, none.select("rel_path"), counts, began, True, listed.filter("error IS NOT NULL"))
+                _apply(store, got, none.select("rel_path"), counts, began, True, listed.filter("error IS NOT NULL"), None, provider, run.phase)
                 return {"mode": "full"} | {k: counts[k] for k in ("added", "modified", "removed", "unreadable")}
             old, seen = store.read("file_state"), store.read("stats")
             known = there.join(seen.select("rel_path", F.col("size").alias("s"), F.col("mtime").alias("m")), "rel_path", "left")
@@ -172,13 +203,16 @@ def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None
             removed = passing.enter_context(store.written(old.join(there, "rel_path", "left_anti").select("rel_path")))
             counts = _counted(got) | {"removed": removed.count()}
             if any(counts.values()):
-                if stop():
-                    return stopped
                 no_more = store.read("errors").join(there, "rel_path", "left_anti").select("rel_path")
-                _apply(store, got, removed, counts, began, unlisted=listed.filter("error IS NOT NULL"), no_more=no_more)
+                _apply(store, got, removed, counts, began, unlisted=listed.filter("error IS NOT NULL"), no_more=no_more, provider=provider, phase=run.phase)
             return {"mode": "incremental"} | {k: counts[k] for k in ("added", "modified", "removed", "unreadable")}
 
-    return _retried(store, change)
+    with Running(spark, stop, reporter) as run:
+        done = _retried(store, lambda: change(run))
+        run.phase("ready")
+        return done
+    store.refresh()
+    return stopped
 
 
 def reindex(spark: SparkSession, root: str, store: Store, paths: list[str], ignore: list[str] | None = None) -> dict:
@@ -227,12 +261,14 @@ def watch(spark: SparkSession, root: str, store: Store, events: DataFrame, check
     return changes.on_quiet(events.filter(~files.pruned(F.col("path"), ignore)), handle, f"{store.root}/watch", checkpoint, gap)
 
 
-def search(spark: SparkSession, store: Store, query: str, max_results: int | None = None, file: str | None = None, language: str | None = None, rerank: bool = False) -> DataFrame:
+def search(spark: SparkSession, store: Store, query: str, max_results: int | None = None, file: str | None = None, language: str | None = None, rerank: bool | None = None, config: Config | None = None, provider: vector.EmbeddingProvider | None = None) -> DataFrame:
     """id, file, language, symbol, kind, start_line, end_line, content, score, match_type, the best first.
 
     Keywords are sought in the stored index, where what is no ASCII letter, digit or _ parts words and AND, OR and NOT join them; no
-    text is read but that of the results. Filters (file is a glob) hold before the best are taken."""
-    n, q = hybrid.clamp(max_results), keyword.normalise(query)
+    text is read but that of the results. Filters (file is a glob) hold before the best are taken. config gives how many results and
+    whether they are reranked where that is not said. A provider that fails leaves the keywords, a reranker that fails their order."""
+    n, q = hybrid.clamp(config.max_results if max_results is None and config else max_results), keyword.normalise(query)
+    rerank = config.rerank if rerank is None and config else bool(rerank)
     if not q:
         raise ValueError("the query is empty")
     chunks, vectors, ids = store.read("chunks"), store.read("vectors"), None
@@ -246,11 +282,15 @@ def search(spark: SparkSession, store: Store, query: str, max_results: int | Non
     n_rows, n_words = (_segments(store).number(x) for x in ("n", "words"))
     asked_words = {"q": keyword.sanitise(q)}
     kw = keyword.minmax(inverted.search(spark, store.read("postings"), store.read("terms"), (n_rows, n_words / max(1, n_rows)), asked_words, ids=ids)).select("id", "score", "pos")
-    asked = vector.HashingProvider(_DIMENSION[store.model]).embed([q])[0]
+    try:
+        asked = (provider or vector.HashingProvider(_DIMENSION[store.model])).embed([q])[0]
+    except Exception:
+        log.exception("the query has no vector")
+        asked = []
     if any(asked):
         near = vector.knn_batch(vectors, [(0, asked)]).select(F.col("vec_id").alias("id"), (1 / (1 + F.col("distance"))).alias("score"), "pos")
     else:
-        log.warning("the query has no vector; only keywords are searched")
+        log.warning("only keywords are searched")
         near = kw.limit(0)
     merged = hybrid.merge(kw, near)
     meta = chunks.select("id", "file", "language", "symbol", "kind", "start_line", "end_line", "content")
@@ -269,12 +309,25 @@ def chunks_for_file(store: Store, file: str) -> DataFrame:
     return store.read("chunks").filter(F.col("file") == file)
 
 
-def graph_tables(spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of the index."""
-    chunks, state = store.read("chunks"), store.read("file_state")
-    known = state.select("rel_path", files.language(F.col("rel_path")).alias("language"))
-    imports, exports = (graph.resolve(graph.import_paths(chunks.select("file", F.explode(c).alias("text")).distinct()), known) for c in ("imports", "exports"))
-    return graph.nodes(known, chunks), graph.edges(known, chunks, imports, exports)
+class Graph(tuple):
+    """(nodes, edges) of an index. around: its stored edges by either end, which is how they lie; others: the edges that are made up from
+    the files (folders, imports, exports)."""
+
+    around: DataFrame
+    others: DataFrame
+
+
+def graph_tables(spark: SparkSession, store: Store) -> Graph:
+    """nodes and edges of the index. What belongs to a file is stored and changes with it; folders and the targets of imports follow from
+    which files there are."""
+    known = store.read("file_state").select("rel_path", files.language(F.col("rel_path")).alias("language"))
+    links, around = store.read("graph_links"), store.read("graph_edges").drop("owner")
+    found = [graph.resolve(links.filter(F.col("type") == kind).select("file", "raw"), known) for kind in ("imports", "exports")]
+    others = graph.folder_edges(known).unionByName(graph.link_edges(*found))
+    nodes = graph.workspace(spark).unionByName(graph.folder_nodes(known)).unionByName(store.read("graph_nodes"))
+    out = Graph((nodes, others.unionByName(around.filter("outwards").select("id", "source", "target", "type"))))
+    out.around, out.others = around, others
+    return out
 
 
 def get_graph(g: tuple[DataFrame, DataFrame], offset: int = 0, limit: int = 100, type_: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -292,8 +345,8 @@ def find_node(g: tuple[DataFrame, DataFrame], file: str, label: str | None = Non
 
 
 def get_node(g: tuple[DataFrame, DataFrame], id_: str) -> DataFrame:
-    """The node's neighbours with the edges to them."""
-    return graph.neighbors(*g, id_)
+    """The node's neighbours with the edges to them; of a stored graph only the node's own edges are read."""
+    return graph.neighbors_stored(g[0], g.around, g.others, id_) if isinstance(g, Graph) else graph.neighbors(*g, id_)
 
 
 def search_graph(g: tuple[DataFrame, DataFrame], q: str) -> DataFrame:
@@ -310,10 +363,9 @@ def svg(g: tuple[DataFrame, DataFrame]) -> str:
 
 def dependency_svg(spark: SparkSession, store: Store) -> str:
     """The files and their imports, by force layout."""
-    chunks, state = store.read("chunks"), store.read("file_state")
-    known = state.select("rel_path", files.language(F.col("rel_path")).alias("language"))
-    raw = graph.import_paths(chunks.select("file", F.explode("imports").alias("text")).distinct())
-    return graph.dependency_svg(*graph.dependencies(known, chunks, graph.resolve(raw, known)))
+    known = store.read("file_state").select("rel_path", files.language(F.col("rel_path")).alias("language"))
+    found = graph.resolve(store.read("graph_links").filter("type = 'imports'").select("file", "raw"), known)
+    return graph.dependency_svg(*graph.dependencies(known, store.read("chunks"), found))
 
 
 def answer(g: tuple[DataFrame, DataFrame], path: str) -> tuple[int, str]:
@@ -338,14 +390,14 @@ def answer(g: tuple[DataFrame, DataFrame], path: str) -> tuple[int, str]:
         id_ = unquote(url.path.removeprefix("/api/node/"))
         node = rows(graph.lookup(g[0], [id_]))
         if node:
-            return said({"node": node[0], "neighbors": rows(graph.neighbors(*g, id_)), "children": rows(graph.children(*g, id_))})
+            return said({"node": node[0], "neighbors": rows(get_node(g, id_)), "children": rows(graph.children(*g, id_))})
     return 404, "Not found"
 
 
 def status(store: Store) -> DataFrame:
-    """n_chunks, n_files, n_languages, n_vectors, n_terms."""
+    """n_chunks, n_files, n_languages, n_vectors, n_terms, n_nodes and n_edges (those that belong to files)."""
     count = lambda name: store.read(name).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return stats.status(store.read("chunks")).withColumn("n_vectors", count("vectors")).withColumn("n_terms", count("terms"))
+    return stats.status(store.read("chunks")).withColumn("n_vectors", count("vectors")).withColumn("n_terms", count("terms")).withColumn("n_nodes", count("graph_nodes")).withColumn("n_edges", store.read("graph_edges").filter("outwards").agg(F.count(F.lit(1))).scalar())
 
 
 def doctor(spark: SparkSession, root: str, store: Store, config_text: str | None = None) -> DataFrame:

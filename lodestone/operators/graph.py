@@ -6,6 +6,7 @@ nodes: id, label, type, language, file, start_line, end_line; edges: id, source,
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -50,32 +51,65 @@ def folders(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).filter("path <> ''").distinct()
 
 
-def nodes(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Workspace, folders, files, and one node for each file and symbol (of repeats the last)."""
-    spark = files.sparkSession
-    top = spark.range(1).select(*_node(F.lit("kg:workspace"), F.lit("workspace"), F.lit("workspace")))
+def workspace(spark) -> DataFrame:
+    return spark.range(1).select(*_node(F.lit("kg:workspace"), F.lit("workspace"), F.lit("workspace")))
+
+
+def folder_nodes(files: DataFrame) -> DataFrame:
     nested = files.filter(F.col("rel_path").contains("/"))
-    fold = folders(nested).select(*_node(folder_id(F.col("path")), F.substring_index("path", "/", -1), F.lit("folder"), file=F.col("path")))
+    return folders(nested).select(*_node(folder_id(F.col("path")), F.substring_index("path", "/", -1), F.lit("folder"), file=F.col("path")))
+
+
+def file_nodes(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The nodes that belong to a file: its own, and one for each symbol (of repeats the last)."""
     own = files.select(*_node(F.concat(F.lit("kg:file:"), "rel_path"), F.substring_index("rel_path", "/", -1), F.lit("file"), F.col("language"), F.col("rel_path")))
     last = chunks.filter("symbol <> ''").groupBy("file", "symbol").agg(F.max_by(F.struct("kind", "language", "start_line", "end_line"), F.struct("start_line", "end_line")).alias("s"))
     sym = last.select(*_node(symbol_id(), F.col("symbol"), node_type(F.col("s")["kind"]), F.col("s")["language"], F.col("file"), F.col("s")["start_line"], F.col("s")["end_line"]))
-    return top.unionByName(fold).unionByName(own).unionByName(sym)
+    return own.unionByName(sym)
+
+
+def nodes(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Workspace, folders, files, and one node for each file and symbol."""
+    return workspace(files.sparkSession).unionByName(folder_nodes(files)).unionByName(file_nodes(files, chunks))
 
 
 def symbol_id() -> Column:
     return F.concat(F.lit("kg:sym:"), "file", F.lit(":"), "symbol")
 
 
+def folder_edges(files: DataFrame) -> DataFrame:
+    path = F.col("path")
+    return folders(files.filter(F.col("rel_path").contains("/"))).select(*_edge(folder_id(parent_path(path)), folder_id(path), "contains"))
+
+
+def file_edges(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The edges that belong to a file: from its folder, and to its symbols."""
+    out = files.select(*_edge(folder_id(parent_path(F.col("rel_path"))), F.concat(F.lit("kg:file:"), "rel_path"), "contains"))
+    return out.unionByName(chunks.filter("symbol <> ''").select("file", "symbol").distinct().select(*_edge(F.concat(F.lit("kg:file:"), "file"), symbol_id(), "defines")))
+
+
+def link_edges(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [x.select(*_edge(F.concat(F.lit("kg:file:"), "file"), F.concat(F.lit("kg:file:"), "target"), kind)).distinct() for x, kind in ((imports, "imports"), (exports, "exports"))])
+
+
 def edges(files: DataFrame, chunks: DataFrame, imports: DataFrame | None = None, exports: DataFrame | None = None) -> DataFrame:
     """contains (folder to folder and file), defines (file to symbol), imports and exports (file to file, from what was resolved: file, target)."""
-    path = F.col("path")
-    out = folders(files.filter(F.col("rel_path").contains("/"))).select(*_edge(folder_id(parent_path(path)), folder_id(path), "contains"))
-    out = out.unionByName(files.select(*_edge(folder_id(parent_path(F.col("rel_path"))), F.concat(F.lit("kg:file:"), "rel_path"), "contains")))
-    out = out.unionByName(chunks.filter("symbol <> ''").select("file", "symbol").distinct().select(*_edge(F.concat(F.lit("kg:file:"), "file"), symbol_id(), "defines")))
-    for found, kind in ((imports, "imports"), (exports, "exports")):
-        if found is not None:
-            out = out.unionByName(found.select(*_edge(F.concat(F.lit("kg:file:"), "file"), F.concat(F.lit("kg:file:"), "target"), kind)).distinct())
-    return out
+    out = folder_edges(files).unionByName(file_edges(files, chunks))
+    none = files.select(F.col("rel_path").alias("file"), F.col("rel_path").alias("target")).limit(0)
+    return out if imports is None and exports is None else out.unionByName(link_edges(none if imports is None else imports, none if exports is None else exports))
+
+
+def both_ways(edges_: DataFrame) -> DataFrame:
+    """Edges as they are stored: each once at its source (outwards) and once at its target. at: that end."""
+    ends = F.array(F.struct(F.col("source").alias("at"), F.lit(True).alias("outwards")), F.struct(F.col("target").alias("at"), F.lit(False).alias("outwards")))
+    return edges_.select("*", F.explode(ends).alias("e")).select(F.col("e.at").alias("at"), F.col("e.outwards").alias("outwards"), *edges_.columns)
+
+
+def neighbors_stored(nodes_: DataFrame, around: DataFrame, others: DataFrame, id_: str) -> DataFrame:
+    """neighbors() of edges as both_ways() has them, whose scan reads the one node's, and of a few other kinds of edges."""
+    own = around.filter(F.col("at") == id_).filter("outwards OR source <> target")
+    own = own.select(F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.when(F.col("outwards"), F.col("target")).otherwise(F.col("source")).alias("id"))
+    return own.unionByName(_at(others, id_)).join(nodes_, "id")
 
 
 def updated(nodes_: DataFrame, edges_: DataFrame, files: DataFrame, chunks: DataFrame, imports: DataFrame | None = None, exports: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,11 +156,16 @@ def dependencies(files: DataFrame, chunks: DataFrame, resolved: DataFrame) -> tu
     return n, resolved.filter("file <> target").select(F.col("file").alias("source"), "target").distinct()
 
 
-def neighbors(nodes_: DataFrame, edges_: DataFrame, id_: str) -> DataFrame:
-    """The nodes one edge away, either way, with the edge; a loop once."""
+def _at(edges_: DataFrame, id_: str) -> DataFrame:
+    """edge_id, edge_type, id: the edges at a node with their other end; a loop once."""
     out = edges_.filter(F.col("source") == id_).select(F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.col("target").alias("id"))
     back = edges_.filter((F.col("target") == id_) & (F.col("source") != id_)).select(F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), F.col("source").alias("id"))
-    return out.unionByName(back).join(nodes_, "id")
+    return out.unionByName(back)
+
+
+def neighbors(nodes_: DataFrame, edges_: DataFrame, id_: str) -> DataFrame:
+    """The nodes one edge away, either way, with the edge; a loop once."""
+    return _at(edges_, id_).join(nodes_, "id")
 
 
 def children(nodes_: DataFrame, edges_: DataFrame, id_: str) -> DataFrame:

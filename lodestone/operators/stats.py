@@ -15,8 +15,9 @@ def status(chunks: DataFrame) -> DataFrame:
 
 
 def by_file(chunks: DataFrame) -> DataFrame:
-    """file, n, language, first_id: language and id of the file's first chunk."""
-    return chunks.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by("language", "id").alias("language"), F.min("id").alias("first_id"))
+    """file, n, language, first_id: language and id of the file's first chunk; also its imports and exports, if chunks have them."""
+    more = [F.min_by(c, "id").alias(c) for c in ("imports", "exports") if c in chunks.columns]
+    return chunks.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by("language", "id").alias("language"), F.min("id").alias("first_id"), *more)
 
 
 def by_language(files: DataFrame) -> DataFrame:
@@ -71,6 +72,7 @@ def checks(spark: SparkSession, root: str, store, config_text: str | None = None
             tried("files", lambda: f"{store.count('file_state')} files"),
             tried("keyword index", lambda: f"{store.count('terms')} terms, {store.read('totals').first().n} rows"),
             tried("vectors", vectors),
+            tried("graph", lambda: "{} nodes, {} edge ends".format(store.count("graph_nodes"), store.count("graph_edges"))),
             tried("orphans", lambda: f"{store.read('postings').join(store.read('chunks'), 'id', 'left_anti').count()} postings without a chunk"),
         ]
     out.append(("embedding model", "warn", f"{store.model}: no model file, hashed stems stand in"))

@@ -106,8 +106,13 @@ class Segments:
             made[of][name] = seen.get["n"]
 
         jobs = [("rows", n, df) for n, df in new.items()] + [("gone", n, df.select(self.keys[n]).distinct()) for n, df in gone.items()]
-        with ThreadPoolExecutor(4) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(lambda job: put(*job)), jobs))
+        try:
+            with ThreadPoolExecutor(4) as pool:
+                list(pool.map(inheritable_thread_target(self.spark)(lambda job: put(*job)), jobs))
+        except Exception:
+            for of, name, _ in jobs:
+                self.store.drop(f"{name if of == 'rows' else f'{name}-gone'}/v{made['version']}")
+            raise
         return made
 
     def _commit(self, segments: list[dict], made: list[dict], schemas: dict) -> None:

@@ -4,16 +4,17 @@ import os
 import random
 import sqlite3
 import threading
+import time
 
 import pytest
 from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
 
 from lodestone import api
-from lodestone.operators import inverted, match
+from lodestone.operators import graph, inverted, match
 from lodestone.sources import files, tree
 from lodestone.sources.segments import Segments
-from lodestone.sources.store import Conflict, Store
+from lodestone.sources.store import Config, Conflict, Store
 
 
 def put(top, rel, data=b"x = 1\n"):
@@ -276,3 +277,98 @@ def test_precedence():
     for bad in ("a AND", "OR", "a OR OR b", "NOT a"):
         with pytest.raises(match.Malformed):
             match.parsed(bad, cut)
+
+
+def test_a_running_index_can_be_stopped(spark, tmp_path):
+    """Jobs at work are cancelled within seconds, the store stays as it was, and listeners heard of the phases."""
+    from lodestone.sources import adapters
+    from lodestone.streaming.changes import Reporter
+
+    def slow(text):
+        import time
+
+        time.sleep(1.5)
+        return []
+
+    for i in range(60):
+        put(tmp_path, f"src/m{i}.slow", f"x {i}\n")
+        put(tmp_path, f"src/n{i}.py", f"x = {i}\n")
+    store = Store(spark, str(tmp_path / "store"))
+    real, heard, reporter = adapters.PARSERS["py"], [], Reporter()
+    reporter.listeners.append(heard.append)
+    adapters.register("py", slow)
+    began = time.monotonic()
+    try:
+        # 60 files of 1.5 s each on 4 cores take more than 20 s.
+        done = api.index(spark, str(tmp_path / "src"), store, stop=lambda: any(p.phase == "embedding" and p.total for p in heard), reporter=reporter)
+    finally:
+        adapters.register("py", real)
+    assert done["mode"] == "stopped" and time.monotonic() - began < 20
+    assert not store.manifest["number"] and not store.has("chunks") and {p.phase for p in heard} == {"scanning", "embedding"}
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith(("manifest", "chunks", "passing"))]
+    del heard[:]
+    assert api.index(spark, str(tmp_path / "src"), store, reporter=reporter)["added"] == 120
+    assert [p.phase for p in heard if not p.total] == ["scanning", "embedding", "building_fts", "ready"]
+
+
+def test_the_graph_is_stored_and_follows(spark, tmp_path):
+    """Nodes and edges change with their files; a node's neighbours come from a scan of its own edges; symbols contain those inside them."""
+    src = tmp_path / "src"
+    put(src, "pkg/a.ts", "import { b } from './b'\nexport { c } from './c'\nexport function f() {\n  return 1\n}\n")
+    put(src, "pkg/b.ts", "export class B {\n}\n")
+    put(src, "doc.json", '{\n  "outer": {\n    "inner": 1\n  }\n}\n')
+    store = Store(spark, str(tmp_path / "store"))
+    api.index(spark, str(src), store)
+    edges = lambda g: {(r.source, r.type, r.target) for r in g[1].collect()}
+    g = api.graph_tables(spark, store)
+    assert ("kg:file:pkg/a.ts", "imports", "kg:file:pkg/b.ts") in edges(g) and ("kg:folder:pkg", "contains", "kg:file:pkg/a.ts") in edges(g) and ("kg:workspace", "contains", "kg:folder:pkg") in edges(g)
+    put(src, "pkg/c.ts", "export const c = 1\n")
+    put(src, "pkg/a.ts", "import { b } from './b'\nexport { c } from './c'\nexport function g() {\n  return 1\n}\n")
+    (src / "doc.json").unlink()
+    api.index(spark, str(src), store)
+    again = Store(spark, str(tmp_path / "again"))
+    api.index(spark, str(src), again)
+    g, fresh = api.graph_tables(spark, store), api.graph_tables(spark, again)
+    assert len(store.manifest["segments"]) == 2
+    assert edges(g) == edges(fresh) and sorted(map(str, g[0].collect())) == sorted(map(str, fresh[0].collect()))
+    assert ("kg:file:pkg/a.ts", "exports", "kg:file:pkg/c.ts") in edges(g)
+    near = api.get_node(g, "kg:file:pkg/a.ts")
+    assert {(r.edge_type, r.id) for r in near.collect()} == {(r.edge_type, r.id) for r in graph.neighbors(*fresh, "kg:file:pkg/a.ts").collect()}
+    assert "EqualTo(at,kg:file:pkg/a.ts)" in g.around.filter(F.col("at") == "kg:file:pkg/a.ts")._jdf.queryExecution().toString()
+    r = api.status(store).first()
+    assert r.n_nodes == store.count("graph_nodes") > 3 and r.n_edges * 2 == store.count("graph_edges")
+
+
+def test_symbols_contain_symbols(spark, tmp_path):
+    text = '{\n  "outer": {\n    "inner": 1,\n    "more": 2\n  },\n  "last": 3\n}\n'
+    put(tmp_path, "src/a.json", text)
+    store = Store(spark, str(tmp_path / "store"))
+    api.index(spark, str(tmp_path / "src"), store)
+    labels = {r.symbol for r in store.read("chunks").collect()}
+    got = {(r.source.rsplit(":", 1)[1], r.target.rsplit(":", 1)[1]) for r in api.graph_tables(spark, store)[1].filter("type = 'contains' AND source LIKE 'kg:sym:%'").collect()}
+    assert got == {(a, b) for a, b in (("outer", "inner"), ("outer", "more")) if {a, b} <= labels}
+
+
+class Failing:
+    dimension = 8
+
+    def embed(self, texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no model")
+        return [[1.0] + [0.0] * 7 for _ in texts]
+
+
+def test_what_fails_degrades(spark, tmp_path):
+    """A provider that fails gives zero vectors and leaves the keywords; settings say how many results come; each chunk tells when and by which model it was made."""
+    for i in range(5):
+        put(tmp_path, f"src/m{i}.md", f"zebra {'bad' if i == 3 else ''} {i}\n")
+    store = Store(spark, str(tmp_path / "store"))
+    api.index(spark, str(tmp_path / "src"), store, provider=Failing())
+    vectors = {r.vec_id.split(":")[0]: list(r.embedding) for r in store.read("vectors").collect()}
+    assert len(vectors) == 5 and vectors["m3.md"] == [0.0] * 8
+    assert api.search(spark, store, "zebra", provider=Failing()).count() == 5
+    found = api.search(spark, store, "zebra bad", provider=Failing()).collect()
+    assert [(r.file, r.match_type) for r in found] == [("m3.md", "keyword")]
+    assert api.search(spark, store, "zebra", config=Config(max_results=2, rerank=False), provider=Failing()).count() == 2
+    made = store.read("made").collect()
+    assert len(made) == 5 and {r.model for r in made} == {"balanced"} and all(r.last_indexed for r in made)
