@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -121,9 +122,10 @@ def _phrase_places(spark: SparkSession, posted: DataFrame, asked: list[tuple]) -
 def search(spark: SparkSession, posted: DataFrame, vocabulary: DataFrame, total: DataFrame | tuple[int, float], queries: dict[str, str], k: int = 2 * TOP_K, analyser: str = "porter", ids: DataFrame | None = None) -> DataFrame:
     """query_id, id, rank (negative BM25, least is best), pos: the k best rows that match a query. ids: the only rows that count, if given.
 
-    A query is words, all of which must be there, or words joined by AND, OR and NOT; a malformed one matches nothing. The terms reach
-    the scan of the postings as a filter; how many rows hold a word is known from the vocabulary. A phrase of several words counts as
-    a term of its own. Ranks are rounded to 9 places, so that the order of a sum decides no tie. total: n and avgdl."""
+    A query is words, all of which must be there, or words joined by AND, OR and NOT; a malformed one matches nothing. How many rows
+    hold each of the asked words is looked up first; then the terms reach the scan of the postings as a filter, and what is asked of
+    each is part of the plan, so that only the rows' sums are shuffled. A phrase of several words counts as a term of its own. Ranks
+    are rounded to 9 places, so that the order of a sum decides no tie. total: n and avgdl."""
     asked: dict[str, tuple[list[list[str]], match.Match]] = {}
     for q, text in queries.items():
         try:
@@ -131,14 +133,22 @@ def search(spark: SparkSession, posted: DataFrame, vocabulary: DataFrame, total:
         except match.Malformed:
             pass
     need = {q: len(ps) if m.plain else 0 for q, (ps, m) in asked.items()}
-    words = [(q, need[q], i, p[0]) for q, (ps, _) in asked.items() for i, p in enumerate(ps) if len(p) == 1]
+    terms_ = sorted({p[0] for ps, _ in asked.values() for p in ps if len(p) == 1})
+    known = {r.term: r.df for r in vocabulary.filter(F.col("term").isin(terms_)).collect()} if terms_ else {}  # as many as were asked
+    words = [(p[0], q, need[q], i) for q, (ps, _) in asked.items() for i, p in enumerate(ps) if len(p) == 1 and p[0] in known]
     longer = [(q, need[q], i, len(p), off, t) for q, (ps, _) in asked.items() for i, p in enumerate(ps) if len(p) > 1 for off, t in enumerate(p)]
     names = ["query_id", "need", "phrase", "id", "dl", "tf", "df"]
-    own = F.col("term").isin(sorted({w[-1] for w in words}))
-    want = vocabulary.filter(own).join(F.broadcast(spark.createDataFrame(words, "query_id string, need int, phrase int, term string")), "term")
-    tf = posted.filter(own).join(F.broadcast(want), "term").select(*names)
+    if not words and not longer:
+        return spark.createDataFrame([], f"query_id string, id {posted.schema['id'].dataType.simpleString()}, rank double, pos int")
+    parts = []
+    if words:
+        want = lambda w: F.struct(F.lit(w[1]).alias("query_id"), F.lit(w[2]).alias("need"), F.lit(w[3]).alias("phrase"), F.lit(known[w[0]]).cast("long").alias("df"))
+        each = [x for t in terms_ if t in known for x in (F.lit(t), F.array(*[want(w) for w in words if w[0] == t]))]
+        hits = posted.filter(F.col("term").isin([t for t in terms_ if t in known])).select("id", "dl", "tf", F.explode(F.element_at(F.create_map(*each), F.col("term"))).alias("w"))
+        parts.append(hits.select("id", "dl", "tf", "w.*").select(*names))
     if longer:
-        tf = tf.unionByName(_phrase_places(spark, posted, longer).select(*names))
+        parts.append(_phrase_places(spark, posted, longer).select(*names))
+    tf = reduce(DataFrame.unionByName, parts)
     if ids is not None:
         tf = tf.join(ids.select("id"), "id", "left_semi")
     # A table of totals is read by subqueries of one value.

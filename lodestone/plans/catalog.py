@@ -229,7 +229,9 @@ def stored(spark, d, analyser: str = "plain") -> Store:
 
 def _hits(spark, d, asked: dict[str, str], k: int, analyser: str = "plain") -> DataFrame:
     store = stored(spark, d, analyser)
-    found = inverted.search(spark, store.read("postings"), store.read("terms"), store.read("totals"), asked, k, analyser)
+    if not hasattr(store, "known_totals"):  # of a version, which does not change
+        store.known_totals = tuple(store.read("totals").select("n", "avgdl").first())
+    found = inverted.search(spark, store.read("postings"), store.read("terms"), store.known_totals, asked, k, analyser)
     return found.select("query_id", F.col("id").alias("doc_id"), "rank", "pos")
 
 

@@ -105,7 +105,7 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.manifest = self._read()
+        self.manifest, self._known = self._read(), {}
 
     def _numbers(self) -> list[int]:
         """The numbers of the manifests that there are, in order."""
@@ -191,7 +191,10 @@ class Store:
         if name == "totals" and self.manifest.get("segments"):
             n, words = (sum(s["numbers"].get(k, 0) for s in self.manifest["segments"]) for k in ("n", "words"))
             return self.spark.createDataFrame([(n, words / n if n else 0.0)], "n long, avgdl double")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self.manifest['tables'][name]}")
+        path = f"{self.root}/{name}/v{self.manifest['tables'][name]}"
+        if path not in self._known:  # a version's columns are found once
+            self._known = {p: s for p, s in self._known.items() if not p.startswith(f"{self.root}/{name}/")} | {path: self.spark.read.parquet(path).schema}
+        return self.spark.read.schema(self._known[path]).parquet(path)
 
     def count(self, name: str) -> int:
         return self.read(name).count()
