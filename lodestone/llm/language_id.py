@@ -81,7 +81,7 @@ def _mixtures(like: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[np
     document, one after another. A document stops when its own proportions do, so nothing depends on what it is fitted with."""
     langs = like.shape[1]
     ones, out = np.ones(langs), np.full((len(size), langs), 1 / langs)
-    todo, now, n, at, weigh = np.arange(len(size)), out, size, like, count.astype(float)
+    todo, now, n, at, weigh = np.arange(len(size)), out.copy(), size, like, count.astype(float)
     for _ in range(STEPS):
         starts = np.cumsum(n) - n
         joint = at * np.repeat(now, n, axis=0)

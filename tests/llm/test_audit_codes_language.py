@@ -17,8 +17,8 @@ from . import plain
 
 def audited(docs, labels):
     """The contract, one document and order at a time."""
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, x in labels if x == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
     firsts = {}
     for d, t, _ in docs:
         if d is not None:
