@@ -370,13 +370,19 @@ def dependency_svg(spark: SparkSession, store: Store) -> str:
 
 def answer(g: tuple[DataFrame, DataFrame], path: str) -> tuple[int, str]:
     """Status and JSON of a graph request: /api/graph?offset=&limit= (a page of nodes and the edges among them), /api/stats,
-    /api/search?q=, /api/node/<id>; anything else is not found."""
+    /api/search?q=, /api/node/<id>; anything else is not found. Numbers that are none are a bad request, with an error to read."""
     url = urlsplit(path)
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     said = lambda x: (200, json.dumps(x))
     if url.path == "/api/graph":
         asked = parse_qs(url.query)
-        nodes = graph.page(g[0], int(asked.get("offset", ["0"])[0]), int(asked.get("limit", ["1000"])[0])).cache()
+        try:
+            offset, limit = (int(asked.get(k, [d])[0]) for k, d in (("offset", "0"), ("limit", "1000")))
+            if offset < 0 or limit < 0:
+                raise ValueError("offset and limit are not below 0")
+        except ValueError as e:
+            return 400, json.dumps({"error": str(e)})
+        nodes = graph.page(g[0], offset, limit).cache()
         try:
             return said({"nodes": rows(nodes), "edges": rows(graph.attached(nodes, g[1]))})
         finally:

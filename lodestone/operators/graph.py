@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: Node types of symbol kinds; any other kind is a module.
 KINDS = {"struct": "class", "trait": "interface", "constant": "variable", "property": "variable", "namespace": "module"} | {
     k: k for k in "class interface enum function method variable module package constructor extension field type_alias document section table selector rule actor object protocol".split()
@@ -205,11 +208,11 @@ def degrees(edges_: DataFrame) -> DataFrame:
 
 
 def search_with_degree(nodes_: DataFrame, edges_: DataFrame, q: str, limit: int = 30) -> DataFrame:
-    hit = search(nodes_, q).orderBy("id").limit(limit)
-    # Only the edges at the few hits are counted; the hits are bounded by the limit.
-    at = lambda end: edges_.select(F.col("source"), F.col("target"), F.col(end).alias("id")).join(F.broadcast(hit.select("id")), "id", "left_semi")
-    ends = at("source").unionByName(at("target").filter("source <> target"))
-    return hit.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").fillna(0, ["degree"])
+    """The first hits by id with the number of their edges. The hits, `limit` at most, are found once; their ids then reach the edges' scan."""
+    found = search(nodes_, q).orderBy("id").limit(limit).collect()
+    hit, ids = nodes_.sparkSession.createDataFrame(found, nodes_.schema), [r.id for r in found]
+    ends = edges_.filter(F.col("source").isin(ids)).select(F.col("source").alias("id")).unionByName(edges_.filter(F.col("target").isin(ids) & (F.col("source") != F.col("target"))).select(F.col("target").alias("id")))
+    return hit.join(F.broadcast(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))), "id", "left").fillna(0, ["degree"])
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -242,18 +245,19 @@ def connected(nodes_: DataFrame, edges_: DataFrame, id_: str, most: int = 5) ->
 
 
 def subtree(edges_: DataFrame, root: str) -> DataFrame:
-    """id, depth: what root contains, each node at its least depth, level by level until no new one is found."""
+    """id, depth: what root contains, each node at its least depth, level by level until no new one is found. Levels are written to the
+    shared folder, so that the plan does not grow with them and a lost executor costs one level at most."""
     spark = edges_.sparkSession
     step = edges_.filter("type = 'contains'").select("source", "target")
-    seen, depth = spark.createDataFrame([(root, 0)], "id string, depth int"), 0
-    while True:
-        level = seen.filter(F.col("depth") == depth).select(F.col("id").alias("source"))
-        found = step.join(level, "source", "left_semi").select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
-        depth += 1
-        found = found.select("id", F.lit(depth).alias("depth")).persist()
-        if found.isEmpty():
+    path, kind = shared_folder(spark, "subtree"), "id string, depth int"
+    level = spark.createDataFrame([(root, 0)], kind)
+    for depth in count(1):
+        level.select("id").write.parquet(f"{path}/depth={depth - 1}")
+        seen = spark.read.schema(kind).parquet(path)
+        last = seen.filter(F.col("depth") == depth - 1).select(F.col("id").alias("source"))
+        if last.isEmpty():
             return seen
-        seen = seen.unionByName(found)
+        level = step.join(last, "source", "left_semi").select(F.col("target").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
 
 
 def circle(nodes_: DataFrame, width: float = 1200, height: float = 800) -> DataFrame:

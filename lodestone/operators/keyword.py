@@ -47,10 +47,10 @@ def frequencies(posted: DataFrame, key: str) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, text: Column) -> DataFrame:
-    """term, n (occurrences), df (rows with the term). A row's terms are sorted inside the row, which tells its first ones: only sums are shuffled."""
-    own = rows.select(F.sort_array(words(text)).alias("w"))
-    each = own.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("w", i - 1) != x)).alias("first")))).alias("e"))
-    return each.groupBy("e.term").agg(F.count(F.lit(1)).alias("n"), F.count_if("e.first").alias("df"))
+    """term, n (occurrences), df (rows with the term). A row's words, and its distinct words, are counted before anything is shuffled: only sums are."""
+    own = rows.select(words(text).alias("w")).select(F.posexplode(F.array("w", F.array_distinct("w"))).alias("k", "w"))
+    each = own.select("k", F.explode("w").alias("term"))
+    return each.groupBy("term").agg(F.count_if(F.col("k") == 0).alias("n"), F.count_if(F.col("k") == 1).alias("df"))
 
 
 def match_all(rows: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:

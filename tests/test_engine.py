@@ -150,6 +150,7 @@ def test_reindex_watch_and_lookups(spark, tmp_path):
     node = api.find_node(g, "m2.py").first()
     assert node.id == "kg:file:m2.py" and api.find_node(g, "m2.py", "f2").first().type == "function" and api.get_nodes(g, [node.id, "none"]).count() == 1
     code, page = api.answer(g, "/api/node/kg%3Afile%3Am2.py")
+    assert api.answer(g, "/api/graph?offset=x")[0] == 400 and "error" in json.loads(api.answer(g, "/api/graph?limit=-1")[1])
     assert code == 200 and json.loads(page)["node"]["id"] == node.id and len(json.loads(page)["neighbors"]) >= 2
     assert api.answer(g, "/api/node/none") == (404, "Not found") and api.answer(g, "/x")[0] == 404
     assert json.loads(api.answer(g, "/api/stats")[1])["file"] == 3 and json.loads(api.answer(g, "/api/search?q=m2")[1])[0]["file"] == "m2.py"
