@@ -743,18 +743,33 @@ def sym_html_elements(spark, d):
     return s.groupBy(F.col("file").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Languages and what begins a comment of theirs that goes to the end of the line.
+_COMMENTED = dict.fromkeys("ts js go rs java c cpp csharp php swift kotlin dart scala solidity salesforce".split(), "// ") | dict.fromkeys("py rb dockerfile yaml toml terraform config".split(), "# ") | dict.fromkeys("sql lua haskell".split(), "-- ")
+#: Others, and what begins and ends a comment over lines, and what of a text would end it.
+_BLOCKS = dict.fromkeys("css json".split(), ("/* ", " */", "/")) | dict.fromkeys("html xml vue svelte svg markdown astro documentation".split(), ("<!-- ", " -->", ">"))
+
+
 def _snippet(key: str, expected: list[tuple]) -> None:
-    """A query that extracts the symbols of a snippet, and as SQL what they must be."""
+    """A query that extracts symbols, and as SQL what they must be: of files that begin with the lines of a document as a comment, where the
+    language has any, so that the lines of all symbols follow from the documents; else of a snippet alone."""
+    [(file, code)] = [(f, c) for k, f, c in SNIPPETS if k == key]
+    mark, block = _COMMENTED.get(key), _BLOCKS.get(key)
+    whole = mark or block
 
     def run(spark, d):
-        s = spark.createDataFrame([x for x in SNIPPETS if x[0] == key], "language string, file string, text string")
+        if whole:
+            lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(mark), x)) if mark else F.array(F.concat(F.lit(block[0]), F.replace("text", F.lit(block[2]), F.lit(" ")), F.lit(block[1])))
+            s = t(spark, d, "documents").select(F.lit(key).alias("language"), F.concat(F.lit("d"), "doc_id", F.lit(f"/{file}")).alias("file"), F.concat(F.array_join(lines, "\n"), F.lit("\n"), F.lit(code)).alias("text"))
+        else:
+            s = spark.createDataFrame([(key, file, code)], "language string, file string, text string")
         return adapters.symbols(s).select("file", "seq", "name", "type", "start_line", "end_line")
 
-    file = next(f for k, f, _ in SNIPPETS if k == key)
     QUERIES[f"sym_{key}"] = run
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(file)}, {i}, {quoted(n)}, '{k}', {a}, {b})" for i, (n, k, a, b) in enumerate(expected))
-    ORACLE_SQL[f"sym_{key}"] = f"SELECT * FROM (VALUES {rows}) v(file, seq, name, type, start_line, end_line)"
+    found = f"(VALUES {rows}) v(file, seq, name, type, start_line, end_line)"
+    above = "len(string_split(text, chr(10)))"
+    ORACLE_SQL[f"sym_{key}"] = f"SELECT 'd' || doc_id || '/' || v.file AS file, seq, name, type, (start_line + {above})::INTEGER AS start_line, (end_line + {above})::INTEGER AS end_line FROM documents, {found}" if whole else f"SELECT * FROM {found}"
 
 
 def _register_snippets() -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import weakref
@@ -20,12 +21,17 @@ def ship(spark: SparkSession) -> None:
         return
     own = os.path.dirname(os.path.abspath(__file__))
     root, package = os.path.split(own)
-    target = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), f"{package}.zip")
+    made_in = tempfile.mkdtemp(prefix="lodestone-")
+    target = os.path.join(made_in, f"{package}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(own):
             for name in sorted(names):
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     out.write(path, os.path.relpath(path, root))
-    sc.addPyFile(target)
+    # Named by its contents: a session that shipped other files before takes these beside them.
+    with open(target, "rb") as f:
+        named = os.path.join(made_in, f"{package}-{hashlib.sha256(f.read()).hexdigest()[:12]}.zip")
+    os.rename(target, named)
+    sc.addPyFile(named)
     _shipped.add(sc)
