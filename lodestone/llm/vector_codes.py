@@ -131,7 +131,7 @@ def blocks(vectors: DataFrame, books: Codebooks, small: np.dtype) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(at, BLOCK) for x in batches for at in range(0, x.num_rows, BLOCK)):
             flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = np.floor(flat * SCALE).astype(np.int64).reshape(b.num_rows, -1)
+            x = np.floor(flat * SCALE).astype(np.int64).reshape(b.num_rows, books.entries.shape[0] * books.entries.shape[2])
             yield pa.RecordBatch.from_arrays(_rounded(b.column("vec_id"), b.column("label"), x, small, books, None, None)[0], _COLUMNS)
 
     return vectors.mapInArrow(run, f"ids array<{kinds['vec_id']}>, labels array<{kinds['label']}>, x binary, codes binary, bounds binary, sums array<long>, scanned long")
@@ -201,7 +201,7 @@ def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     small = np.dtype(np.int16 if largest < 1 << 15 else np.int32)
     least = vectors.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).select("embedding").collect()  # the first entries
     first = np.floor(np.array([r.embedding for r in least], np.float64) * SCALE).astype(np.int64)
-    books = Codebooks.start(np.ascontiguousarray(first.reshape(len(least), parts, -1).transpose(1, 0, 2)))
+    books = Codebooks.start(np.ascontiguousarray(first.reshape(len(least), parts, shape.low // parts).transpose(1, 0, 2)))
     state = stage(blocks(vectors, books, small), "blocks")
     books = books.moved(*_totals(state, books))
     for _ in range(rounds - 1):
@@ -223,7 +223,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
 
     Null vectors and those with null or non-finite components are dropped. A null vec_id is kept and comes last among the first
     entries; rows with the same vec_id are ordered by their vectors and each give a row. With fewer vectors than entries the
-    codebooks are smaller; without any there are no rows. Null labels are one label. Vectors of different lengths, or of one that is
+    codebooks are smaller; without any there are no rows. Vectors without components all have the first codes and no error. Null labels are one label. Vectors of different lengths, or of one that is
     no multiple of the parts, and components beyond 16,383 are refused with a ValueError. Other columns are not read."""
     good = kept(vectors)
     trained = train(good, parts, entries, rounds)

@@ -141,6 +141,8 @@ def test_vector_codes_of_odd_tables(spark):
     for bad in ([(1, [0.5] * 8, 1), (2, [0.5] * 16, 1)], [(1, [0.5] * 9, 1)], [(1, [1e9] * 8, 1)]):
         with pytest.raises(ValueError):
             vector_codes.compress(spark.createDataFrame(bad, df.schema))
+    none = vector_codes.compress(spark.createDataFrame([(1, [], 1), (2, [], None)], df.schema)).collect()
+    assert [(r.code, r.error) for r in none] == [("00" * 8, 0)] * 2 and none[0].codebooks_sha256 == plain.sha("")
     one = vector_codes.compress(spark.createDataFrame([(None, [0.5] * 8, None)], df.schema)).first()
     assert one.code == "00" * 8 and one.error == 0 == one.label_error
 
