@@ -81,6 +81,8 @@ FEW_PATHS = 1_000
 #: A file changed so shortly before it was listed may change again within the same tick of its clock: it is read again next time.
 TICK_S = 2
 RETRIES = 3
+#: Seconds after which what cancelled jobs still wrote is deleted.
+LEFT_S = 5
 
 
 def _segments(store: Store, few: bool = False) -> Segments:
@@ -211,7 +213,7 @@ def index(spark: SparkSession, root: str, store: Store, ignore: list[str] | None
         done = _retried(store, lambda: change(run))
         run.phase("ready")
         return done
-    store.refresh()
+    store.refresh().clear_left(LEFT_S)
     return stopped
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -106,6 +107,7 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.manifest, self._known = self._read(), {}
+        self._left: list[str] = []
 
     def _numbers(self) -> list[int]:
         """The numbers of the manifests that there are, in order."""
@@ -219,14 +221,29 @@ class Store:
     def written(self, df: DataFrame) -> Iterator[DataFrame]:
         """df as a table of its own below root, which is deleted at the end."""
         path = f"{self.root}/passing-{uuid.uuid4().hex}"
-        df.write.parquet(path)
         try:
+            df.write.parquet(path)
             yield self.spark.read.schema(df.schema).parquet(path)
+        except BaseException:
+            self._left.append(path)
+            raise
         finally:
             self._fs.delete(self._path(path), True)
 
+    def clear_left(self, seconds: float) -> None:
+        """Delete again, after a while, what failed work left: tasks of cancelled jobs may write on for a moment."""
+
+        def clear() -> None:
+            while self._left:
+                self._fs.delete(self._path(self._left.pop()), True)
+
+        timer = threading.Timer(seconds, clear)
+        timer.daemon = True
+        timer.start()
+
     def drop(self, folder: str) -> None:
         """Delete a folder below root that no manifest names."""
+        self._left.append(f"{self.root}/{folder}")
         self._fs.delete(self._path(f"{self.root}/{folder}"), True)
 
     def delete(self, name: str, key: str, values: list) -> None:

@@ -305,7 +305,11 @@ def test_a_running_index_can_be_stopped(spark, tmp_path):
         adapters.register("py", real)
     assert done["mode"] == "stopped" and time.monotonic() - began < 20
     assert not store.manifest["number"] and not store.has("chunks") and {p.phase for p in heard} == {"scanning", "embedding"}
-    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith(("manifest", "chunks", "passing"))]
+    left = lambda: [p for p in (tmp_path / "store").iterdir() if p.name.startswith(("manifest", "chunks", "passing"))]
+    end = time.monotonic() + 4 * api.LEFT_S
+    while left() and time.monotonic() < end:
+        time.sleep(0.5)
+    assert not left()
     del heard[:]
     assert api.index(spark, str(tmp_path / "src"), store, reporter=reporter)["added"] == 120
     assert [p.phase for p in heard if not p.total] == ["scanning", "embedding", "building_fts", "ready"]
