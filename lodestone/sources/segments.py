@@ -21,6 +21,8 @@ from .store import BROADCAST_BYTES, KEY_BYTES, Store
 
 #: More segments than this are merged; a segment of more than RATIO times the rows of all younger ones is left alone.
 MOST, RATIO = 8, 2
+#: Tables of a segment that are written at a time.
+SIDE_BY_SIDE = 8
 SEG, DEAD = "_seg", "_dead"
 Layout = Callable[[DataFrame], DataFrame]
 
@@ -107,7 +109,7 @@ class Segments:
 
         jobs = [("rows", n, df) for n, df in new.items()] + [("gone", n, df.select(self.keys[n]).distinct()) for n, df in gone.items()]
         try:
-            with ThreadPoolExecutor(4) as pool:
+            with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
                 list(pool.map(inheritable_thread_target(self.spark)(lambda job: put(*job)), jobs))
         except Exception:
             for of, name, _ in jobs:
