@@ -486,3 +486,9 @@ def test_reporter():
     r.listeners = [lambda p: 1 / 0, lambda p: seen.append(p.percent)]
     r.report("scanning", 1, 4)
     assert seen == [25]
+
+
+def test_rst_underlines_are_runs():
+    """A line of prose that begins with a character of underlines, and is longer than the line above, makes no heading."""
+    text = "Released.\n+1 (486) 555-1619 Des oile mentoi des aiai.\n# a list of words\n\nTitle\n+++++\nx"
+    assert [(s["name"], s["start"], s["end"], s["meta"]["level"]) for s in adapters.parse("documentation", "a.rst", text)[0]] == [("Title", 5, 6, "7")]
