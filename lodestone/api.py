@@ -49,7 +49,7 @@ def _vectors(chunks: DataFrame, model: str, provider: vector.EmbeddingProvider |
 
 
 def _posted(chunks: DataFrame) -> DataFrame:
-    return inverted.postings(chunks, "id", [F.col("content"), F.col("symbol")])
+    return inverted.gathered(chunks, "id", [F.col("content"), F.col("symbol")])
 
 
 #: The tables of an index and the columns by which their rows go; terms add up; how rows lie in a segment, so that scans skip the rest.
@@ -68,7 +68,7 @@ LAYOUT = {
 #: The tables of so few files are one task each, and need no ranges.
 FEW_FILES = 100
 LAYOUT_FEW = {
-    "postings": lambda df: df.coalesce(1).sortWithinPartitions("term", "id"),
+    "postings": inverted.clustered_few,
     "chunks": lambda df: df.coalesce(1).sortWithinPartitions("file", "start_line"),
     "terms": lambda df: df.coalesce(1).sortWithinPartitions("term"),
     "graph_nodes": lambda df: df.coalesce(1).sortWithinPartitions("id"),

@@ -1,6 +1,6 @@
 """A stored positional inverted index: postings, documents per term, corpus totals; searched without reading any text.
 
-postings: term, id, dl (terms of the row), tf, positions. They lie in order of term (and id, so a frequent term is spread over many
+postings: term, id, dl (terms of the row), tf, positions. They lie in order of term (those of a frequent one are spread over many
 files), so a search reads the row groups of its few terms. terms: term, df. totals: n, avgdl. Each is a table that a store keeps.
 """
 
@@ -26,6 +26,8 @@ from .keyword import B, K1, LEAST_IDF, TOP_K, top
 GAP = 1 << 20
 #: Rows whose postings are Python objects at a time.
 SLICE = 1_000
+#: Postings of a term in a row while they are gathered, postings and positions that a worker holds, rows that a task sorts on average.
+BLOCK, HELD, BLOCKS = 32, 1 << 21, 1 << 18
 _PLAIN = re.compile("[a-z0-9]+")
 
 
@@ -38,14 +40,36 @@ def plain(text: str) -> list[str]:
 ANALYSERS: dict[str, Callable[[str], list[str]]] = {"porter": stems, "plain": plain}
 
 
-def postings(rows: DataFrame, key: str, fields: list[Column], analyser: str = "porter") -> DataFrame:
-    """term, id, dl, tf, positions of the texts of rows: one Arrow pass, in which a row's terms are gathered before any shuffle, then one shuffle by ranges."""
+def gathered(rows: DataFrame, key: str, fields: list[Column], analyser: str = "porter") -> DataFrame:
+    """The postings of the texts of rows, those of a term in a batch side by side: term, first (rows that are counted here), ids, sizes
+    (their dl, then where the positions of each end), positions. One Arrow pass. What is shuffled and sorted afterwards is a row for
+    BLOCK postings at most, not one for each; no more than these, so that ranges with frequent terms are cut finer."""
     ship(rows.sparkSession)
 
+    def blocks(parts: list[tuple]) -> pa.RecordBatch:
+        words, ids, dl, tf, first, positions = zip(*parts, strict=True)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        codes, dl, tf, first = coded.indices.to_numpy(), np.concatenate(dl), np.concatenate(tf), np.concatenate(first)
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], len(codes)
+        nth = np.arange(n) - np.repeat(np.flatnonzero(np.diff(codes, prepend=-1)), np.bincount(codes))
+        starts = np.flatnonzero(nth % BLOCK == 0)
+        bounds = np.append(starts, n)
+        lengths = np.diff(bounds)
+        ends = np.concatenate([[0], np.cumsum(tf[order], dtype=np.int64)])
+        at = np.repeat(starts, lengths) + np.arange(n)
+        sizes = np.empty(2 * n, np.int32)
+        sizes[at], sizes[at + np.repeat(lengths, lengths)] = dl[order], ends[1:] - np.repeat(ends[starts], lengths)
+        takes = pa.array(order)
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array(np.concatenate(positions))).take(takes).flatten()
+        lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((bounds, pa.concat_arrays(ids).take(takes)), (2 * bounds, pa.array(sizes)), (ends[bounds], places))]
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[starts])), pa.array(np.add.reduceat(first[order], starts), pa.int32()), *lists], ["term", "first", "ids", "sizes", "positions"])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = ANALYSERS[analyser]
         for b in batches:
-            for at in range(0, b.num_rows, SLICE):  # a batch's postings are held a slice at a time
+            parts, held = [], 0
+            for at in range(0, b.num_rows, SLICE):  # a batch's postings are Python objects a slice at a time
                 part = b.slice(at, SLICE)
                 found: list[dict[str, list[int]]] = []
                 sizes: list[int] = []
@@ -62,27 +86,71 @@ def postings(rows: DataFrame, key: str, fields: list[Column], analyser: str = "p
                 each = np.fromiter(map(len, found), np.int64, len(found))
                 lists = [x for f in found for x in f.values()]
                 tf = np.fromiter(map(len, lists), np.int32, len(lists))
-                positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(tf.sum()))))
-                yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.string()), part.column("id").take(pa.array(np.repeat(np.arange(len(found)), each))), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(tf), positions], ["term", "id", "dl", "tf", "positions"])
+                first = np.zeros(len(lists), np.int32)
+                first[np.cumsum(each) - each] = 1
+                parts.append((pa.array([t for f in found for t in f], pa.string()), part.column("id").take(pa.array(np.repeat(np.arange(len(found)), each))), np.repeat(np.array(sizes, np.int32), each), tf, first, np.fromiter(chain.from_iterable(lists), np.int32, int(tf.sum()))))
+                held += len(lists) + len(parts[-1][-1])
+                if held >= HELD:
+                    yield blocks(parts)
+                    parts, held = [], 0
+            if parts:
+                yield blocks(parts)
 
     rows = rows.select(F.col(key).alias("id"), F.array(*fields).alias("texts"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(post, f"term string, id {kind}, dl int, tf int, positions array<int>")
+    return rows.mapInArrow(post, f"term string, first int, ids array<{kind}>, sizes array<int>, positions array<int>")
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    """term, id, dl, tf, positions: a row for each posting of what was gathered, in the order of the blocks."""
+    size = lambda i: F.get("sizes", i)
+    each = blocks.select("term", "sizes", "positions", F.size("ids").alias("n"), F.posexplode("ids").alias("at", "id"))
+    start = F.when(F.col("at") == 0, 0).otherwise(size(F.col("n") + F.col("at") - 1))
+    cut = each.select("term", "id", size(F.col("at")).alias("dl"), start.alias("start"), (size(F.col("n") + F.col("at")) - start).alias("tf"), "positions")
+    return cut.select("term", "id", "dl", "tf", F.slice("positions", F.col("start") + 1, F.col("tf")).alias("positions"))
+
+
+def postings(rows: DataFrame, key: str, fields: list[Column], analyser: str = "porter") -> DataFrame:
+    """term, id, dl, tf, positions of the texts of rows."""
+    return spread(gathered(rows, key, fields, analyser))
+
+
+def _is_gathered(posted: DataFrame) -> bool:
+    return "ids" in posted.columns
 
 
 def clustered(posted: DataFrame) -> DataFrame:
-    """Postings as they are stored. posted is read twice, as ranges are found by a sample: it should be a table that was written."""
-    return posted.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    """Postings as they are stored, from postings or from what was gathered. posted is read twice, as ranges are found by a sample: it
+    should be a table that was written. Gathered ones are sorted before they are spread, BLOCKS at most some times over in a task."""
+    if not _is_gathered(posted):
+        return posted.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    order = ["term", F.get("ids", 0)]
+    return spread(posted.repartitionByRange(posted.count() // BLOCKS + 1, *order).sortWithinPartitions(*order))
+
+
+def clustered_few(posted: DataFrame) -> DataFrame:
+    """The same for few rows, in one task."""
+    if not _is_gathered(posted):
+        return posted.coalesce(1).sortWithinPartitions("term", "id")
+    return spread(posted.coalesce(1).sortWithinPartitions("term", F.get("ids", 0)))
 
 
 def terms(posted: DataFrame) -> DataFrame:
     """term, df."""
-    return posted.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = F.sum(F.size("ids").cast("long")) if _is_gathered(posted) else F.count(F.lit(1))
+    return posted.filter("term <> ''").groupBy("term").agg(n.alias("df"))
+
+
+def _rows(posted: DataFrame) -> DataFrame:
+    """n, words: rows of the corpus and their words. Each row counts once: where it was gathered, or by the length that its postings carry."""
+    if _is_gathered(posted):
+        return posted.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("words"))
+    return posted.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
 
 
 def sizes(posted: DataFrame) -> tuple[int, int]:
-    """Rows of the corpus and their words. Each row counts by the length that its postings carry."""
-    own = posted.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+    """Rows of the corpus and their words."""
+    own = _rows(posted).first()
     return own.n, own.words
 
 
@@ -97,9 +165,8 @@ def change(posted: DataFrame, unposted: DataFrame | None = None) -> tuple[DataFr
 
 
 def totals(posted: DataFrame) -> DataFrame:
-    """n, avgdl: one row. Each row of the corpus counts by its first term."""
-    sizes = posted.groupBy("id").agg(F.max("dl").alias("dl"))
-    return sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    """n, avgdl: one row."""
+    return _rows(posted).select("n", F.when(F.col("n") > 0, F.col("words") / F.col("n")).otherwise(0.0).alias("avgdl"))
 
 
 def without(posted: DataFrame, gone: DataFrame) -> DataFrame:

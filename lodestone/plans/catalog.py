@@ -221,7 +221,7 @@ def stored(spark, d, analyser: str = "plain") -> Store:
     key = (spark.sparkContext.applicationId, d, analyser, _state(spark, f"{d}/documents.parquet"))
     if key not in _built or not _built[key].has("totals"):
         store = Store(spark, shared_folder(spark, "index"))
-        with store.written(inverted.postings(t(spark, d, "documents"), "doc_id", [F.col("text")], analyser)) as posted:
+        with store.written(inverted.gathered(t(spark, d, "documents"), "doc_id", [F.col("text")], analyser)) as posted:
             store.write(postings=inverted.clustered(posted), terms=inverted.terms(posted), totals=inverted.totals(posted))
         _built[key] = store
     return _built[key]
@@ -300,7 +300,7 @@ def kw_segments(spark, d):
 
     def change(came: DataFrame | None, went: DataFrame | None) -> None:
         with ExitStack() as passing:
-            staged = lambda rows: passing.enter_context(store.written(inverted.postings(rows, "doc_id", [F.col("text")], "plain")))
+            staged = lambda rows: passing.enter_context(store.written(inverted.gathered(rows, "doc_id", [F.col("text")], "plain")))
             posted = staged(docs.limit(0) if came is None else came)
             gone = None if went is None else staged(went)
             terms, numbers = inverted.change(posted, gone)

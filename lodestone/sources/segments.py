@@ -88,6 +88,7 @@ class Segments:
         """A segment with these rows, which hides these keys in older ones; it appears at once. whole: nothing older counts any more."""
         older = [] if whole else self.all
         seg = max((s["seg"] for s in older), default=0) + 1
+        new = self._laid(new)
         schemas = {n: df.schema.jsonValue() for n, df in new.items()}
         if not whole:
             schemas = self.store.manifest.get("schemas", {}) | {n: x for n, x in schemas.items() if n not in self.store.manifest.get("schemas", {})}
@@ -95,16 +96,18 @@ class Segments:
         made["numbers"] = {k: int(v) for k, v in (numbers or {}).items()}
         self._commit([*older, made], [made], schemas)
 
+    def _laid(self, new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The tables as they lie in a segment; a layout may take another form of the rows than it gives."""
+        return {n: self.layout[n](df) if n in self.layout else df for n, df in new.items()}
+
     def _write(self, seg: int, new: dict[str, DataFrame], gone: dict[str, DataFrame]) -> dict:
         """The tables of one segment, written side by side; their rows are counted as they are written."""
         made = {"seg": seg, "version": f"{self.store.manifest['number'] + 1}-{uuid.uuid4().hex[:8]}", "rows": {}, "gone": {}, "numbers": {}}
 
         def put(of: str, name: str, df: DataFrame) -> None:
             seen = Observation()
-            lay = self.layout.get(name) if of == "rows" else None
-            df = df.withColumn(SEG, F.lit(seg))
             path = self._path(name if of == "rows" else f"{name}-gone", made)
-            (lay(df) if lay else df).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            df.withColumn(SEG, F.lit(seg)).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
             made[of][name] = seen.get["n"]
 
         jobs = [("rows", n, df) for n, df in new.items()] + [("gone", n, df.select(self.keys[n]).distinct()) for n, df in gone.items()]
@@ -150,6 +153,6 @@ class Segments:
             else:
                 new[name] = self._live(name, merged).drop(SEG)
         gone = {n: self._gone(n, hides).drop(DEAD) for n in self.keys if old and (hides := [s for s in merged if s["gone"].get(n)])}
-        made = self._write(merged[-1]["seg"], new, gone)
+        made = self._write(merged[-1]["seg"], self._laid(new), gone)
         made["numbers"] = {k: sum(s["numbers"].get(k, 0) for s in merged) for k in {k for s in merged for k in s["numbers"]}}
         self._commit([*old, made], [made], self.store.manifest["schemas"])

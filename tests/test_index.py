@@ -376,3 +376,22 @@ def test_what_fails_degrades(spark, tmp_path):
     assert api.search(spark, store, "zebra", config=Config(max_results=2, rerank=False), provider=Failing()).count() == 2
     made = store.read("made").collect()
     assert len(made) == 5 and {r.model for r in made} == {"balanced"} and all(r.last_indexed for r in made)
+
+
+def test_gathered_postings(spark):
+    """What is shuffled for the index is a row for many postings, of a frequent term too; spread again they are the postings of the texts."""
+    rows = [(i, f"of the {'w' + str(i % 7)} of" if i % 10 else None) for i in range(3000)]
+    blocks = inverted.gathered(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", [F.col("text")], "plain").cache()
+    want = set()
+    for i, text in rows:
+        words = (text or "").split()
+        want |= {(w, i, len(words), words.count(w), tuple(k for k, x in enumerate(words) if x == w)) for w in words} or {("", i, 0, 0, ())}
+    for made in (inverted.spread(blocks), inverted.clustered(blocks), inverted.clustered_few(blocks)):
+        got = [(r.term, r.id, r.dl, r.tf, tuple(r.positions)) for r in made.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert [r.term for r in inverted.clustered_few(blocks).collect()] == sorted(w[0] for w in want)
+    assert blocks.count() * 20 < len(want) and blocks.select(F.max(F.size("ids"))).first()[0] == inverted.BLOCK
+    assert {r.term: r.df for r in inverted.terms(blocks).collect()} == {r.term: r.df for r in inverted.terms(inverted.spread(blocks)).collect()}
+    assert inverted.sizes(blocks) == inverted.sizes(inverted.spread(blocks)) == (3000, 2700 * 4)
+    assert inverted.totals(blocks).first() == inverted.totals(inverted.spread(blocks)).first() == (3000, 3.6)
+    blocks.unpersist()
