@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import api
+from lodestone.functions.memory import slices
 from lodestone.functions.text import stem, stems, trimmed
 from lodestone.operators import chunking, delta, graph, inverted, keyword, stats, vector
 from lodestone.plans.fixtures import EXPECTED, SNIPPETS
@@ -492,3 +493,26 @@ def test_rst_underlines_are_runs():
     """A line of prose that begins with a character of underlines, and is longer than the line above, makes no heading."""
     text = "Released.\n+1 (486) 555-1619 Des oile mentoi des aiai.\n# a list of words\n\nTitle\n+++++\nx"
     assert [(s["name"], s["start"], s["end"], s["meta"]["level"]) for s in adapters.parse("documentation", "a.rst", text)[0]] == [("Title", 5, 6, "7")]
+
+
+def test_parsing_holds_a_part_of_a_batch():
+    """A batch of long files is parsed a bounded part at a time, and what nobody asks for is not made: else Python holds it all, some times over."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "\n".join(["// " + "word " * 40] * 100) + "\npublic class A {\n}"
+    n = 800
+    batch = pa.RecordBatch.from_pydict({"file": [f"{i}.cs" for i in range(n)], "language": ["csharp"] * n, "text": [text if i else None for i in range(n)]})
+    got, most = 0, 0
+    tracemalloc.start()
+    for b in adapters.parse_batches(iter([batch]), lists=False):
+        assert b.schema.names == ["file", "language", "symbols", "error"]
+        got, most = got + b.num_rows, max(most, b.num_rows)
+        assert all([s["name"] for s in x] == ["A"] for f, x in zip(b.column("file").to_pylist(), b.column("symbols").to_pylist(), strict=True) if f != "0.cs")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == n and most * len(text) < 2_000_000 and peak < n * len(text) / 3
+    assert sum(b.num_rows for b in adapters.parse_batches(iter([batch.slice(0, 9)]))) == 9
+    parts = [b.num_rows for b in slices(batch, "text", len(text))]
+    assert parts == [2, *[1] * (n - 2)] and list(slices(batch.slice(0, 0), "text")) == []
