@@ -7,16 +7,15 @@ files), so a search reads the row groups of its few terms. terms: term, df. tota
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from ..functions.text import stems
 from ..shipping import ship
 from . import match
@@ -24,10 +23,10 @@ from .keyword import B, K1, LEAST_IDF, TOP_K, top
 
 #: Positions between the fields of a row, so that no phrase crosses from one into the next.
 GAP = 1 << 20
-#: Rows whose postings are Python objects at a time.
+#: Rows whose words are Python objects at a time.
 SLICE = 1_000
-#: Postings of a term in a row while they are gathered, postings and positions that a worker holds, rows that a task sorts on average.
-BLOCK, HELD, BLOCKS = 32, 1 << 21, 1 << 18
+#: Postings of a term in a row while they are gathered, words that a worker holds, rows that a task sorts on average.
+BLOCK, HELD, BLOCKS = 32, 3 << 19, 1 << 18
 _PLAIN = re.compile("[a-z0-9]+")
 
 
@@ -47,54 +46,53 @@ def gathered(rows: DataFrame, key: str, fields: list[Column], analyser: str = "p
     ship(rows.sparkSession)
 
     def blocks(parts: list[tuple]) -> pa.RecordBatch:
-        words, ids, dl, tf, first, positions = zip(*parts, strict=True)
-        coded = pa.concat_arrays(words).dictionary_encode()
-        codes, dl, tf, first = coded.indices.to_numpy(), np.concatenate(dl), np.concatenate(tf), np.concatenate(first)
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], len(codes)
+        words, ids, dl, count, pos = zip(*parts, strict=True)
+        coded, (dl, count, pos) = pa.concat_arrays(words).dictionary_encode(), map(np.concatenate, (dl, count, pos))
+        begins = np.zeros(len(pos), np.int32)
+        begins[np.cumsum(count) - count] = 1
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")  # words come by row and place, and stay so within a term
+        codes, row, pos, begins = coded.indices.to_numpy()[order], np.repeat(np.arange(len(dl)), count)[order], pos[order], begins[order]
+        new = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))  # postings
+        tf, first, codes, row, n = np.add.reduceat(pos >= 0, new, dtype=np.int64), np.add.reduceat(begins, new), codes[new], row[new], len(new)
         nth = np.arange(n) - np.repeat(np.flatnonzero(np.diff(codes, prepend=-1)), np.bincount(codes))
         starts = np.flatnonzero(nth % BLOCK == 0)
         bounds = np.append(starts, n)
         lengths = np.diff(bounds)
-        ends = np.concatenate([[0], np.cumsum(tf[order], dtype=np.int64)])
+        ends = np.concatenate([[0], np.cumsum(tf)])
         at = np.repeat(starts, lengths) + np.arange(n)
         sizes = np.empty(2 * n, np.int32)
-        sizes[at], sizes[at + np.repeat(lengths, lengths)] = dl[order], ends[1:] - np.repeat(ends[starts], lengths)
-        takes = pa.array(order)
-        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]), pa.int32()), pa.array(np.concatenate(positions))).take(takes).flatten()
-        lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((bounds, pa.concat_arrays(ids).take(takes)), (2 * bounds, pa.array(sizes)), (ends[bounds], places))]
-        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[starts])), pa.array(np.add.reduceat(first[order], starts), pa.int32()), *lists], ["term", "first", "ids", "sizes", "positions"])
+        sizes[at], sizes[at + np.repeat(lengths, lengths)] = dl[row], ends[1:] - np.repeat(ends[starts], lengths)
+        lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((bounds, pa.concat_arrays(ids).take(pa.array(row))), (2 * bounds, pa.array(sizes)), (ends[bounds], pa.array(pos[pos >= 0])))]
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[starts])), pa.array(np.add.reduceat(first, starts), pa.int32()), *lists], ["term", "first", "ids", "sizes", "positions"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = ANALYSERS[analyser]
         for b in batches:
             parts, held = [], 0
-            for at in range(0, b.num_rows, SLICE):  # a batch's postings are Python objects a slice at a time
+            for at in range(0, b.num_rows, SLICE):  # a batch's words are Python objects a slice at a time
                 part = b.slice(at, SLICE)
-                found: list[dict[str, list[int]]] = []
-                sizes: list[int] = []
+                words, sizes, each = [], [], []
                 for texts in part.column("texts").to_pylist():
-                    places: dict[str, list[int]] = defaultdict(list)
-                    n = 0
+                    before = len(words)
                     for k, text in enumerate(texts):
-                        words = cut(text or "")
-                        n += len(words)
-                        for p, t in enumerate(words, k * GAP):
-                            places[t].append(p)
-                    found.append(places or {"": []})  # an empty row keeps its length
-                    sizes.append(n)
-                each = np.fromiter(map(len, found), np.int64, len(found))
-                lists = [x for f in found for x in f.values()]
-                tf = np.fromiter(map(len, lists), np.int32, len(lists))
-                first = np.zeros(len(lists), np.int32)
-                first[np.cumsum(each) - each] = 1
-                parts.append((pa.array([t for f in found for t in f], pa.string()), part.column("id").take(pa.array(np.repeat(np.arange(len(found)), each))), np.repeat(np.array(sizes, np.int32), each), tf, first, np.fromiter(chain.from_iterable(lists), np.int32, int(tf.sum()))))
-                held += len(lists) + len(parts[-1][-1])
+                        found = cut(text or "")
+                        words += found
+                        each.append((len(found), k * GAP))
+                    sizes.append(len(words) - before)
+                    if not sizes[-1]:  # an empty row keeps its length
+                        words.append("")
+                        each.append((1, -1))
+                lens, offs = np.array(each, np.int64).T
+                dl = np.array(sizes, np.int32)
+                pos = np.arange(len(words)) + np.repeat(offs - (np.cumsum(lens) - lens), lens)
+                parts.append((pa.array(words, pa.string()), part.column("id"), dl, np.maximum(dl, 1), pos.astype(np.int32)))
+                held += len(words)
                 if held >= HELD:
                     yield blocks(parts)
                     parts, held = [], 0
             if parts:
                 yield blocks(parts)
+            give_back()
 
     rows = rows.select(F.col(key).alias("id"), F.array(*fields).alias("texts"))
     kind = rows.schema["id"].dataType.simpleString()
